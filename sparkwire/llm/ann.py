@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 K, QUERY_EACH = 10, 100
 #: Projections, the share of windows a candidate falls into, the ratio of radii, and the share of a block verified at least.
-M, SHARE, RATIO, VERIFY = 40, 0.6, 1.15, 0.3
+M, SHARE, RATIO, VERIFY = 56, 0.6, 1.15, 0.35
 #: The share of a block that the first windows hold.
 FIRST = 0.3
+#: Vectors of a block verified for a query, if it has so many.
+LEAST = 1000
 VECTORS, QUERIES = 16384, 2048
 SEED = 7
 
@@ -50,7 +52,7 @@ class Block:
     def search(self, own: int, query: np.ndarray, k: int = K, share: float = SHARE, verify: float = VERIFY) -> list[tuple[int, float]]:
         n, m = len(self.ids), len(self.first)
         centre = query @ self.directions
-        enough, need = min(n, max(8 * k, int(verify * n))), int(np.ceil(share * m))
+        enough, need = min(n, max(LEAST, int(verify * n))), int(np.ceil(share * m))
         counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
         end = self.first + n
         low = high = np.clip(np.searchsorted(self.flat, centre + self.moved), self.first, end)
