@@ -41,3 +41,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("sparkwire", os.path.relpath(path, here)))
     context.addPyFile(target)
     context._sparkwire_shipped = True
+
+
+def checkpoint(df):
+    """Cuts the lineage into the folder of spark.checkpoint.dir; into one of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
