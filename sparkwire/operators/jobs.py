@@ -18,7 +18,7 @@ def _measured(jobs: DataFrame, since: str | None) -> DataFrame:
     rows = jobs if since is None else jobs.where(F.col("submitted_at") >= since)
     seconds = lambda a, b: F.unix_micros(b) / 1e6 - F.unix_micros(a) / 1e6
     is_done = (F.col("status") == "done") & start.isNotNull() & end.isNotNull()
-    return rows.withColumn("__done", F.coalesce(is_done, F.lit(False))).withColumn("__run", F.when(is_done, seconds(start, end))).withColumn("__wait", F.greatest(F.lit(0.0), seconds(sub, start)))
+    return rows.withColumn("__done", F.coalesce(is_done, F.lit(False))).withColumn("__run", F.when(is_done, seconds(start, end))).withColumn("__wait", F.when(sub.isNotNull() & start.isNotNull(), F.greatest(F.lit(0.0), seconds(sub, start))))
 
 
 def metrics(jobs: DataFrame, since: str | None = None) -> DataFrame:

@@ -207,7 +207,7 @@ def _jobs(spark, sf_dir):
 
 
 _JOBS = """j AS (SELECT event_id, event_type AS kind, CASE user_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'premium' ELSE 'basic' END AS tier, CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank,
-  CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'queued' ELSE 'done' END AS status, epoch_ms(ts) AS ms, CASE WHEN event_type <> 'signup' THEN event_id % 100 END AS wait, CASE WHEN event_type <> 'signup' THEN event_id % 977 END AS run FROM events)"""
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'queued' ELSE 'done' END AS status, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type <> 'signup' THEN event_id % 100 END AS wait, CASE WHEN event_type <> 'signup' THEN event_id % 977 END AS run FROM events)"""
 _PCT = "coalesce(list_sort(list({0}) FILTER ({1}))[1 + CAST(round_even((count(*) FILTER ({1}) - 1) * {2}, 0) AS BIGINT)], 0)"
 _METRICS = f"""WITH {_JOBS}, g AS (SELECT 'kind' AS dimension, kind AS name, * FROM j UNION ALL SELECT 'tier', tier, * FROM j)
   SELECT dimension, name, count(*) AS "count", count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS errors, round_even(count(*) FILTER (status = 'error') / count(*), 3) AS error_rate,
