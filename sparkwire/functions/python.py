@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_object(raw: str | None) -> str | None:
@@ -42,7 +43,7 @@ def _balanced(raw: str, start: int) -> int:
     return 0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(raw: pd.Series) -> pd.Series:
     return raw.map(first_object)
 
@@ -92,7 +93,7 @@ def body_text(html: str | None, most: int = 2500, least: int = 8) -> str:
     return " ".join(parts)[:most]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def article_text(html: pd.Series) -> pd.Series:
     return html.map(body_text)
 

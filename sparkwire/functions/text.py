@@ -193,5 +193,5 @@ def digest_items(summary: Column) -> Column:
     """array of struct(title, url, posted_at) of a digest's numbered lines."""
     parts = [F.regexp_extract_all(text(summary), F.lit(P.DIGEST_ITEM), F.lit(g)) for g in (1, 2, 3)]
     bare = lambda c: F.regexp_replace(trim(text(c)), "[.,;:]+$", "")
-    items = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("a", "b", "c"), strict=True)]), lambda x: F.struct(trim(x["0"]).alias("title"), bare(x["1"]).alias("url"), bare(x["2"]).alias("posted_at")))
+    items = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("a", "b", "c"), strict=True)]), lambda x: F.struct(trim(x["a"]).alias("title"), bare(x["b"]).alias("url"), bare(x["c"]).alias("posted_at")))
     return F.filter(items, lambda x: (x["title"] != "") & x["url"].startswith("http"))

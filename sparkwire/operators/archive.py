@@ -33,6 +33,8 @@ UPDATABLE = ("summary_ru", "relevance_score", "relevance_reason", "trust_origin"
 def fill_fields(archive: DataFrame, incoming: DataFrame, key: str, fields=UPDATABLE, order: str = "seq") -> DataFrame:
     """The archive with fields that were null or empty taken from the first incoming row of the same key that has them."""
     fields = [f for f in fields if f in archive.columns and f in incoming.columns]
+    if not fields:
+        return archive
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     first = incoming.groupBy(key).agg(*[F.min_by(F.when(~empty(f), F.col(f)), F.when(~empty(f), F.col(order))).alias(f"__{f}") for f in fields])
     out = archive.join(first, key, "left")
