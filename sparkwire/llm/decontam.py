@@ -17,12 +17,14 @@ Items are broadcast in blocks of ITEMS rows and BYTES bytes at most; a larger be
 pass over the documents for each block.
 
 Defined cases: null or empty texts match nothing; items of fewer than five words take no part; rows
-that repeat an item_id or a doc_id give one row for each pair of ids; other columns are not read.
+that repeat an item_id or a doc_id give one row for each pair of ids; remove_contaminated() judges each row
+by its own text; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -151,7 +153,23 @@ class Benchmark:
         return list(best.values())
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]] | object:
+    def search(self, texts: list[bytes], least: float = SIMILARITY):
+        """(place, matches) of every text that has any."""
+        for a, b in slices(texts):
+            words, at = words_of(texts[a:b])
+            hashes = shingles_of(words)
+            places, which = self.anchors(hashes)
+            where = np.searchsorted(at, places, side="right") - 1
+            inside = places + SHINGLE <= at[where + 1]
+            places, which, where = places[inside], which[inside], where[inside]
+            for d in np.unique(where).tolist():
+                mine = where == d
+                found = self.matches(hashes[at[d] : at[d + 1] - SHINGLE + 1], ((places[mine] - at[d]).tolist(), which[mine].tolist()), least)
+                if found:
+                    yield a + d, found
+
+
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Blocks of the benchmark of bounded size, one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -176,19 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
         def run(it):
             own = Benchmark(sent.value)
             for batch in it:
-                ids, texts = batch.column(0).to_pylist(), lowered(batch.column(1))
-                out = []
-                for a, b in slices(texts):
-                    words, at = words_of(texts[a:b])
-                    hashes = shingles_of(words)
-                    places, which = own.anchors(hashes)
-                    where = np.searchsorted(at, places, side="right") - 1
-                    inside = places + SHINGLE <= at[where + 1]
-                    places, which, where = places[inside], which[inside], where[inside]
-                    for d in np.unique(where).tolist():
-                        mine = where == d
-                        found = own.matches(hashes[at[d] : at[d + 1] - SHINGLE + 1], ((places[mine] - at[d]).tolist(), which[mine].tolist()), least)
-                        out += [(ids[a + d], *x) for x in found]
+                ids = batch.column(0).to_pylist()
+                out = [(ids[row], *x) for row, found in own.search(lowered(batch.column(1)), least) for x in found]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"])
@@ -201,9 +208,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents without any passage of the benchmark."""
-    gone = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows whose own text has no passage of the benchmark; they are dropped where they are read, without a join."""
+    context, schema = docs.sparkSession.sparkContext, docs.schema
+
+    def without(docs: DataFrame, rows) -> DataFrame:
+        sent = context.broadcast(rows)
+
+        def run(it):
+            own = Benchmark(sent.value)
+            for batch in it:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in own.search(lowered(batch.column("text")), least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, schema)
+
+    return reduce(without, benchmark_blocks(benchmark), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

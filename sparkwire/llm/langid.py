@@ -66,9 +66,6 @@ class Model:
 
     def _back_off(self, word: str) -> np.ndarray:
         padded, total = f"<{word}>", np.zeros(len(self.langs))
-        if len(padded) > 4096:  # the mean of a longer run's n-grams is as good a witness; all are read
-            parts = [padded[i : i + 4096] for i in range(0, len(padded), 4096)]
-            return np.mean([self._back_off(p) for p in parts], axis=0)
         seen = 0
         for i in range(len(padded)):
             for down, n in enumerate(ORDERS):
@@ -122,19 +119,20 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     return Model(by)
 
 
-def identify(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """The documents with lang_pred and score beside their columns."""
+def identify(docs: DataFrame, per_language: int = SAMPLE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with the two named columns beside, or instead of, their own."""
+    docs = docs.drop(*names)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
-    names = docs.columns
+    columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(it):
         m = model.value
         for batch in it:
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*columns, *names])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -149,4 +147,4 @@ LEAST_SCORE = 0.5
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents of which one language can be told; und and documents without a majority go."""
-    return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return identify(docs, names=("__lang", "__score")).where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)

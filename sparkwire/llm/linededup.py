@@ -117,9 +117,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found.join(lines, "key").where("id < keeper").groupBy("id").agg(F.collect_list("key").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
-    """The documents with text as kept, and n_lines, n_dropped beside the other columns."""
-    drop = repeated_lines(docs, min_chars, min_docs, bits).withColumnRenamed("id", "__id")
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with text as kept, and the two named counts beside, or instead of, the other columns."""
+    docs = docs.drop(*counts)
+    drop = repeated_lines(docs, min_chars, min_docs, bits).toDF("__id", "__drop")
     names = docs.columns
     joined = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).join(drop, "__id", "left").drop("__id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -127,7 +128,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     def cut(it):
         for batch in it:
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(blobs(batch.column("text")), batch.column("drop").to_pylist(), strict=True):
+            for text, gone in zip(blobs(batch.column("text")), batch.column("__drop").to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 if gone:
                     gone = set(gone)
@@ -139,9 +140,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
             columns = [pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *counts])
 
-    return joined.mapInArrow(cut, f"{schema}, n_lines long, n_dropped long")
+    return joined.mapInArrow(cut, f"{schema}, {counts[0]} long, {counts[1]} long")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -247,10 +247,11 @@ def collisions(docs: DataFrame, key: bytes = KEY, tweak: int = 0) -> int:
 
 
 def replace(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
-    """The documents with surrogates in text, and the number of entities of each kind beside the other columns."""
+    """The documents with surrogates in text, and the number of entities of each kind beside, or instead of, the other columns."""
     tweak = next((t for t in range(attempts) if not collisions(docs, key, t)), None)
     if tweak is None:
         raise ValueError(f"collisions under {attempts} tweaks of the key")
+    docs = docs.drop(*[f"n_{k}" for k in KINDS])
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
