@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Bytes hashed at a time; bounds the memory of the vectorised tokeniser.
-PIECE = 1 << 20
+#: Bytes of text that are taken together, and bytes hashed at a time: few enough to stay in a core's cache.
+TOGETHER, PIECE = 1 << 20, 1 << 16
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -48,7 +48,7 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = TOGETHER) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes together; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -67,6 +67,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def argsort(x: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit words: sorted as words that end in their place, which is several times faster.
+
+    Places push out the lowest bits. Should different words agree in what is left, an ordinary sort follows.
+    """
+    bits = np.uint64(max(1, len(x) - 1).bit_length())
+    packed = np.sort((x >> bits << bits) | np.arange(len(x), dtype=np.uint64))
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    y = x[order]
+    if ((y[1:] != y[:-1]) & (y[1:] >> bits == y[:-1] >> bits)).any():
+        return np.argsort(x, kind="stable")
+    return order
+
+
+def unique_inverse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit words in order, and the place of each element among them."""
+    order = argsort(x)
+    y = x[order]
+    first = np.concatenate(([True], y[1:] != y[:-1])) if len(y) else np.zeros(0, bool)
+    inverse = np.empty(len(x), np.int32)
+    inverse[order] = np.cumsum(first, dtype=np.int32) - 1
+    return y[first], inverse
+
+
 def _odd_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -82,7 +106,7 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         m = max(n, PIECE + 1)
         up, down = _odd_powers(_BASE, m), _odd_powers(pow(_BASE, -1, 1 << 64), m)
-        if m > 4 * PIECE:
+        if m > 64 * PIECE:
             return up, down
         _powers.update(up=up, down=down)
     return _powers["up"], _powers["down"]
