@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tasks whose sums one task merges.
+FAN = 64
+
+
+def merge_tree(parts: DataFrame, keys: list[str], merge: Callable[[pa.Table], pa.Table], schema: str, tasks: int) -> DataFrame:
+    """Merges rows of equal keys from many tasks in levels, so that no task reads more than FAN tasks' rows of a key.
+
+    merge(table) makes one row of the rows of one key; schema is its schema and that of parts.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        return merge(table).append_column("part", table["part"][:1])
+
+    out = parts.withColumn("part", F.spark_partition_id())
+    while True:
+        tasks = -(-tasks // FAN)
+        out = out.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy(*keys, "part").applyInArrow(one, f"{schema}, part int")
+        if tasks <= 1:
+            return out.drop("part")
+
+
 def ascii_lower(col):
     """A-Z only, as bytes.lower() does; Spark's lower() folds all of Unicode."""
     return F.translate(col, UPPER, LOWER)

@@ -15,15 +15,13 @@ a document of its own, smaller than all others; other columns of the input are n
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs
+from .common import blobs, merge_tree
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of each filter and of a slice. Both filters have this fixed size: 8 MB each, broadcast.
@@ -67,26 +65,18 @@ def seen_twice(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_B
             pack = lambda a: [np.packbits(a[k * width : (k + 1) * width]).tobytes() for k in part]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(pack(once)), pa.array(pack(twice))], ["slice", "once", "twice"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        once, twice = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
-        for o, t in zip(table["once"].to_pylist(), table["twice"].to_pylist(), strict=True):
-            o = np.frombuffer(o, np.uint8)
-            twice |= np.frombuffer(t, np.uint8) | (once & o)
-            once |= o
-        return pa.table({"slice": table["slice"][:1], "twice": [twice.tobytes()]})
-
-    marked = docs.select("text").mapInArrow(mark, "slice int, once binary, twice binary")
-    # first within groups of tasks, so that no task merges what all tasks have marked
-    some = marked.groupBy("slice", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
-    half = some.applyInArrow(lambda t: _merge_both(t, width), "slice int, once binary, twice binary")
-    rows = half.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect()  # bounded: the filter's size
+    schema = "slice int, once binary, twice binary"
+    marked = docs.select("text").mapInArrow(mark, schema)
+    merged = merge_tree(marked, ["slice"], lambda t: _merge(t, width), schema, docs.rdd.getNumPartitions())
+    rows = merged.select("slice", "twice").collect()  # bounded: the filter's size
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["twice"], np.uint8)
     return out
 
 
-def _merge_both(table: pa.Table, width: int) -> pa.Table:
+def _merge(table: pa.Table, width: int) -> pa.Table:
+    """Filters of several tasks as one: a bit set on two sides has been seen twice."""
     once, twice = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
     for o, t in zip(table["once"].to_pylist(), table["twice"].to_pylist(), strict=True):
         o = np.frombuffer(o, np.uint8)
@@ -151,10 +141,6 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def sha256(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
-
-
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
