@@ -49,15 +49,28 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold=THR
     return pairs.select("ta", "tb", common.alias("common"), united.alias("united")).where(F.col("common") * q >= F.col("united") * p)
 
 
-def edges(df: DataFrame, title: str = "title", ident: str = "seq", threshold=THRESHOLD) -> DataFrame:
-    """(a, b, common, united) of rows, a < b by ident: copies included."""
-    own = _prepared(df, title, ident)
-    pairs = similar_pairs(own, threshold=threshold)
-    same = own.where(F.size("tok") > 0).select("tok").distinct().select(F.col("tok").alias("ta"), F.col("tok").alias("tb"), F.size("tok").alias("common"), F.size("tok").alias("united"))
-    back = pairs.select(F.col("tb").alias("ta"), F.col("ta").alias("tb"), "common", "united")
-    every = pairs.union(back).union(same)
-    left, right = own.select(F.col("id").alias("a"), F.col("tok").alias("ta"), F.col("ts").alias("ts_a")), own.select(F.col("id").alias("b"), F.col("tok").alias("tb"), F.col("ts").alias("ts_b"))
-    return every.join(left, "ta").join(right, "tb").where("a < b").select("a", "b", "common", "united", "ts_a", "ts_b")
+def links(df: DataFrame, title: str = "title", ident: str = "seq", threshold=THRESHOLD) -> DataFrame:
+    """(ident, class_id, n_links): each row's class of equal word sets, by its least ident, and its similar other rows.
+
+    Pairs are made between classes only; a class of n copies has n - 1 links each from within.
+    """
+    own = df.select(F.col(ident), F.sort_array(title_tokens(F.col(title))).alias("tok"))
+    classes = own.where(F.size("tok") > 0).groupBy("tok").agg(F.min(ident).alias("class_id"), F.count("*").alias("n"))
+    pairs = similar_pairs(own.withColumnRenamed(ident, "id"), threshold=threshold)
+    both = pairs.select("ta", "tb").union(pairs.select("tb", "ta"))
+    more = both.join(classes.select(F.col("tok").alias("tb"), "n"), "tb").groupBy(F.col("ta").alias("tok")).agg(F.sum("n").alias("more"))
+    known = classes.join(more, "tok", "left").select("tok", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    out = own.join(known, "tok", "left")
+    return out.select(ident, F.coalesce("class_id", F.col(ident)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _edges(firsts: DataFrame, days: int, threshold=THRESHOLD) -> DataFrame:
+    """(a, b) of (id, tok, ts): similar, a before b and near in time."""
+    pairs = similar_pairs(firsts, threshold=threshold).select("ta", "tb")
+    same = firsts.select(F.col("tok").alias("ta"), F.col("tok").alias("tb")).distinct()
+    every = pairs.union(pairs.select("tb", "ta")).union(same)
+    left, right = firsts.select(F.col("id").alias("a"), F.col("tok").alias("ta"), F.col("ts").alias("ts_a")), firsts.select(F.col("id").alias("b"), F.col("tok").alias("tb"), F.col("ts").alias("ts_b"))
+    return every.join(left, "ta").join(right, "tb").where("a < b").where(_in_window("ts_a", "ts_b", days)).select("a", "b")
 
 
 def _in_window(older: str, newer: str, days: int) -> Column:
@@ -67,23 +80,26 @@ def _in_window(older: str, newer: str, days: int) -> Column:
 def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int = WINDOW_DAYS, decided: Column | None = None) -> DataFrame:
     """(pos, leader): leader is null for kept rows, else the pos of the row it is attached to.
 
-    Kept rows are the lexicographically first maximal independent set. Rounds settle every row that
-    has a kept neighbour before it, or none that is undecided; each round settles the first
-    undecided row at least, and in practice whole layers. decided marks rows that are kept beforehand.
-    pos must be unique; rows are compared by it.
+    Kept rows are the lexicographically first maximal independent set. Rows of one word set and one
+    time share all neighbours, so that only the first of them is a node of the graph; the others
+    follow it, and copies never make pairs. Rounds settle every node that has a kept neighbour before
+    it, or none that is undecided; each round settles the first undecided node at least, and in
+    practice whole layers. decided marks rows that are kept beforehand. pos must be unique; rows are
+    compared by it.
     """
     own = _prepared(df.withColumn("__pos", F.col(order)), title, "__pos")
-    if decided is not None:
-        own = own.join(df.select(F.col(order).alias("id"), decided.alias("kept")), "id")
-    found = edges(df, title, order).where(_in_window("ts_a", "ts_b", days)).select("a", "b")
-    found = checkpoint(found)
-    state = own.select(F.col("id").alias("pos"), F.lit("K").alias("s") if decided is None else F.when(F.col("kept"), "K").otherwise("U").alias("s"))
     if decided is None:
-        later = found.select(F.col("b").alias("pos")).distinct().withColumn("u", F.lit(True))
-        state = state.join(later, "pos", "left").select("pos", F.when(F.col("u"), "U").otherwise("K").alias("s"))
+        own = own.withColumn("kept", F.lit(False))
     else:
-        found = checkpoint(found.join(state.where("s = 'U'").select(F.col("pos").alias("b")), "b", "left_semi"))
-    state = checkpoint(state)
+        own = own.join(df.select(F.col(order).alias("id"), decided.alias("kept")), "id")
+    nodes = own.where((F.size("tok") > 0) & ~F.col("kept")).groupBy("tok", "ts", "kept").agg(F.min("id").alias("id")).select("id", "tok", "ts", "kept")
+    nodes = checkpoint(nodes.union(own.where((F.size("tok") > 0) & F.col("kept")).select("id", "tok", "ts", "kept")))
+    found = _edges(nodes, days)
+    if decided is not None:  # what is kept beforehand needs no edges
+        found = found.join(nodes.where("not kept").select(F.col("id").alias("b")), "b", "left_semi")
+    found = checkpoint(found)
+    later = found.select(F.col("b").alias("id")).distinct().withColumn("u", F.lit(True))
+    state = checkpoint(nodes.join(later, "id", "left").select(F.col("id").alias("pos"), F.when(F.col("kept") | F.col("u").isNull(), "K").otherwise("U").alias("s")))
     while state.where("s = 'U'").limit(1).count():
         before = found.join(state.select(F.col("pos").alias("a"), F.col("s").alias("sa")), "a")
         seen = before.groupBy("b").agg(F.max(F.col("sa") == "K").alias("k"), F.max(F.col("sa") == "U").alias("u"))
@@ -91,7 +107,10 @@ def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int =
         state = checkpoint(state.join(seen, state.pos == seen.b, "left").select("pos", settled.alias("s")))
     kept = state.where("s = 'K'").select(F.col("pos").alias("a"))
     lead = found.join(kept, "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader"))
-    return state.join(lead, state.pos == lead.b, "left").select("pos", F.when(F.col("s") == "D", F.col("leader")).alias("leader"))
+    first = state.where("s = 'D'").join(lead, F.col("pos") == F.col("b")).select(F.col("pos").alias("id"), "leader")
+    first = nodes.where("not kept").join(first, "id", "left").select(F.col("id").alias("first"), F.col("tok").alias("t"), F.col("ts").alias("at"), "leader")
+    mates = own.join(first, (F.col("tok") == F.col("t")) & F.col("ts").eqNullSafe(F.col("at")) & ~F.col("kept"), "left")
+    return mates.select(F.col("id").alias("pos"), F.coalesce("leader", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("leader"))
 
 
 REF = "array<struct<source:string,url:string,trust_score:double,collected_at:string,title:string>>"

@@ -70,10 +70,12 @@ def best_match(new: DataFrame, protected: DataFrame, threshold=(7, 10)) -> DataF
     """
     a, b = (df.withColumn("tok", F.sort_array(title_tokens(F.col("statement")))) for df in (new, protected))
     pairs = similar_pairs(a.select("id", "tok"), b.select("id", "tok"), threshold)
-    left, right = a.select("id", "category", F.col("tok").alias("ta")), b.select(F.col("id").alias("match"), F.col("category"), F.col("pos"), F.col("tok").alias("tb"))
-    met = left.join(pairs, "ta").join(right, ["tb", "category"])
+    # classes of equal words meet, not rows: of protected copies the first, of new ones all share the match
+    left = a.select("category", F.col("tok").alias("ta")).distinct()
+    right = b.groupBy("category", F.col("tok").alias("tb")).agg(F.min_by(F.struct(F.col("id").alias("match"), "pos"), "pos").alias("r")).select("category", "tb", "r.*")
     rank = F.struct(-(F.col("common") / F.col("united")), "pos")
-    return met.groupBy("id").agg(F.min_by(F.struct("match", "common", "united"), rank).alias("m")).select("id", "m.*")
+    best = left.join(pairs, "ta").join(right, ["tb", "category"]).groupBy("ta", "category").agg(F.min_by(F.struct("match", "common", "united"), rank).alias("m"))
+    return a.select("id", "category", F.col("tok").alias("ta")).join(best, ["ta", "category"]).select("id", "m.*")
 
 
 def store(hypotheses: DataFrame, evidence: DataFrame, replies: DataFrame, valid: DataFrame, at: str, append: bool) -> tuple[DataFrame, DataFrame]:

@@ -68,11 +68,25 @@ def until_breaker(df: DataFrame, is_empty: Column, limit: int = 25, order: str =
     return runs.withColumn("__hit", F.max(F.when(F.col("empties_before") >= limit, 1).otherwise(0)).over(w)).where("__hit = 0").drop("__hit", "empties_before")
 
 
-def queue_position(df: DataFrame, priority: str = "priority") -> DataFrame:
-    """Adds queue_pos: the number of rows of this priority or a lesser one. Distinct priorities are ranked, not rows."""
+def queue_position(df: DataFrame, priority: str = "priority", parts: int = 64) -> DataFrame:
+    """Adds queue_pos: the number of rows of this priority or a lesser one.
+
+    Priorities are cut into ranges; each range counts its own rows in order, and the sums of the
+    ranges before it, `parts` numbers, are added.
+    """
     counts = df.groupBy(priority).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(priority).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    places = counts.withColumn("queue_pos", F.sum("__n").over(w)).drop("__n")
+    cuts = counts.agg(F.percentile_approx(priority, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + F.when(F.col(priority) > c, 1).otherwise(0)
+    counts = counts.withColumn("__part", part)
+    before, base = 0, {}
+    for r in counts.groupBy("__part").agg(F.sum("__n").alias("n")).orderBy("__part").collect():  # bounded: parts rows
+        base[r["__part"]] = before
+        before += r["n"]
+    table = F.create_map(*[F.lit(x).cast("long") for kv in (base or {0: 0}).items() for x in kv])
+    within = F.sum("__n").over(Window.partitionBy("__part").orderBy(priority))
+    places = counts.withColumn("queue_pos", within + table[F.col("__part").cast("long")]).select(priority, "queue_pos")
     return df.join(places, priority)
 
 
