@@ -10,7 +10,8 @@ and gender; other names keep their vowels and consonants in place and avoid know
 As a check of the whole, collisions() counts surrogates that two entities share; replace() takes the
 next tweak if there are any.
 
-Kinds: email, phone, ip, card (Luhn-valid only), ssn, iban, secret, person (after a form of address).
+Kinds: email, phone, ip, card (Luhn-valid only), ssn, iban, key (of a known prefix), secret (after its
+label), person (after a form of address).
 Defined cases: null text stays null; empty text stays empty; a card number that fails its check is
 left alone, as are version numbers and octets above 255; repeated rows are each replaced alike.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = b"surrogates-v1"
-KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret", "person")
+KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "key", "secret", "person")
 #: Given names by script and gender; a surrogate comes from the same line.
 NAMES = {
     ("latin", "f"): "Anna Maria Laura Julia Emma Sophie Claire Elena Lucia Carmen Helen Mary Sarah Alice Ingrid Greta Paula Marta Nora Irene".split(),
@@ -43,17 +44,20 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w@])", re.A),
+    "key": re.compile(r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|xox[baprs]-[A-Za-z0-9-]{10,200}|eyJ[\w-]{8,2000}\.[\w-]{8,4000}\.[\w-]{8,2000})(?![\w-])", re.A),
     "secret": re.compile(r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,512}={0,2})", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "card": re.compile(r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w-])", re.A),
-    "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A),
+    "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|(?<=[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])", re.A),
+    "phone": re.compile(r"(?<![\w+(.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?![\w-])|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-])|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])|(?<![\w+.-])0\d(?:([ .-])\d{2}){4}(?![\w-])", re.A),
     "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_CAP}(?: {_CAP})?)"),
 }
 #: What a text must have for a pattern to be tried; keeps clean texts cheap.
 _NEEDS: dict[str, Callable[[str, str], bool]] = {
     "email": lambda t, low: "@" in t,
+    "key": lambda t, low: any(w in t for w in ("AKIA", "_", "sk-", "xox", "eyJ")),
+    "ip": lambda t, low: "." in t or ":" in t,
     "secret": lambda t, low: any(w in low for w in ("token", "secret", "passw", "key")),
     "person": lambda t, low: True,
 }
@@ -158,7 +162,14 @@ class Surrogates:
         head = m[0] if m else ""
         return head + self.shaped(text[len(head) :], f"phone{head}")
 
+    def _key(self, text: str, _) -> str:
+        head = re.match("AKIA|gh[pousr]_|sk-|xox[baprs]-|eyJ", text)[0]
+        return head + self.shaped(text[len(head) :], f"key{head}")
+
     def _ip(self, text: str, _) -> str:
+        if ":" in text:
+            return self.shaped(text, "ipv6", ("0123456789abcdef",)) if text == text.lower() else self.shaped(text, "ipv6", ("0123456789ABCDEF", "abcdef"))
+
         def step(x: str) -> str:
             v = 0
             for o in x.split("."):
