@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blobs, checkpoint
@@ -59,11 +59,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) for the distinct longs of column fp: each fingerprint of a ball with the ball's least."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)])
-    # one shuffle by variant serves both sides: the exchange is reused
     ball = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    ball = ball.repartition("variant")
-    shared = ball.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    pairs = ball.join(shared.hint("shuffle_hash"), "variant").where(F.col("fp") != F.col("low"))
+    # one shuffle and a sort that can spill; a window holds one ball's fingerprints, 65 at most
+    pairs = ball.withColumn("low", F.min("fp").over(Window.partitionBy("variant"))).where(F.col("fp") != F.col("low"))
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
