@@ -345,8 +345,8 @@ QUERIES = {
     "page_links": (_links, r"""SELECT page_id, unnest(range(len(m))) AS pos, unnest(m) AS href, trim(unnest(l)) AS label FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"''#]+)["''][^>]*>([^<]{15,200})</a>', 1) AS m, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"''#]+)["''][^>]*>([^<]{15,200})</a>', 2) AS l FROM pages) WHERE len(m) > 0"""),
     "block_page_flag": (lambda s, d: _pages(s, d).select("page_id", (text.is_block_page(F.col("html")) | text.has(F.left("html", F.lit(2000)), P.ANTIBOT)).alias("blocked")), "SELECT page_id, (" + " OR ".join(f"contains(lower(left(html, 800)), '{m}')" for m in P.BLOCK_MARKERS) + f" OR regexp_matches(left(html, 2000), '{P.ANTIBOT}', 'i')) AS blocked FROM pages"),
     "first_sentences": (lambda s, d: _docs(s, d).select("doc_id", text.first_sentences(F.col("text")).alias("head")), f"SELECT doc_id, left({_SENT.replace('trim(b', 'trim(text')}, 600) AS head FROM documents"),
-    "stub_rating": (_rated, f"WITH c AS ({_CLASSIFIED}), d AS (SELECT doc_id, text AS b, topic, len(regexp_extract_all(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g'), '(?i)(^|[^\\p{{L}}\\p{{N}}_])(the|of|que|der)([^\\p{{L}}\\p{{N}}_]|$)')) AS signals FROM documents JOIN c USING (doc_id)) SELECT doc_id, coalesce(nullif(left({_SENT}, 600), ''), '(нет текста)') AS summary, least(5, 1 + CAST(length(b) >= 200 AS INT) + CAST(length(b) >= 800 AS INT) + CAST(signals >= 2 AS INT) + CAST(contains(topic, 'банкинге') AS INT)) AS rating, signals FROM d"),
-    "doc_quality": (lambda s, d: _docs(s, d).select("doc_id", scores.document_quality(F.col("text"), F.when(F.col("lang") == "en", "url").otherwise("file"), F.concat(F.when(F.col("source") == "src1", "ftp://").otherwise("http://"), "source")).alias("q")).select("doc_id", "q.level", F.size("q.reasons").cast("long").alias("n_reasons")), "WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, lang = 'en' AS u, source = 'src1' AS f FROM documents) SELECT doc_id, CASE WHEN n < 60 THEN 'red' WHEN n < 200 OR (u AND (f OR n < 400)) THEN 'yellow' ELSE 'green' END AS level, CAST(n < 200 AS INT) + CASE WHEN n >= 60 AND u THEN CAST(f AS INT) + CAST(n < 400 AS INT) ELSE 0 END AS n_reasons FROM d"),
+    "stub_rating": (_rated, f"WITH c AS ({_CLASSIFIED}), d AS (SELECT doc_id, text AS b, topic, len(regexp_extract_all(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g'), '(?i)(^|[^\\p{{L}}\\p{{N}}_])(the|of|que|der)([^\\p{{L}}\\p{{N}}_]|$)')) AS signals FROM documents JOIN c USING (doc_id)) SELECT doc_id, coalesce(nullif(left({_SENT}, 600), ''), '(нет текста)') AS summary, least(5, 1 + CAST(length(b) >= 200 AS INT) + CAST(length(b) >= 800 AS INT) + CAST(signals >= 2 AS INT) + CAST(contains(topic, 'банкинге') AS INT))::BIGINT AS rating, signals FROM d"),
+    "doc_quality": (lambda s, d: _docs(s, d).select("doc_id", scores.document_quality(F.col("text"), F.when(F.col("lang") == "en", "url").otherwise("file"), F.concat(F.when(F.col("source") == "src1", "ftp://").otherwise("http://"), "source")).alias("q")).select("doc_id", "q.level", F.size("q.reasons").cast("long").alias("n_reasons")), "WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, lang = 'en' AS u, source = 'src1' AS f FROM documents) SELECT doc_id, CASE WHEN n < 60 THEN 'red' WHEN n < 200 OR (u AND (f OR n < 400)) THEN 'yellow' ELSE 'green' END AS level, (CAST(n < 200 AS INT) + CASE WHEN n >= 60 AND u THEN CAST(f AS INT) + CAST(n < 400 AS INT) ELSE 0 END)::BIGINT AS n_reasons FROM d"),
     "title_links": (_title_links, f"WITH {_TITLE_SQL}, l AS (SELECT a AS p FROM e UNION ALL SELECT b FROM e), c AS (SELECT tok, min(page_id) AS class_id FROM t WHERE len(tok) > 0 GROUP BY tok) SELECT t.page_id, coalesce(c.class_id, t.page_id) AS class_id, (SELECT count(*) FROM l WHERE l.p = t.page_id) AS n_links FROM t LEFT JOIN c ON c.tok = t.tok"),
     "near_dup_collapse": (_collapsed, _COLLAPSE_SQL),
     "diversity_cap": (lambda s, d: windows.round_robin(_docs(s, d).select("doc_id", "source"), 320, "source", "doc_id"), "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, min(doc_id) OVER (PARTITION BY source) AS f FROM documents) SELECT doc_id, source FROM r ORDER BY r, f LIMIT 320"),
