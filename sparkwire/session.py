@@ -49,3 +49,16 @@ def checkpoint(df):
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: A table of at least so many bytes is dealt out if its files give fewer partitions than there are cores.
+SPREAD_BYTES = 2 << 20
+
+
+def spread(df):
+    """df over all cores. A large table's files already give enough partitions, and it is returned as it is."""
+    context = df.sparkSession.sparkContext
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= context.defaultParallelism:
+        return df
+    return df.repartition(context.defaultParallelism)

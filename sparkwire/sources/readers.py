@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkwire.functions.text import anchors, digest_items, html_to_text, is_block_page, nz, text, trim
 from sparkwire.functions.urls import host, path
 from sparkwire.operators.windows import first_wins, host_cap, top_per_key, until_breaker
+from sparkwire.session import spread
 
 from .schemas import SCHEMAS
 
@@ -15,7 +16,7 @@ RSS_TOP, DIRECT_TOP = 25, 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def feed_list(spark: SparkSession, path_: str) -> DataFrame:
