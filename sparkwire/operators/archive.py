@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwire.functions.text import nz, text
@@ -10,7 +10,7 @@ from sparkwire.functions.urls import hash_url_title, channel, normalize
 from sparkwire.session import checkpoint
 
 from .dedupe import REF, attach, collapse, leaders, story_groups
-from .windows import first_wins, last_wins
+from .windows import first_wins, last_wins, numbered
 
 MOST, CUT = 200, 800
 
@@ -78,9 +78,8 @@ def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "ti
     kept, gone = joined.where("leader is null"), joined.where("leader is not null")
     if attach_dups:
         kept = attach(kept, gone, "__key", "leader", title, "__key")
-    after = Window.orderBy("__key")
     base = kept.where("__old").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    added = kept.where("not __old").withColumn("seq", base + F.row_number().over(after))  # a batch, not the archive
+    added = numbered(kept.where("not __old"), "__key", "seq", base)
     return kept.where("__old").unionByName(added).select([c for c in kept.columns if c not in ("__key", "__old", "leader", "story_group")])
 
 
@@ -95,7 +94,7 @@ def packages(archive: DataFrame, runs: DataFrame, as_of_ms: int, days: int = 7)
     rows = recent.select(F.struct("seq", "p").alias("o"), "item.*", F.date_format(F.timestamp_millis("run_ms"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("collected_at"))
     rows = rows.join(archive.select("url", "title").distinct(), ["url", "title"], "left_anti")
     rows = first_wins(rows, F.struct("url", "title"), "o")
-    items = rows.select(F.row_number().over(Window.orderBy("o")).alias("seq"), hash_url_title(F.col("url"), F.col("title")).alias("article_hash"), "title", "url", channel(F.col("url")).alias("source"), "posted_at", "collected_at", F.lit(None).cast("double").alias("trust_score"))
+    items = numbered(rows, "o", "seq").select("seq", hash_url_title(F.col("url"), F.col("title")).alias("article_hash"), "title", "url", channel(F.col("url")).alias("source"), "posted_at", "collected_at", F.lit(None).cast("double").alias("trust_score"))
     return upsert(archive, items, "", attach_dups=False)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwire.functions.text import nz
+from sparkwire.session import checkpoint
 
 
 def first_wins(df: DataFrame, key: Column | str, order: str = "seq") -> DataFrame:
@@ -90,6 +91,22 @@ def queue_position(df: DataFrame, priority: str = "priority", parts: int = 64) -
     return df.join(places, priority)
 
 
+def numbered(df: DataFrame, order: str, name: str, base: int = 0) -> DataFrame:
+    """Adds name: base + 1, base + 2, ... in order, without a window over all rows.
+
+    Rows are sorted into ranges, numbered within each, and moved by the sizes of the ranges before.
+    """
+    ranged = checkpoint(df.orderBy(order).withColumn("__range", F.spark_partition_id()))
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # bounded: partitions
+    start, before = {}, base
+    for k in sorted(sizes):
+        start[k] = before
+        before += sizes[k]
+    moved = F.create_map(*[F.lit(x) for kv in (start or {0: 0}).items() for x in kv])[F.col("__range")]
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranged.withColumn(name, (moved + within).cast("long")).drop("__range")
+
+
 def best_snippets(df: DataFrame, key: list[str], text: str = "text", order: str = "seq", least: int = 30, head: int = 60, cut: int = 600, most: int = 8) -> DataFrame:
     """Distinct snippets by their first characters, the longest first."""
     own = df.withColumn(text, F.trim(F.col(text))).where(F.length(text) >= least).withColumn("__head", F.lower(F.left(F.col(text), F.lit(head))))
