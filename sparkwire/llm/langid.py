@@ -29,7 +29,8 @@ SAMPLE, LANGUAGES = 400, 64
 ORDERS = (4, 3, 2, 1)
 #: Log discount for each order stepped down, and the additive smoothing.
 STEP, ADD = math.log(0.4), 0.1
-MEMO = 200_000
+#: Unseen words whose scores a task keeps.
+MEMO = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,41 +51,64 @@ class Model:
                         padded = f"<{w}>"
                         for i in range(len(padded) - n + 1):
                             grams[n][padded[i : i + n]][k] += c
-        self.words = _logs({w: c for w, c in counts.items() if rows[w] > 1})
-        self.grams = {n: _logs(g) for n, g in grams.items()}
-        self.memo: dict[str, np.ndarray] = {}
-
-    def of(self, word: str) -> np.ndarray:
-        """The word's log score in each language."""
-        if (v := self.words.get(word)) is not None:
-            return v
-        if (v := self.memo.get(word)) is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            v = self.memo[word] = self._back_off(word)
-        return v
-
-    def _back_off(self, word: str) -> np.ndarray:
-        padded, total = f"<{word}>", np.zeros(len(self.langs))
-        seen = 0
-        for i in range(len(padded)):
-            for down, n in enumerate(ORDERS):
-                if i + n <= len(padded) and (v := self.grams[n].get(padded[i : i + n])) is not None:
-                    total += v + down * STEP
-                    seen += 1
-                    break
-        return total / max(1, seen)
+        known = _logs({w: c for w, c in counts.items() if rows[w] > 1})
+        self.words = {w: k for k, w in enumerate(known)}
+        self.known = np.array(list(known.values())).reshape(len(known), len(self.langs))
+        # one table of n-grams of all orders, with the discount for the steps down to each
+        logs = {g: v + down * STEP for down, n in enumerate(ORDERS) for g, v in _logs(grams[n]).items()}
+        self.grams = {g: k for k, g in enumerate(logs)}
+        self.gram_logs = np.array(list(logs.values())).reshape(len(logs), len(self.langs))
+        self.rows: _Rows | None = None
+
+    def back_off(self, unseen: list[str]) -> np.ndarray:
+        """Of each word the mean score of its n-grams: at each place the longest that is known."""
+        get, flat, ends = self.grams.get, [], []
+        for word in unseen:
+            padded = f"<{word}>"
+            for i in range(len(padded)):
+                for n in ORDERS:
+                    if (k := get(padded[i : i + n])) is not None:
+                        flat.append(k)
+                        break
+            ends.append(len(flat))
+        ends = np.array(ends)
+        n = np.diff(ends, prepend=0)
+        total = np.zeros((len(flat) + 1, len(self.langs)))
+        np.cumsum(self.gram_logs[flat], axis=0, out=total[1:])
+        return (total[ends] - total[ends - n]) / np.maximum(1, n)[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
         if not found or not self.langs:
             return "und", 0.0
-        of = self.of
-        scores = np.array([of(w) for w in found]).T @ np.fromiter(found.values(), float, len(found))
+        if self.rows is None:
+            self.rows = _Rows(self)
+        own, counts = list(found), np.fromiter(found.values(), float, len(found))
+        scores = np.zeros(len(self.langs))
+        for a in range(0, len(own), MEMO // 2):
+            scores += counts[a : a + MEMO // 2] @ self.rows.scores(own[a : a + MEMO // 2])
         best = int(scores.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(scores - scores[best], -700, 0)).sum())
 
 
+class _Rows(dict):
+    """Words' rows in a table of log scores: the known ones first, then unseen ones as they come, up to MEMO."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.words)
+        self.model, self.table = model, np.vstack([model.known, np.empty((MEMO, len(model.langs)))])
+
+    def scores(self, own: list[str]) -> np.ndarray:
+        if len(self) + len(own) > len(self.table):
+            self.clear()
+            self.update(self.model.words)
+        if unseen := [w for w in own if w not in self]:
+            first = len(self)
+            self.table[first : first + len(unseen)] = self.model.back_off(unseen)
+            self.update(zip(unseen, range(first, first + len(unseen)), strict=True))
+        return self.table[np.fromiter(map(self.__getitem__, own), np.int64, len(own))]
+
+
 def _logs(counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
     if not counts:
         return {}
