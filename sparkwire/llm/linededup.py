@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, merge_tree
+from .common import blobs, checkpoint, merge_tree
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of each filter and of a slice. Both filters have this fixed size: 8 MB each, broadcast.
@@ -102,7 +102,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
 
-    found = docs.select("doc_id", "text").mapInArrow(suspects, "id long, key binary").distinct()
+    found = checkpoint(docs.select("doc_id", "text").mapInArrow(suspects, "id long, key binary").distinct())
     lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     return found.join(lines, "key").where("id < keeper").groupBy("id").agg(F.collect_list("key").alias("drop"))
 
