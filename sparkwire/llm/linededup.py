@@ -104,6 +104,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
     found = checkpoint(docs.select("doc_id", "text").mapInArrow(suspects, "id long, key binary").distinct())
     lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    lines = checkpoint(lines)  # so that the join shuffles both sides and a very common line can be split
     return found.join(lines, "key").where("id < keeper").groupBy("id").agg(F.collect_list("key").alias("drop"))
 
 
