@@ -45,15 +45,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp and other columns of longs: the fingerprint as a signed long."""
 
     def run(it):
         for batch in it:
             fp = np.fromiter(map(fingerprint, blobs(batch.column(1))), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *others])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *others).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in others]]))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -76,8 +76,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame):
+    """A hash of the whole row; xxhash64 passes over nulls, so which columns are null goes in too."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*[c.isNull() for c in columns], *columns)
+
+
+def least_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (with their __row) that are first in their component of found (doc_id, row, root); equal rows become one."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    keep = first.select(F.col("least.row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of least doc_id of their components; rows that repeat a doc_id become one."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component: that of the least doc_id, null last, then of the least hash of the row."""
+    rows = docs.withColumn("__row", row_key(docs))
+    fps = checkpoint(fingerprints(rows, ("__row",)))
+    roots = components(links(fps.select("fp").distinct()))
+    found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", F.col("__row").alias("row"), F.coalesce("root", "fp").alias("root"))
+    return least_rows(rows, found)

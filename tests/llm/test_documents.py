@@ -316,6 +316,14 @@ def test_simhash(docs, all_rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({c for c in brute_components(fps)})
 
 
+def test_keep_one_chooses_rows(spark):
+    """Rows without an id, and rows of one id with different texts, are rows of their own."""
+    a, b, c, d = (" ".join(f"{x}{k * k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, d), (9, c), (None, b)]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 def test_simhash_links_chains_and_balls(spark):
     """A chain of steps of two bits, a ball around one point, the sign bit, and far ones."""
     chain = [sum(3 << 2 * k for k in range(n)) for n in range(12)]
