@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import blobs, checkpoint
 from .graph import components
 
@@ -89,9 +90,15 @@ def least_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the least doc_id, null last, then of the least hash of the row."""
+def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = jaccard.SHINGLE) -> DataFrame:
+    """One row of each component: that of the least doc_id, null last, then of the least hash of the row.
+
+    Components are those of near_duplicates(), or with a similarity those of jaccard.near_copies().
+    """
     rows = docs.withColumn("__row", row_key(docs))
+    if similarity is not None:
+        named = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"), "text")
+        return least_rows(rows, jaccard.near_copies(named, shingle, similarity).withColumnRenamed("id", "doc_id"))
     fps = checkpoint(fingerprints(rows, ("__row",)))
     roots = components(links(fps.select("fp").distinct()))
     found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", F.col("__row").alias("row"), F.coalesce("root", "fp").alias("root"))

@@ -324,6 +324,49 @@ def test_keep_one_chooses_rows(spark):
     assert got == Counter([(None, a), (None, b), (7, c), (7, d)])
 
 
+def test_near_copies_are_all_found(spark):
+    """Edited copies at similarities around 0.8, a chain, short and wordless texts, against all pairs."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(6, 150))]
+        for _ in range(6):
+            rows.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+    rows += [" ".join(["all", "share", "this", "first", "phrase", *[f"q{k}{j}" for j in range(20)]]) for k in range(40)]
+    rows += [None, "", " \n", "one", "ONE", "two words", "two words", "a b c d", "a b c d e", "a b c d e f"]
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(rows)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[find(k)].append((i is None, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df, similarity=0.8)
+    assert kept.columns == df.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(min(g)[1] for g in groups.values())
+    assert 60 < len(groups) < 110
+    assert simhash.keep_one(df.limit(0), similarity=0.8).count() == 0
+
+
 def test_simhash_links_chains_and_balls(spark):
     """A chain of steps of two bits, a ball around one point, the sign bit, and far ones."""
     chain = [sum(3 << 2 * k for k in range(n)) for n in range(12)]
