@@ -2,7 +2,7 @@
 
 A document's ids are cut into full sequences from its start; what remains, its tail, is packed. Tails
 are dealt by a hash of the document into shards of about SHARD documents, each with a BM25 inverted
-index over its tails. A seed asks its shard's index with its rarest terms; unused neighbours, best
+index over its tails. A seed asks its shard's index with all of its terms; unused neighbours, best
 first, fill the seed's window, and the one that does not fit is cut: its rest seeds the next sequence.
 When a shard has no scored neighbour left, unused tails follow in order. So every sequence is full but
 the last of each shard.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, END = 1024, 0
-SHARD, TERMS = 2048, 16
+SHARD = 2048
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k"
 
@@ -80,20 +80,19 @@ class Shard:
         key, tf = np.unique(terms * max(1, n) + owner, return_counts=True)
         self.term, self.doc = key // max(1, n), key % max(1, n)
         self.terms, self.first, df = np.unique(self.term, return_index=True, return_counts=True)
-        self.last = self.first + df
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.df = df
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Scores of all tails for the rarest terms of ids that two tails have at least."""
-        out = np.zeros(len(self.tails))
+        """BM25 scores of all tails for the distinct terms of ids; a term that one tail has is the seed's own."""
         at = np.searchsorted(self.terms, np.unique(ids))
         at = at[self.df[at] > 1]
-        for k in at[np.argsort(self.df[at], kind="stable")[:TERMS]]:
-            out[self.doc[self.first[k] : self.last[k]]] += self.weight[self.first[k] : self.last[k]]
-        return out
+        sizes = self.df[at]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.first[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.doc[places], self.weight[places], minlength=len(self.tails))
 
     def pack(self, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
         """Sequences of (tail, from, to), which cover every id of every tail once."""

@@ -276,6 +276,24 @@ def test_bm25_prefers_lexical_neighbours():
     assert packing.Shard([]).pack() == []
 
 
+def test_bm25_scores_every_term_of_a_seed():
+    """Seeds share over a hundred terms with other tails; scores are those of the formula, summed over all of them."""
+    rng = np.random.default_rng(8)
+    tails = [np.minimum(rng.zipf(1.3, rng.integers(150, 700)), 3000).astype(np.uint16) for _ in range(60)]
+    shard, n = packing.Shard(tails), len(tails)
+    counts, mean = [Counter(t.tolist()) for t in tails], sum(map(len, tails)) / n
+    df = Counter(x for c in counts for x in c)
+    for seed in range(0, n, 7):
+        want = [0.0] * n
+        for x in counts[seed]:
+            for d in range(n):
+                if counts[d][x] and df[x] > 1:
+                    idf = math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5))
+                    want[d] += idf * counts[d][x] * (packing.K1 + 1) / (counts[d][x] + packing.K1 * (1 - packing.B + packing.B * len(tails[d]) / mean))
+        np.testing.assert_allclose(shard.scores(tails[seed]), want, rtol=1e-9)
+    assert packing.Shard([np.array([1], np.uint16), np.array([2], np.uint16)]).scores(np.array([1])).tolist() == [0, 0]
+
+
 # ---- 8: SimHash
 
 
