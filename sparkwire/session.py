@@ -43,11 +43,21 @@ def ship(spark: SparkSession) -> None:
     context._sparkwire_shipped = True
 
 
-def checkpoint(df):
-    """Cuts the lineage into the folder of spark.checkpoint.dir; into one of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; a folder of its own only where none is set and the master is local."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpoint(df):
+    """Cuts the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
