@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.session import spread
+from sparkwire.session import checkpoint, shared_folder, spread  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -25,19 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage into the folder of spark.checkpoint.dir; a folder of its own only where none is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A side of a join that is counted to have so many rows of a number or two is broadcast (about 32 MB).
+BROADCAST_ROWS = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one set in its place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it is counted to be small; otherwise the join shuffles. df is checkpointed or cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name with as many underscores before it as no column of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 #: Tasks whose sums one task merges.

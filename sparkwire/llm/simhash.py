@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import blobs, checkpoint
+from .common import blobs, checkpoint, fresh, small
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -83,11 +83,21 @@ def row_key(docs: DataFrame):
     return F.xxhash64(*[c.isNull() for c in columns], *columns)
 
 
-def least_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (with their __row) that are first in their component of found (doc_id, row, root); equal rows become one."""
+def least_rows(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows that are first in their component of found (doc_id, row, root); equal rows become one.
+
+    `key` names the rows' hash, row in found. Only what goes, and rows that occur more than once, are looked
+    up: lists that are broadcast if they are counted to be small, so that most texts are not shuffled.
+    """
+    found = checkpoint(found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-    keep = first.select(F.col("least.row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    named = found.groupBy("root", "row").agg(F.count("*").alias("n")).join(first, "root").select(F.col("row").alias(key), "n", (F.col("row") == F.col("least.row")).alias("stays"))
+    apart = checkpoint(named.where("n > 1 or not stays"))
+    gone, repeated = small(apart.select(key)), apart.where("stays").select(key)
+    out = rows.join(gone, key, "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(small(repeated), key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)
 
 
 def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = jaccard.SHINGLE) -> DataFrame:
@@ -95,11 +105,13 @@ def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = ja
 
     Components are those of near_duplicates(), or with a similarity those of jaccard.near_copies().
     """
-    rows = docs.withColumn("__row", row_key(docs))
+    key = fresh("__row", docs)
+    rows = docs.withColumn(key, row_key(docs))
+    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("row"))
     if similarity is not None:
-        named = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"), "text")
-        return least_rows(rows, jaccard.near_copies(named, shingle, similarity).withColumnRenamed("id", "doc_id"))
-    fps = checkpoint(fingerprints(rows, ("__row",)))
+        found = jaccard.near_copies(slim.select(F.col("doc_id").alias("id"), "row", "text"), shingle, similarity).withColumnRenamed("id", "doc_id")
+        return least_rows(rows, found, key).select([f"`{c}`" for c in docs.columns])
+    fps = checkpoint(fingerprints(slim, ("row",)))
     roots = components(links(fps.select("fp").distinct()))
-    found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", F.col("__row").alias("row"), F.coalesce("root", "fp").alias("root"))
-    return least_rows(rows, found)
+    found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
+    return least_rows(rows, found, key).select([f"`{c}`" for c in docs.columns])
