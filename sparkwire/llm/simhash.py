@@ -91,7 +91,8 @@ def least_rows(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """
     found = checkpoint(found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-    named = found.groupBy("root", "row").agg(F.count("*").alias("n")).join(first, "root").select(F.col("row").alias(key), "n", (F.col("row") == F.col("least.row")).alias("stays"))
+    counted = found.groupBy("row").agg(F.count("*").alias("n"))
+    named = counted.join(first.select(F.col("least.row").alias("row"), F.lit(True).alias("first")), "row", "left").select(F.col("row").alias(key), "n", F.coalesce("first", F.lit(False)).alias("stays"))
     apart = checkpoint(named.where("n > 1 or not stays"))
     gone, repeated = small(apart.select(key)), apart.where("stays").select(key)
     out = rows.join(gone, key, "left_anti")
