@@ -63,22 +63,34 @@ def search_hits(responses: DataFrame, per_host: int = 2, most: int = 10) -> Data
     return host_cap(rows, "host", per_host, most, ["query"], "pos")
 
 
-def guarded(responses: DataFrame, limit: int = 25, budget_s: float = 360.0) -> DataFrame:
-    """Responses in order until the time is spent or after `limit` empty ones in a row; n_hits and elapsed_s are theirs."""
-    return until_breaker(responses.where(F.col("elapsed_s") <= budget_s), F.col("n_hits") == 0, limit)
+def guarded(responses: DataFrame, limit: int = 25, budget_s: float = 360.0, narrow: int = 5, wide: int = 10) -> DataFrame:
+    """Responses in order until the time is spent or after `limit` empty ones in a row; n_hits and elapsed_s are theirs.
+
+    max_hits is how many hits each query may give: few for one that names a site.
+    """
+    most = F.when(F.lower(text(F.col("query"))).contains("site:"), narrow).otherwise(wide) if "query" in responses.columns else F.lit(wide)
+    return until_breaker(responses.where(F.col("elapsed_s") <= budget_s), F.col("n_hits") == 0, limit).withColumn("max_hits", most)
 
 
 #: Paths of listings that are no articles.
 LISTING_TAIL = r"/(page|tag|tags|category|author|search)(/|$)|^/?$"
 
 
-def listing_links(pages: DataFrame, most: int = 15, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, pos, href, label): article links of listing pages, of the page's own site."""
+def listing_links(pages: DataFrame, most: int = 15, url: str = "url", html: str = "html", selectors: dict[str, list[str]] | None = None) -> DataFrame:
+    """(url, pos, href, label): article links of listing pages, of the page's own site.
+
+    selectors: for a part of a host, patterns of which a link of such hosts must match one (of its href);
+    the first part that the host contains counts, hosts without one take all links.
+    """
     base = host(F.col(url))
     rows = pages.select(F.col(url).alias("page"), base.alias("base"), F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1).alias("root"), F.posexplode(anchors(F.col(html))).alias("pos", "a"))
     link = F.when(F.col("a.href").startswith("//"), F.concat(F.lit("https:"), "a.href")).when(F.col("a.href").startswith("/"), F.concat("root", "a.href")).otherwise(F.col("a.href"))
     rows = rows.select("page", "base", "pos", link.alias("href"), F.col("a.label").alias("label")).where(F.col("href").rlike("^https?://") & (F.length("label") >= 15))
     bare = F.regexp_replace("base", r"^www\.", "")
+    fits = F.lit(True)
+    for part, patterns in reversed((selectors or {}).items()):
+        fits = F.when(F.col("base").contains(part), F.col("href").rlike("|".join(f"(?:{p})" for p in patterns))).otherwise(fits)
+    rows = rows.where(fits)
     rows = rows.where(F.contains(host(F.col("href")), bare) & ~path(F.col("href")).rlike(LISTING_TAIL))
     return top_per_key(first_wins(rows, F.struct("page", "href"), "pos"), ["page"], most, F.col("pos")).select(F.col("page").alias("url"), "pos", "href", "label")
 
@@ -94,15 +106,12 @@ def candidates(spark: SparkSession, path_: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, path_: str, name: str = "archive") -> DataFrame:
-    """A stored archive; a missing one is empty."""
-    from pyspark.errors import AnalysisException
-
+    """A stored archive; one that was never written is empty."""
     from .schemas import empty
+    from .sinks import current
 
-    try:
-        return spark.read.schema(SCHEMAS[name]).parquet(path_)
-    except AnalysisException:
-        return empty(spark, name)
+    where = current(spark, path_)
+    return empty(spark, name) if where is None else spark.read.schema(SCHEMAS[name]).parquet(where)
 
 
 def digest_runs(spark: SparkSession, path_: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Sinks. A table is replaced as a whole, by Spark's committer; readers see the old or the new one."""
+"""Sinks. A table is replaced as a whole, by Spark's committer; readers see the old or the new one.
+
+The new table is written beside the old one, which is then moved aside, and goes when the new one has
+its name. Whatever step a writer is lost at, the old or the new table is whole under one of its two names.
+"""
 
 from __future__ import annotations
 
@@ -20,18 +24,39 @@ def replace(df: DataFrame, path: str, partition: list[str] | None = None) -> int
     return n
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(new, True)
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    """The file system of the last path, and the paths as its own."""
+    own = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return own[-1].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *own
+
+
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.aside"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Where the table of that name is to be read: a writer that was lost may have left it aside. None if none was ever written."""
+    fs, aside, own = _paths(spark, _aside(path), path)
+    return path if fs.exists(own) else _aside(path) if fs.exists(aside) else None
+
+
+def _rename(fs, old, new) -> None:
     if not fs.rename(old, new):
-        raise OSError(f"{source} could not be moved to {target}")
+        raise OSError(f"{old} could not be moved to {new}")
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    fs, old, aside, new = _paths(spark, source, _aside(target), target)
+    if fs.exists(new):
+        fs.delete(aside, True)
+        _rename(fs, new, aside)
+    _rename(fs, old, new)
+    fs.delete(aside, True)
 
 
 def drop(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _paths(spark, path)
+    return fs.delete(target, True)
 
 
 def append(df: DataFrame, path: str) -> None:

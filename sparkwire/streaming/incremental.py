@@ -26,15 +26,11 @@ def archive_stream(stream: DataFrame, path: str, checkpoint: str, as_of: Callabl
 
 def latest_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the last row of each key: reactions, preferences, snapshots."""
-    from pyspark.errors import AnalysisException
-
     from sparkwire.operators.windows import last_wins
 
     def each(batch: DataFrame, number: int) -> None:
-        try:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        except AnalysisException:
-            old = batch.limit(0)
+        where = sinks.current(batch.sparkSession, path)
+        old = batch.limit(0) if where is None else batch.sparkSession.read.schema(batch.schema).parquet(where)
         sinks.replace(last_wins(old.unionByName(batch), F.struct(*keys), order), path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
