@@ -10,39 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_DECODE = json.JSONDecoder().raw_decode
+
+
 def first_object(raw: str | None) -> str | None:
-    """The first balanced {...} that is JSON."""
-    decode = json.JSONDecoder().raw_decode
+    """The first {...} that is JSON."""
     start = (raw or "").find("{")
     while start >= 0:
-        end = _balanced(raw, start)
-        if end:
-            try:
-                decode(raw[start:end])
-                return raw[start:end]
-            except json.JSONDecodeError:
-                pass
-        start = raw.find("{", start + 1)
+        try:
+            return raw[start : _DECODE(raw, start)[1]]
+        except (json.JSONDecodeError, RecursionError):
+            start = raw.find("{", start + 1)
     return None
 
 
-def _balanced(raw: str, start: int) -> int:
-    """The place after the brace that closes the one at start; zero if none does."""
-    depth, quoted, i = 0, False, start
-    while i < len(raw):
-        c = raw[i]
-        if quoted and c == "\\":
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return i + 1
-        i += 1
-    return 0
-
-
 @F.pandas_udf(T.StringType())
 def first_json_object(raw: pd.Series) -> pd.Series:
     return raw.map(first_object)

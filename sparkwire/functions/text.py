@@ -99,7 +99,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def first_sentences(col: Column, n: int = 2, most: int = 600) -> Column:
     body = trim(text(col))
-    parts = F.filter(F.transform(F.split(body, r"(?U)(?<=[.!?…])\s+"), trim), lambda s: s != "")
+    # the body has no blank ends, so that no part is empty, and what follows the first n need not be split
+    parts = F.filter(F.transform(F.split(body, r"(?U)(?<=[.!?…])\s+", n + 1), trim), lambda s: s != "")
     return F.left(F.array_join(F.slice(parts, 1, n), " "), F.lit(most))
 
 

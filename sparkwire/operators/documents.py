@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwire.functions.text import clean_tags, cut_bytes, nz, shorten, text, trim
+from sparkwire.functions.text import clean_tags, cut_bytes, inline_urls, nz, text, trim, upload_tags
 
 
 def can(users: DataFrame) -> DataFrame:
-    """can_read and can_moderate of users (is_admin, sections, moderator)."""
-    read = F.col("is_admin") | F.array_contains("sections", "kb")
-    return users.withColumn("can_read", F.coalesce(read, F.lit(False))).withColumn("can_moderate", F.coalesce(F.col("is_admin") | F.col("moderator"), F.lit(False)))
+    """can_read, can_upload and can_moderate of users (is_admin, sections, moderator): who reads may upload."""
+    read = F.coalesce(F.col("is_admin") | F.array_contains("sections", "kb"), F.lit(False))
+    return users.withColumns({"can_read": read, "can_upload": read, "can_moderate": F.coalesce(F.col("is_admin") | F.col("moderator"), F.lit(False))})
 
 
 def visible(user: str, moderator: bool) -> Column:
@@ -66,16 +66,55 @@ def search_tags(docs: DataFrame) -> DataFrame:
 
 
 def fetched(candidates: DataFrame, tiers: list[tuple[str, str, int]], trust: str = "trust_score", paid: tuple[str, float] | None = ("paid", 0.5)) -> DataFrame:
-    """(text, mode) of the first tier (column, mode, least length) that is long enough; a paid tier needs trust."""
+    """(text, mode) of the first tier (column, mode, least length) that is long enough; a paid tier needs trust.
+
+    A tier with a fourth value wins only below that trust: PREFETCH has such a one.
+    """
     out, mode = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for column, name, least in tiers:
+    for column, name, least, *below in tiers:
         fits = F.length(trim(text(F.col(column)))) >= least
+        if below:
+            fits = fits & (F.coalesce(F.col(trust), F.lit(0.0)) < below[0])
         if paid and column == paid[0]:
             fits = fits & (F.coalesce(F.col(trust), F.lit(0.0)) >= paid[1])
         out, mode = F.coalesce(out, F.when(fits, F.col(column))), F.coalesce(mode, F.when(fits, F.lit(name)))
     return candidates.withColumn("text", F.coalesce(out, F.lit(""))).withColumn("mode", F.coalesce(mode, F.lit("thin")))
 
 
+#: The tiers of a prefetch (columns direct, page, snippets, paid): long snippets win, shorter ones below a trust of 0.5 or last.
+PREFETCH = [("direct", "direct", 200), ("page", "page", 200), ("snippets", "snippets", 800), ("snippets", "snippets", 200, 0.5), ("paid", "paid", 200), ("snippets", "snippets", 200)]
+#: The tiers for items that still lack text when they are summarised.
+RESCUE = [("direct", "direct", 300), ("paid", "paid", 300)]
+
+
+def modes(rows: DataFrame) -> DataFrame:
+    """How often each mode of fetching was the one."""
+    return rows.groupBy("mode").agg(F.count("*").alias("n"))
+
+
+def with_linked(docs: DataFrame, pages: DataFrame, most: int = 40_000) -> DataFrame:
+    """Documents with the texts of pages (url, text) that they name in line, in their order, within so many characters."""
+    named = docs.select("id", F.posexplode(inline_urls(F.col("content"))).alias("p", "url"))
+    got = named.join(pages.where(trim(text(F.col("text"))) != "").select("url", "text"), "url")
+    parts = got.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "url", "text"))), lambda x: F.concat(x["url"], F.lit("\n"), x["text"])).alias("__parts"))
+    own = docs.join(parts, "id", "left")
+    return own.withColumn("content", F.left(F.concat_ws("\n\n", "content", "__parts"), F.lit(most))).drop("__parts")
+
+
+def again(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents to be enriched again: those asked for that are not pending, with their status so."""
+    own = docs.join(ids.select("id").distinct().withColumn("__a", F.lit(True)), "id", "left")
+    now = F.col("__a") & (F.coalesce(nz(F.col("moderation_status")), F.lit("approved")) != "pending")
+    return own.withColumn("enrichment_status", F.when(now, "pending").otherwise(F.col("enrichment_status"))).drop("__a")
+
+
+def uploaded(files: DataFrame, author: str, at: str, tags: str = "") -> DataFrame:
+    """Files (path, ext, content) as approved documents of their author."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = files.where(F.col("content").isNotNull()).select(name.alias("title"), "content", F.lit("file").alias("source_type"), F.col("path").alias("source_ref"), F.col("ext").alias("file_ext"), upload_tags(F.lit(tags)).alias("tags"), F.lit(author).alias("author"), F.lit(True).alias("is_moderator"))
+    return inserted(rows, at)
+
+
 def merged_summaries(items: DataFrame, summaries: DataFrame, least: int = 200) -> DataFrame:
     """Items with summaries (id, summary) of at least so many characters."""
     good = summaries.where(F.length(trim(text(F.col("summary")))) >= least).select("id", trim(F.col("summary")).alias("__s"))
@@ -101,7 +140,3 @@ def latest_health(runs: DataFrame) -> DataFrame:
     """The latest run of each mode."""
     cols = [c for c in runs.columns if c != "mode"]
     return runs.groupBy("mode").agg(F.max_by(F.struct(*cols), "finished_at").alias("r")).select("mode", "r.*")
-
-
-def short(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.withColumn(column, shorten(F.col(column), n))

@@ -10,9 +10,10 @@ from sparkwire.functions.python import first_json_object
 from sparkwire.functions.scores import confidence, document_quality, is_new, is_overdue, is_validated, source_kind
 from sparkwire.functions.text import category, nz, text, title_tokens, trim
 from sparkwire.functions.urls import news_id
+from sparkwire.session import checkpoint
 
 from .dedupe import similar_pairs
-from .windows import first_wins, top_per_key
+from .windows import first_wins
 
 LATEST = 60
 REPLY = "hypotheses array<struct<statement:string,rationale:string,category:string,confidence:string,sources:array<struct<doc_id:string,excerpt:string,is_origin:boolean>>>>"
@@ -186,19 +187,30 @@ def detail(ident: str, hypotheses: DataFrame, evidence: DataFrame, docs: DataFra
 def graph(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
     """(a, b, w): pairs of nodes, a < b, with the number of items they share.
 
-    Pairs are counted over classes of items with one set of nodes, not over items, so that many
-    items with the same nodes are one. The relation itself has a row for each pair that shares one.
+    Nodes meet on items in one join, which splits an item that very many nodes share; no item's nodes
+    are gathered in a row. The relation itself has a row for each pair that shares an item; where only
+    neighbours are asked for, neighbours() takes no pairs.
     """
     own = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).distinct()
-    sets = own.groupBy("i").agg(F.sort_array(F.collect_set("n")).alias("nodes")).where(F.size("nodes") > 1)
-    classes = sets.groupBy("nodes").agg(F.count("*").alias("w"))
-    left = classes.select("nodes", "w", F.posexplode("nodes").alias("p", "a"))
-    return left.select("a", "w", F.explode(F.slice("nodes", F.col("p") + 2, F.size("nodes"))).alias("b")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    left, right = own.select(F.col("n").alias("a"), "i"), own.select(F.col("n").alias("b"), "i")
+    return left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
+def neighbours(evidence: DataFrame, nodes: DataFrame, pattern: str, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
+    """Ids of nodes with the words, and of those that share an item with one, by their items and without edges."""
+    hits = _with_words(nodes, pattern)
+    own = evidence.select(F.col(node).alias("id"), F.col(item).alias("i"))
+    items = own.join(hits, "id", "left_semi").select("i").distinct()
+    return hits.union(own.join(items, "i", "left_semi").select("id")).distinct()
+
+
+def _with_words(nodes: DataFrame, pattern: str) -> DataFrame:
+    return nodes.where(F.lower(F.concat(text(F.col("statement")), F.lit(" "), text(F.col("rationale")))).contains(pattern.lower())).select("id")
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, pattern: str) -> DataFrame:
     """Ids of nodes with the words, and of their neighbours."""
-    hits = nodes.where(F.lower(F.concat(text(F.col("statement")), F.lit(" "), text(F.col("rationale")))).contains(pattern.lower())).select("id")
+    hits = _with_words(nodes, pattern)
     both = edges.select("a", "b").union(edges.select("b", "a"))
     return hits.union(both.join(hits, F.col("a") == F.col("id"), "left_semi").select("b")).distinct()
 
@@ -219,9 +231,72 @@ def board(hypotheses: DataFrame) -> DataFrame:
     return names.join(by, F.col("status") == F.col("lifecycle_status"), "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def cap_per(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
-    return top_per_key(rows, keys, n, *order)
+def filtered(hypotheses: DataFrame, archived: bool = False, category: str | None = None, kind: str | None = None, view: str | None = None) -> DataFrame:
+    """What a page shows: archived rows or all others, then the filters that are set; view is 'validated' or 'single'."""
+    is_archived = F.coalesce(nz(F.col("lifecycle_status")), F.lit("synthesized")) == "archived"
+    out = hypotheses.where(is_archived if archived else ~is_archived)
+    if category:
+        out = out.where(F.col("category") == category)
+    if kind:
+        out = out.where(F.coalesce(nz(F.col("source_kind")), F.lit("material")) == kind)
+    if view == "validated":
+        out = out.where(F.col("validated") != 0)
+    elif view == "single":
+        out = out.where(F.col("evidence_count") <= 1)
+    return out
+
+
+def header(hypotheses: DataFrame) -> DataFrame:
+    """One row: all, validated and single-source hypotheses, and the two views' sizes."""
+    archived = F.coalesce(nz(F.col("lifecycle_status")), F.lit("synthesized")) == "archived"
+    return hypotheses.agg(
+        F.count("*").alias("total"), F.count_if(F.col("validated") != 0).alias("validated"), F.count_if(F.col("evidence_count") <= 1).alias("single"),
+        F.count_if(~archived).alias("asis"), F.count_if(archived).alias("archive"),
+    )
+
 
+def job_inputs(docs: DataFrame, news: DataFrame, processed: DataFrame, limit: int = LATEST, most: int = 2400) -> DataFrame:
+    """The latest approved materials and news, each `limit` before those already processed are left out.
 
-def running(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("n_so_far", F.count("*").over(Window.partitionBy(key).orderBy(order)))
+    (id, kind, title, source_type, source_ref, tags, content, seq): seq is the order of a prompt,
+    materials first, the newest first.
+    """
+    body = lambda c: F.when(F.length(c) > most, F.concat(F.regexp_replace(F.left(c, F.lit(most)), r"(?U)\s+\z", ""), F.lit("…"))).otherwise(c)
+    a = docs.where("moderation_status = 'approved'").select("id", F.lit("material").alias("kind"), "title", "source_type", text(F.col("source_ref")).alias("source_ref"), text(F.col("tags")).alias("tags"), trim(text(F.col("content"))).alias("content"), text(F.col("created_at")).alias("at"))
+    parts = F.array(nz(F.col("summary")), F.when(nz(F.col("case_type")).isNotNull(), F.concat(F.lit("Тип: "), "case_type")))
+    told = F.coalesce(nz(trim(F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n"))), F.col("title"))
+    tags = F.regexp_replace(F.concat(F.lit("news,"), text(F.col("origin"))), "^,+|,+$", "")
+    b = news.select("id", F.lit("news").alias("kind"), "title", F.lit("news").alias("source_type"), F.coalesce(nz(F.col("source")), F.col("url")).alias("source_ref"), tags.alias("tags"), told.alias("content"), text(F.col("collected_at")).alias("at"))
+    both = unprocessed(a, processed, [F.desc("at"), F.col("id")], limit).unionByName(unprocessed(b, processed, [F.desc("at"), F.col("id")], limit))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("at"), "id"))  # `limit` rows of a kind at most
+    return both.withColumn("seq", F.struct((F.col("kind") == "news").alias("late"), rank.alias("rank"))).withColumn("content", body(F.col("content"))).drop("at")
+
+
+def insight_job(docs: DataFrame, news: DataFrame, hypotheses: DataFrame, evidence: DataFrame, processed: DataFrame, model, run_id: str, at: str, head: str = "") -> dict[str, DataFrame]:
+    """One run: new materials and news, one prompt, the model's reply, what it stores, and the run's row.
+
+    model(prompts) gives (run_id, raw) for rows (run_id, prompt): any backend over a DataFrame. Without
+    new sources or without a reply that can be read nothing is stored and the run's status is 'error'.
+    """
+    inputs = checkpoint(job_inputs(docs, news, processed))
+    n = {r["kind"]: r["n"] for r in inputs.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # bounded: two kinds
+    total, error = sum(n.values()), None
+    first = processed.isEmpty()
+    after = {"hypotheses": hypotheses, "evidence": evidence, "processed": processed}
+    proposed = validated = 0
+    if not total:
+        error = "no new sources"
+    else:
+        prompts = prompt(inputs, head).select(F.lit(run_id).alias("run_id"), "prompt")
+        replies = checkpoint(model(prompts).select("run_id", "raw"))
+        if not replies.where(F.from_json(first_json_object(F.col("raw")), REPLY)["hypotheses"].isNotNull()).count():
+            error = "no reply with hypotheses"
+        else:
+            h, e = store(hypotheses, evidence, replies, inputs.select("id"), at, append=not first)
+            h, e = checkpoint(h), checkpoint(e)
+            row = h.where(F.col("run_id") == run_id).agg(F.count("*"), F.count_if(F.col("validated") == 1)).first()
+            proposed, validated = row[0], row[1]
+            after = {"hypotheses": h, "evidence": e, "processed": mark_processed(processed, inputs.select(F.col("id").alias("doc_id")), run_id, at)}
+    row = (run_id, at, at, "error" if error else "done", total, proposed, validated, error, n.get("material", 0), n.get("news", 0), not first)
+    kind = "id string, started_at string, finished_at string, status string, docs_total long, hypotheses_total long, validated_total long, error string, new_materials long, new_news long, incremental boolean"
+    return after | {"run": docs.sparkSession.createDataFrame([row], kind)}

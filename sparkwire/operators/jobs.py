@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwire.functions.scores import at_rank, elapsed, parse_iso, priority, retry_delay
+from sparkwire.functions.scores import elapsed, parse_iso, priority, retry_delay
 from sparkwire.functions.text import nz
 
 from .windows import queue_position
@@ -22,21 +22,29 @@ def _measured(jobs: DataFrame, since: str | None) -> DataFrame:
 
 
 def metrics(jobs: DataFrame, since: str | None = None) -> DataFrame:
-    """(dimension, name, counts, error_rate, durations and waits) by kind and by tier in one pass.
+    """(dimension, name, counts, error_rate, durations and waits) by kind and by tier.
 
-    A percentile is an element of the group's sorted values, as the definition has it; groups are a
-    handful of kinds and tiers over a bounded window of hours.
+    A percentile is an element of the group's sorted values, given in whole seconds. So the rows of each
+    whole second are counted, in every task first, and the element is found by running counts: what a
+    group's window holds are its distinct seconds, never its rows.
     """
     rows = _measured(jobs, since)
     errors = F.count_if(F.col("status").isin("error", "interrupted"))
-    runs, waits = F.collect_list("__run"), F.collect_list("__wait")
-    long = lambda c: F.coalesce(c, F.lit(0.0)).cast("long")
     cells = rows.select("*", F.explode(F.array(F.struct(F.lit("kind").alias("dimension"), F.col("kind").alias("name")), F.struct(F.lit("tier").alias("dimension"), F.col("tier").alias("name")))).alias("g"))
-    return cells.groupBy("g.dimension", "g.name").agg(
+    base = cells.groupBy("g.dimension", "g.name").agg(
         F.count("*").alias("count"), F.count_if("__done").alias("done"), errors.alias("errors"), F.bround(errors / F.count("*"), 3).alias("error_rate"),
-        long(at_rank(runs, 0.5)).alias("p50_duration_s"), long(at_rank(runs, 0.95)).alias("p95_duration_s"), long(F.avg("__run")).alias("avg_duration_s"),
-        long(at_rank(waits, 0.5)).alias("p50_wait_s"), long(at_rank(waits, 0.95)).alias("p95_wait_s"),
+        F.coalesce(F.avg("__run"), F.lit(0.0)).cast("long").alias("avg_duration_s"),
     )
+    measures = F.explode(F.array(F.struct(F.lit("duration").alias("what"), F.col("__run").alias("v")), F.struct(F.lit("wait").alias("what"), F.col("__wait").alias("v"))))
+    seconds = cells.select("g.dimension", "g.name", measures.alias("m")).where("m.v is not null").groupBy("dimension", "name", "m.what", F.col("m.v").cast("long").alias("v")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy("dimension", "name", "what")
+    ranked = seconds.withColumn("before", F.sum("c").over(group.orderBy("v")) - F.col("c")).withColumn("n", F.sum("c").over(group))
+    at = lambda p: F.bround((F.col("n") - 1) * p).cast("long")
+    of = lambda what, p: F.coalesce(F.max(F.when((F.col("what") == what) & (F.col("before") <= at(p)) & (at(p) < F.col("before") + F.col("c")), F.col("v"))), F.lit(0).cast("long")).alias(f"p{round(100 * p)}_{what}_s")
+    points = ranked.groupBy("dimension", "name").agg(*[of(what, p) for what in ("duration", "wait") for p in (0.5, 0.95)])
+    zero = [F.coalesce(F.col(f"p{p}_{what}_s"), F.lit(0).cast("long")).alias(f"p{p}_{what}_s") for what in ("duration", "wait") for p in (50, 95)]
+    met = base.join(points.withColumnsRenamed({"dimension": "__d", "name": "__n"}), (F.col("dimension") == F.col("__d")) & F.col("name").eqNullSafe(F.col("__n")), "left")
+    return met.select("dimension", "name", "count", "done", "errors", "error_rate", zero[0], zero[1], "avg_duration_s", zero[2], zero[3])
 
 
 def totals(jobs: DataFrame, since: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Full-text search over an inverted index: prefix terms, all of them, ranked by BM25."""
+"""Full-text search over a table or an inverted index: prefix terms, all of them, ranked by BM25."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwire.session import checkpoint
+
 K1, B = 1.2, 0.75
 #: Letters with marks and their bare forms, for matching without diacritics.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿёй"
@@ -27,32 +29,65 @@ def index(docs: DataFrame, ident: str, columns: list[str]) -> tuple[DataFrame, D
     return postings, own.select("id", F.size("words").alias("length"))
 
 
+def reindexed(postings: DataFrame, lengths: DataFrame, changed: DataFrame, ids: DataFrame, ident: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The index after documents were added, changed or (where `changed` lacks them) deleted; ids has column id."""
+    new_postings, new_lengths = index(changed, ident, columns)
+    return postings.join(ids, "id", "left_anti").unionByName(new_postings), lengths.join(ids, "id", "left_anti").unionByName(new_lengths)
+
+
+def stored(postings: DataFrame, lengths: DataFrame, path: str) -> None:
+    """Writes an index, postings in ranges of terms, so that a prefix reads few files' row groups."""
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def terms_of(query: str) -> list[str]:
+    """The first twelve words of a query without diacritics, cut where the index cuts."""
+    terms = [t.translate(str.maketrans(MARKED, BARE)) for t in re.findall(r"[\w\-]+", (query or "").lower())[:12]]
+    return list(dict.fromkeys(p for t in terms for p in re.findall(r"[^\W_]+", t)))
+
+
 def search(docs: DataFrame, ident: str, columns: list[str], query: str, limit: int = 30, visible: Column | None = None) -> DataFrame:
     """(id, score): documents that have a word with each term of the query as its prefix; the least score is the best.
 
     A prefix's frequency is the number of its words in a document, and its document frequency the
-    number of documents with one. Only postings of the query's terms leave the scan.
+    number of documents with one. For a table without an index: each text is cut into words once, and
+    only counts leave the scan.
     """
-    terms = [t.translate(str.maketrans(MARKED, BARE)) for t in re.findall(r"[\w\-]+", (query or "").lower())[:12]]
-    terms = list(dict.fromkeys(p for t in terms for p in re.findall(r"[^\W_]+", t)))
-    limit = max(1, min(100, limit))
+    terms = terms_of(query)
     if not terms:
         return docs.limit(0).select(F.col(ident).alias("id"), F.lit(0.0).alias("score"))
-    words = F.concat(*[tokens(F.col(c)) for c in columns])
-    tf = [_hits(t).alias(f"tf{k}") for k, t in enumerate(terms)]
-    scored = docs.select(F.col(ident).alias("id"), (F.lit(True) if visible is None else visible).alias("visible"), words.alias("words")).select("id", "visible", F.size("words").alias("length"), *tf)
-    stats = scored.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
+    own = docs.select(F.col(ident).alias("id"), (F.lit(True) if visible is None else visible).alias("visible"), F.explode_outer(F.concat(*[tokens(F.col(c)) for c in columns])).alias("w"))
+    counts = own.groupBy("id", "visible").agg(F.count("w").alias("length"), *[F.count_if(F.col("w").startswith(t)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counts = checkpoint(counts)  # a few numbers a document, read for the statistics and for the scores
+    return _ranked(counts, counts.agg(*_stats(len(terms))).first(), len(terms), limit)
+
+
+def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 30, visible: DataFrame | None = None) -> DataFrame:
+    """search() over an index; visible has the ids that may be shown. The terms' ranges are pushed to the scan of postings."""
+    terms = terms_of(query)
+    if not terms:
+        return lengths.limit(0).select("id", F.lit(0.0).alias("score"))
+    within = reduce(lambda a, b: a | b, [(F.col("term") >= t) & (F.col("term") < t + "\U0010ffff") for t in terms])
+    hits = postings.where(within).groupBy("id").agg(*[F.sum(F.when(F.col("term").startswith(t), F.col("tf")).otherwise(0)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    hits = checkpoint(hits)
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first().asDict() | hits.agg(*_stats(len(terms))[2:]).first().asDict()
+    found = hits.where(" and ".join(f"tf{k} > 0" for k in range(len(terms)))).join(lengths, "id").withColumn("visible", F.lit(True))
+    return _ranked(found if visible is None else found.join(visible, "id", "left_semi"), stats, len(terms), limit)
+
+
+def _stats(n: int) -> list[Column]:
+    return [F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(n)]]
+
+
+def _ranked(counts: DataFrame, stats, n: int, limit: int) -> DataFrame:
     parts = []
-    for k in range(len(terms)):
+    for k in range(n):
         idf = F.greatest(F.lit(1e-6), F.log((F.lit(stats["n"]) - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)))
         f = F.col(f"tf{k}").cast("double")
         parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"]))))
-    every = reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
-    return scored.where(every & F.col("visible")).select("id", (-reduce(lambda a, b: a + b, parts)).alias("score")).orderBy("score", "id").limit(limit)
-
-
-def _hits(term: str) -> Column:
-    return F.size(F.filter(F.col("words"), lambda w: w.startswith(term)))
+    every = reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(n)])
+    return counts.where(every & F.col("visible")).select("id", (-reduce(lambda a, b: a + b, parts)).alias("score")).orderBy("score", "id").limit(max(1, min(100, limit)))
 
 
 def snippet(col: Column, terms: list[str], words: int = 24, begin: str = "<mark>", end: str = "</mark>") -> Column:

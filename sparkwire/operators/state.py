@@ -73,6 +73,24 @@ def feed(events: DataFrame, user: str, order: str = "seq") -> DataFrame:
     )
 
 
+def detail(events: DataFrame, article: str, user: str, order: str = "seq", most: int = 10) -> DataFrame:
+    """One row: what one reader sees at one article, with the first others who like or dislike it."""
+    own = events.where(F.col("article_hash") == article)
+    last = reactions(own.where("kind = 'react'"), order=order)
+    mine = F.col("user") == user
+    others = lambda a: F.slice(F.sort_array(F.collect_list(F.when((F.col("action") == a) & ~mine & (F.col("__rank") <= most), F.col("user")))), 1, most)
+    rank = F.row_number().over(Window.partitionBy("action").orderBy(mine.cast("int"), "user"))
+    r = last.withColumn("__rank", rank).agg(
+        F.count_if(F.col("action") == "like").alias("likes"), F.count_if(F.col("action") == "dislike").alias("dislikes"), F.max(F.when(mine, F.col("action"))).alias("my_reaction"),
+        others("like").alias("likers_other"), others("dislike").alias("dislikers_other"),
+    )
+    b = bookmarks(own.where("kind = 'bookmark'")).agg(F.coalesce(F.max(mine), F.lit(False)).alias("bookmarked"), F.count("*").alias("bookmark_total"))
+    n = notes(own.where("kind = 'note'"), order).where(mine).agg(F.coalesce(F.max("note"), F.lit("")).alias("my_note"))
+    tails = chats(own, order)
+    c = tails.agg(F.count_if(mine).alias("my_chat_msgs"), F.count_distinct("user").alias("team_chat_active"))
+    return r.join(b).join(n).join(c)  # four single rows
+
+
 def checked(events: DataFrame, state: DataFrame) -> DataFrame:
     """result of one transition event for each hypothesis (to, caller, confirm) against its state."""
     edges = events.sparkSession.createDataFrame([(a, b) for a, bs in P.TRANSITIONS.items() for b in bs], "lifecycle_status string, to string")

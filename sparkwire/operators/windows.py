@@ -50,10 +50,15 @@ def host_cap(df: DataFrame, host: str, per_host: int, most: int, group: list[str
     return top_per_key(capped, group, most, F.col(order)) if group else capped.orderBy(order).limit(most)
 
 
+def _grouped(group: list[str] | None) -> list[str]:
+    if not group:
+        raise ValueError("a window over all rows is one task; use until_breaker() without a group, or numbered()")
+    return group
+
+
 def empty_runs(df: DataFrame, is_empty: Column, order: str = "seq", group: list[str] | None = None) -> DataFrame:
-    """Adds empties_before: the number of empty rows right before a row, since the last that was not."""
-    group = group or []
-    w = Window.partitionBy(*group).orderBy(order)
+    """Adds empties_before: the number of empty rows right before a row, since the last that was not, within each group."""
+    w = Window.partitionBy(*_grouped(group)).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     flagged = df.withColumn("__empty", F.when(is_empty, 1).otherwise(0))
     marked = flagged.withColumn("__n", F.row_number().over(w))
@@ -63,12 +68,21 @@ def empty_runs(df: DataFrame, is_empty: Column, order: str = "seq", group: list[
 
 def until_breaker(df: DataFrame, is_empty: Column, limit: int = 25, order: str = "seq", group: list[str] | None = None) -> DataFrame:
     """The rows before the first one that follows `limit` empty rows in a row."""
-    group = group or []
+    if not group:
+        return _until_first(df, is_empty, limit, order)
     runs = empty_runs(df, is_empty, order, group)
     w = Window.partitionBy(*group).orderBy(order)
     return runs.withColumn("__hit", F.max(F.when(F.col("empties_before") >= limit, 1).otherwise(0)).over(w)).where("__hit = 0").drop("__hit", "empties_before")
 
 
+def _until_first(df: DataFrame, is_empty: Column, limit: int, order: str) -> DataFrame:
+    """until_breaker() over all rows: the row after `limit` empty ones has that many among the places before it."""
+    placed = numbered(df, order, "__place")
+    ahead = placed.where(is_empty).select(F.explode(F.sequence(F.col("__place") + 1, F.col("__place") + limit)).alias("p"))
+    first = ahead.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") == limit).agg(F.min("p")).first()[0] if limit else 1
+    return (placed if first is None else placed.where(F.col("__place") < first)).drop("__place")
+
+
 def queue_position(df: DataFrame, priority: str = "priority", parts: int = 64) -> DataFrame:
     """Adds queue_pos: the number of rows of this priority or a lesser one.
 

@@ -9,10 +9,12 @@ from sparkwire.functions import patterns as P
 from sparkwire.functions.scores import is_fresh
 from sparkwire.functions.text import classify, nz, on_topic, rate, strip_tags, text, trim, without_antibot
 from sparkwire.functions.urls import GOOD, normalize, resolved, shape, with_trust
+from sparkwire.operators import documents
 from sparkwire.operators.archive import merge_candidates
 from sparkwire.operators.dedupe import collapse
 from sparkwire.operators.documents import merged_summaries
 from sparkwire.operators.windows import first_wins, round_robin
+from sparkwire.session import checkpoint
 
 BUDGET, LEAST_TRUST = 320, 0.30
 
@@ -28,7 +30,10 @@ def demo(entries: DataFrame, registry: DataFrame, collected_at: str, topics: dic
     rows = rows.withColumn("case_type", classify(F.col("title"), F.col("summary_src"), **(topics or {}))).where(F.col("case_type") != P.NONE)
     rows = with_trust(rows, "url", registry).withColumn("collected_at", F.lit(collected_at))
     rows = rows.withColumn("text", F.coalesce("full_text", "summary_src")).withColumn("fetch_mode", F.when(F.col("full_text").isNotNull(), "full").otherwise("summary")).drop("full_text")
-    rows = collapse(rows, "title", "seq")
+    rows = checkpoint(rows)
+    # only what the collapse reads goes through it; the bodies come back once
+    kept = collapse(rows.select("seq", "title", "url", "source", "trust_score", "collected_at"), "title", "seq")
+    rows = rows.join(kept.select("seq", "dup_sources"), "seq")
     rating = rate(F.col("title"), F.col("text"), F.col("case_type"))
     return rows.withColumn("r", rating).select("seq", "title", "url", "source", "case_type", "trust_score", "trust_matched_domain", "fetch_mode", F.col("r.summary").alias("summary"), F.col("r.rating").alias("rating"), "dup_sources", "collected_at")
 
@@ -94,10 +99,26 @@ def with_texts(candidates: DataFrame, fetched: DataFrame, cut: int = 2500) -> Da
     return candidates.join(got, "url", "left").withColumn("article_text", F.coalesce("__t", "article_text")).drop("__t")
 
 
+def prefetch(candidates: DataFrame, fetched: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Candidates with texts by the tiers of fetched (url, direct, page, snippets, paid), and the count of each mode."""
+    targets = prefetch_targets(candidates, most)
+    got = checkpoint(documents.fetched(targets.select("url", "trust_score").join(fetched, "url", "left"), documents.PREFETCH))
+    return with_texts(candidates, got.select("url", "text").dropDuplicates(["url"])), documents.modes(got)
+
+
 def summary_targets(items: DataFrame, most: int = 35, least_trust: float = 0.0) -> DataFrame:
     rows = items.where((trim(text(F.col("summary_ru"))) == "") & (F.coalesce("trust_score", F.lit(0.0)) >= least_trust))
     return rows.orderBy(F.desc(F.coalesce("trust_score", F.lit(0.0))), "seq").limit(most)
 
 
-def summarised(items: DataFrame, summaries: DataFrame, least: int = 200) -> DataFrame:
-    return merged_summaries(items, summaries, least)
+def summarised(items: DataFrame, fetched: DataFrame, model, most: int = 35, least: int = 200) -> DataFrame:
+    """Items (seq, url, title, article_text, summary_ru, trust_score) with summaries of those that lack one.
+
+    What has no text takes it from fetched (url, direct, paid). model(rows) gives (id, summary) for rows
+    (id, title, text): any backend over a DataFrame.
+    """
+    targets = summary_targets(items, most)
+    got = documents.fetched(targets.join(fetched, "url", "left"), documents.RESCUE)
+    body = F.coalesce(nz(trim(text(F.col("article_text")))), nz(F.col("text")), F.lit(""))
+    rows = got.select(F.col("seq").alias("id"), "title", body.alias("text")).where("text <> ''")
+    return merged_summaries(items.withColumn("id", F.col("seq")), model(rows), least).drop("id")

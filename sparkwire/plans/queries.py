@@ -151,7 +151,7 @@ def _filled(spark, sf_dir):
 
 def _stories(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("seq"), F.left("text", F.lit(40)).alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "source", F.col("q").cast("double").alias("trust_score"), F.lit(AS_OF).alias("collected_at"), F.when(F.col("lang") != "de", F.concat("source", "lang")).alias("story_group"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("seq"), F.col("text").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "source", F.col("q").cast("double").alias("trust_score"), F.lit(AS_OF).alias("collected_at"), F.when(F.col("lang") != "de", F.concat("source", "lang")).alias("story_group"))
     out = dedupe.story_groups(docs)
     return out.select(F.col("seq").alias("doc_id"), F.size("dup_sources").cast("long").alias("n_dups"), F.coalesce(F.try_element_at("dup_sources", F.lit(1))["url"], F.lit("")).alias("first_dup"))
 
@@ -247,20 +247,19 @@ _FTS = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lo
 
 
 def _best(spark, sf_dir):
-    lead = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 6), " ")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lead(F.col("text")).alias("statement"), F.lit("x").alias("category"))
-    first = docs.groupBy("statement").agg(F.min("id").alias("id"))
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), text.page_title(F.col("html")).alias("statement"), F.lit("x").alias("category"))
+    first = pages.groupBy("statement").agg(F.min("id").alias("id"))
     known = first.select("id", "statement", F.lit("x").alias("category"), F.col("id").alias("pos"))
-    out = insights.best_match(docs, known)
-    return out.select(F.col("id").alias("doc_id"), F.col("match").alias("best"), F.col("common").cast("long").alias("common"), F.col("united").cast("long").alias("united"))
+    out = insights.best_match(pages, known)
+    return out.select(F.col("id").alias("page_id"), F.col("match").alias("best"), F.col("common").cast("long").alias("common"), F.col("united").cast("long").alias("united"))
 
 
-_BEST = f"""WITH d AS (SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS s FROM documents),
-  k AS (SELECT min(doc_id) AS id, s FROM d GROUP BY s), dt AS (SELECT doc_id, {_TOKENS.format('s')} AS t FROM d), kt AS (SELECT id, {_TOKENS.format('s')} AS t FROM k),
+_BEST = f"""WITH d AS (SELECT page_id, {_TITLE} AS s FROM pages),
+  k AS (SELECT min(page_id) AS id, s FROM d GROUP BY s), dt AS (SELECT page_id, {_TOKENS.format('s')} AS t FROM d), kt AS (SELECT id, {_TOKENS.format('s')} AS t FROM k),
   tok AS (SELECT DISTINCT t FROM dt WHERE len(t) > 0), x AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.t, b.t)) AS common, len(list_distinct(list_concat(a.t, b.t))) AS united FROM tok a JOIN tok b ON list_has_any(a.t, b.t)),
-  p AS (SELECT dt.doc_id, kt.id, common, united FROM x JOIN dt ON dt.t = x.ta JOIN kt ON kt.t = x.tb WHERE 10 * common >= 7 * united),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY common / united DESC, id) AS r FROM p)
-  SELECT doc_id, id AS best, common, united FROM r WHERE r = 1"""
+  p AS (SELECT dt.page_id, kt.id, common, united FROM x JOIN dt ON dt.t = x.ta JOIN kt ON kt.t = x.tb WHERE 10 * common >= 7 * united),
+  r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY common / united DESC, id) AS r FROM p)
+  SELECT page_id, id AS best, common, united FROM r WHERE r = 1"""
 
 
 def _docs(spark, sf_dir):
@@ -313,7 +312,7 @@ def _lifecycle(spark, sf_dir):
 
 def _tiers(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    rows = d.select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("direct"), F.when(F.col("lang") != "de", F.left("text", F.lit(500))).alias("snippets"), F.col("text").alias("paid"), ((F.col("doc_id") % 10) / 10.0).alias("trust_score"))
+    rows = d.select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("direct"), F.when(F.col("lang") != "de", F.col("text")).alias("snippets"), F.col("text").alias("paid"), ((F.col("doc_id") % 10) / 10.0).alias("trust_score"))
     out = documents.fetched(rows, [("direct", "direct", 300), ("snippets", "snippets", 400), ("paid", "paid", 200), ("snippets", "snippets", 200)])
     return out.select("doc_id", "mode", F.length("text").cast("long").alias("n"))
 
@@ -325,10 +324,8 @@ def _snapshot(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    e = _evidence(spark, sf_dir).join(_hypotheses(spark, sf_dir).where("validated = 1").select(F.col("id").alias("hypothesis_id")), "hypothesis_id", "left_semi")
-    edges = insights.graph(e)
     nodes = _hypotheses(spark, sf_dir).select("id", F.col("owner_username").alias("statement"), F.col("created_at").alias("rationale"))
-    return insights.neighbourhood(edges, nodes, "USER3 1997-06").select("id")
+    return insights.neighbours(_evidence(spark, sf_dir), nodes, "USER3 1997-06").select("id")
 
 
 QUERIES = {
@@ -384,23 +381,23 @@ QUERIES = {
     "windowed_counts": (lambda s, d: incremental.windowed_counts(table(s, d, "events"), "ts", ["event_type"], "6 hours"), "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "category_normalize": (lambda s, d: _docs(s, d).select("doc_id", text.category(F.when(F.col("lang") == "en", "UX-UI").when(F.col("lang") == "fr", " Travel tips").when(F.col("lang") == "de", "ПУ / подписки").otherwise(F.col("source"))).alias("category")), "SELECT doc_id, CASE lang WHEN 'en' THEN 'UX/UI' WHEN 'fr' THEN 'Travel' WHEN 'de' THEN 'ПУ/подписки' ELSE '' END AS category FROM documents"),
     "confidence_clamp": (lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(scores.confidence((F.col("o_totalprice") / 250000).cast("string")), 6).alias("confidence"), scores.is_validated(scores.confidence((F.col("o_totalprice") / 250000).cast("string"))).alias("validated")), "SELECT o_orderkey, round(least(1.0, greatest(0.0, o_totalprice / 250000)), 6) AS confidence, CASE WHEN o_totalprice / 250000 > 0.9 THEN 1 ELSE 0 END AS validated FROM orders"),
-    "snippet_dedup": (lambda s, d: windows.best_snippets(_docs(s, d).select("doc_id", "source", F.left("text", F.lit(700)).alias("text")), ["source"], order="doc_id").select("source", "doc_id", F.length("text").cast("long").alias("n")), "WITH t AS (SELECT doc_id, source, trim(left(text, 700)) AS t FROM documents), a AS (SELECT doc_id, source, left(t, 600) AS t, row_number() OVER (PARTITION BY source, lower(left(t, 60)) ORDER BY doc_id) AS r FROM t WHERE length(t) >= 30), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(t) DESC, doc_id) AS q FROM a WHERE r = 1) SELECT source, doc_id, length(t) AS n FROM b WHERE q <= 8"),
+    "snippet_dedup": (lambda s, d: windows.best_snippets(_docs(s, d).select("doc_id", "source", "text"), ["source"], order="doc_id").select("source", "doc_id", F.length("text").cast("long").alias("n")), "WITH t AS (SELECT doc_id, source, trim(text) AS t FROM documents), a AS (SELECT doc_id, source, left(t, 600) AS t, row_number() OVER (PARTITION BY source, lower(left(t, 60)) ORDER BY doc_id) AS r FROM t WHERE length(t) >= 30), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(t) DESC, doc_id) AS q FROM a WHERE r = 1) SELECT source, doc_id, length(t) AS n FROM b WHERE q <= 8"),
     "agent_reply_parse": (_events_reply, """SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN 's' || user_id ELSE 'p' || event_id || chr(10) || chr(10) || 'q' END AS reply, CASE event_type WHEN 'error' THEN 'no reply' END AS error, CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN 'x' || event_id ELSE 'y' || user_id END AS session FROM events"""),
     "lifecycle_check": (_lifecycle, f"""WITH {_HYP}, a AS (SELECT id, lifecycle_status AS s, CASE WHEN id % 3 > 0 THEN 'User' || substr(owner, 5) END AS o, CASE id % 4 WHEN 0 THEN 'in_review' WHEN 1 THEN 'validated' WHEN 2 THEN 'archived' ELSE 'adopted' END AS t, id % 8 < 4 AS c FROM h),
       r AS (SELECT *, CASE WHEN s = t THEN 'unchanged' WHEN NOT ((s = 'synthesized' AND t IN ('in_review', 'archived')) OR (s = 'in_review' AND t IN ('validated', 'archived')) OR (s = 'validated' AND t IN ('adopted', 'archived'))) THEN 'transition_not_allowed' WHEN t = 'archived' AND NOT c THEN 'confirm_required' WHEN t IN ('validated', 'adopted') AND o IS NULL THEN 'assign_owner_first' ELSE 'ok' END AS result FROM a)
       SELECT id, result, CASE WHEN result = 'ok' THEN t ELSE s END AS lifecycle_status, CASE WHEN result = 'ok' AND t = 'in_review' AND o IS NULL THEN 'me' ELSE coalesce(o, '') END AS owner FROM r"""),
-    "fetch_cascade": (_tiers, "WITH d AS (SELECT doc_id, lang, length(trim(text)) AS n, length(text) AS m, least(length(text), 500) AS k, length(trim(left(text, 500))) AS kt, (doc_id % 10) / 10.0 AS t FROM documents) SELECT doc_id, CASE WHEN lang = 'en' AND n >= 300 THEN 'direct' WHEN lang <> 'de' AND kt >= 400 THEN 'snippets' WHEN n >= 200 AND t >= 0.5 THEN 'paid' WHEN lang <> 'de' AND kt >= 200 THEN 'snippets' ELSE 'thin' END AS mode, CASE WHEN lang = 'en' AND n >= 300 THEN m WHEN lang <> 'de' AND kt >= 400 THEN k WHEN n >= 200 AND t >= 0.5 THEN m WHEN lang <> 'de' AND kt >= 200 THEN k ELSE 0 END AS n FROM d"),
+    "fetch_cascade": (_tiers, "WITH d AS (SELECT doc_id, lang, length(trim(text)) AS n, length(text) AS m, length(text) AS k, length(trim(text)) AS kt, (doc_id % 10) / 10.0 AS t FROM documents) SELECT doc_id, CASE WHEN lang = 'en' AND n >= 300 THEN 'direct' WHEN lang <> 'de' AND kt >= 400 THEN 'snippets' WHEN n >= 200 AND t >= 0.5 THEN 'paid' WHEN lang <> 'de' AND kt >= 200 THEN 'snippets' ELSE 'thin' END AS mode, CASE WHEN lang = 'en' AND n >= 300 THEN m WHEN lang <> 'de' AND kt >= 400 THEN k WHEN n >= 200 AND t >= 0.5 THEN m WHEN lang <> 'de' AND kt >= 200 THEN k ELSE 0 END AS n FROM d"),
     "news_snapshot": (_snapshot, f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title FROM pages), u AS (SELECT 'news:' || CASE WHEN page_id % 2 = 0 THEN left(sha256(title), 16) ELSE left(sha256(url), 16) END AS id, 'travel' AS origin, url, 0 AS part, page_id FROM p UNION ALL SELECT 'news:' || left(sha256(url), 16), 'packages', url, 1, page_id FROM p)
       SELECT id, arg_min(origin, (part, page_id)) AS origin, arg_min(url, (part, page_id)) AS url FROM u GROUP BY id"""),
-    "graph_neighbourhood": (_neighbours, f"WITH {_HYP}, g AS (SELECT DISTINCT l_orderkey AS n, CASE WHEN l_returnflag = 'A' THEN 'news:' ELSE '' END || l_partkey AS i FROM lineitem SEMI JOIN (SELECT id FROM h WHERE validated = 1) v ON v.id = l_orderkey), s AS (SELECT id FROM h WHERE contains(lower(owner || ' ' || created_at), 'user3 1997-06')) SELECT id FROM s UNION SELECT y.n FROM g x JOIN g y ON x.i = y.i AND x.n <> y.n WHERE x.n IN (SELECT id FROM s)"),
+    "graph_neighbourhood": (_neighbours, f"WITH {_HYP}, g AS (SELECT DISTINCT l_orderkey AS n, CASE WHEN l_returnflag = 'A' THEN 'news:' ELSE '' END || l_partkey AS i FROM lineitem), s AS (SELECT id FROM h WHERE contains(lower(owner || ' ' || created_at), 'user3 1997-06')) SELECT id FROM s UNION SELECT y.n FROM g x JOIN g y ON x.i = y.i AND x.n <> y.n WHERE x.n IN (SELECT id FROM s)"),
     "inline_urls": (lambda s, d: _pages(s, d).select("page_id", F.array_join(text.inline_urls(F.concat(F.lit("see "), "url", F.lit(", and ("), "url", F.lit(") or http://x.y/a.PNG. "), "url", F.lit("2"))), " ").alias("found")), "SELECT page_id, regexp_replace(url, '[.,;:!?)>]+$', '') || ' ' || url || '2' AS found FROM pages"),
-    "tag_cleaning": (lambda s, d: _docs(s, d).select("doc_id", text.clean_tags(F.array_join(F.slice(F.split("text", " "), 1, 12), ",#")).alias("tags")), r"WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(string_split(text, ' ')[1:12], ',#'), ','), lambda x: regexp_replace(regexp_replace(lower(regexp_replace(x, '^\s+|\s+$', '', 'g')), '^#+', ''), '#+$', '')), lambda x: length(x) BETWEEN 1 AND 40) AS t FROM documents), u AS (SELECT doc_id, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:7] AS t FROM w) SELECT doc_id, array_to_string(t, ',') AS tags FROM u"),
+    "tag_cleaning": (lambda s, d: _docs(s, d).select("doc_id", text.clean_tags(F.replace("text", F.lit(" "), F.lit(",#"))).alias("tags")), r"WITH w AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), ' ', ',#'), ',')) AS x, generate_subscripts(string_split(replace(coalesce(text, ''), ' ', ',#'), ','), 1) AS p FROM documents), c AS (SELECT doc_id, p, regexp_replace(regexp_replace(lower(regexp_replace(x, '^\s+|\s+$', '', 'g')), '^#+', ''), '#+$', '') AS t FROM w), d AS (SELECT doc_id, t, min(p) AS p FROM c WHERE length(t) BETWEEN 1 AND 40 GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM d), j AS (SELECT doc_id, string_agg(t, ',' ORDER BY p) AS tags FROM r WHERE r <= 7 GROUP BY doc_id) SELECT d.doc_id, coalesce(j.tags, '') AS tags FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id"),
     "query_routing": (lambda s, d: _pages(s, d).select("page_id", urls.route(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("site:"), urls.host(F.col("url")))).when(F.col("page_id") % 3 == 1, F.lit("путешествия")).otherwise(F.col("url"))).alias("r")).select("page_id", "r.lang", "r.engines"), f"SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'ru' WHEN page_id % 3 = 0 AND (contains(left({_HOST}, 30), '.ru') OR contains(left({_HOST}, 30), '.by')) THEN 'ru' ELSE 'en' END AS lang, CASE WHEN page_id % 3 = 1 THEN 'yandex,duckduckgo,bing' WHEN page_id % 3 = 0 AND (contains(left({_HOST}, 30), '.ru') OR contains(left({_HOST}, 30), '.by')) THEN 'yandex,bing,duckduckgo' WHEN page_id % 3 = 0 THEN 'bing,duckduckgo,brave' ELSE 'duckduckgo,bing,brave' END AS engines FROM pages"),
-    "topic_gate": (lambda s, d: _docs(s, d).select("doc_id", text.on_topic(F.left("text", F.lit(30)), F.lit(""), F.col("source"), r"\bthe\b", r"\bof\b", r"\band\b").alias("kept")), r"SELECT doc_id, trim(left(text, 30)) = '' OR regexp_matches(left(text, 30), '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', 'i') AS kept FROM documents"),
+    "topic_gate": (lambda s, d: _docs(s, d).select("doc_id", text.on_topic(F.lit(""), F.col("text"), F.col("source"), r"\bthe\b", r"\bof\b", r"\band\b").alias("kept")), r"SELECT doc_id, regexp_matches(coalesce(text, ''), '^\s*$') OR regexp_matches(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', 'i') AS kept FROM documents"),
     "cache_ttl": (lambda s, d: archive.unexpired(table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), AS_OF, 24).select("event_id"), f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR"),
     "latest_health": (lambda s, d: documents.latest_health(table(s, d, "events").select(F.col("event_type").alias("mode"), F.struct("ts", "event_id").alias("finished_at"), "event_id", "user_id")).select("mode", "event_id", "user_id"), "SELECT event_type AS mode, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(user_id, (ts, event_id)) AS user_id FROM events GROUP BY 1"),
     "daily_increment": (lambda s, d: documents.evening(table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("collected_at")), "2024-01-15", 100), "SELECT count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-15') AS today, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-15') - 100 AS increment, count(*) AS total FROM events"),
-    "summary_merge": (lambda s, d: documents.merged_summaries(_docs(s, d).select(F.col("doc_id").alias("id"), F.lit("old").alias("summary_ru")), _docs(s, d).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.left("text", F.lit(400)).alias("summary"))).select("id", F.length("summary_ru").cast("long").alias("n")), r"SELECT doc_id AS id, CASE WHEN lang = 'en' AND length(regexp_replace(left(text, 400), '^\s+|\s+$', '', 'g')) >= 200 THEN length(regexp_replace(left(text, 400), '^\s+|\s+$', '', 'g')) ELSE 3 END AS n FROM documents"),
+    "summary_merge": (lambda s, d: documents.merged_summaries(_docs(s, d).select(F.col("doc_id").alias("id"), F.lit("old").alias("summary_ru")), _docs(s, d).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("summary"))).select("id", F.length("summary_ru").cast("long").alias("n")), r"SELECT doc_id AS id, CASE WHEN lang = 'en' AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200 THEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) ELSE 3 END AS n FROM documents"),
     "job_recovery": (lambda s, d: jobs.recovered(_jobs(s, d).withColumn("attempts", (F.col("id").cast("long") % 3).cast("int")).withColumn("status", F.when(F.col("status") == "queued", "running").otherwise(F.col("status"))), s.createDataFrame([("signup", True, False)], "kind string, recover boolean, serial boolean"), AS_OF).groupBy("kind", "status").agg(F.count("*").alias("n")), "SELECT event_type AS kind, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type <> 'signup' THEN 'done' WHEN event_id % 3 < 2 THEN 'queued' ELSE 'interrupted' END AS status, count(*) AS n FROM events GROUP BY 1, 2"),
     "processed_backfill": (lambda s, d: schemas.backfill_processed(table(s, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("r").alias("first_run_id"), F.lit("t").alias("processed_at")).distinct(), _docs(s, d).select(F.col("doc_id").cast("string").alias("doc_id")), "now").select("doc_id", "first_run_id"), "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'r' AS first_run_id FROM (SELECT DISTINCT doc_id FROM labels) UNION ALL SELECT CAST(doc_id AS VARCHAR), 'legacy' FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "sessions": (lambda s, d: incremental.sessions(table(s, d, "events"), "ts", ["user_id"], "12 hours"), "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM g GROUP BY user_id, k"),
