@@ -2,9 +2,10 @@
 
 Each vector has M projections on random directions. A block of vectors keeps every projection sorted;
 a query's window around its own projection widens by virtual rehashing (radius 1, c, c^2, ...), and a
-vector that falls into a fixed share of the query's windows is verified by its exact distance. A
-query ends when enough vectors have been verified and the k-th of them is nearer than the radius
-already searched, or when the whole block has been verified.
+vector that falls into a fixed share of the query's windows is verified by its exact distance, those
+with most collisions first. A query ends when the k-th verified one is nearer than the distance at which
+a vector would have been counted in these windows (SURE), or when k + FREE + BETA n of a block's n
+vectors have been verified, or all. The same rule holds for blocks of all sizes.
 
 Vectors and queries are dealt into blocks of bounded size, and each block of queries meets each block
 of vectors in one task: stated queries against all rows, in blocks. Per block k neighbours of a query
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_EACH = 10, 100
-#: Projections, the share of windows a candidate falls into, the ratio of radii, and the share of a block verified at least.
-M, SHARE, RATIO, VERIFY = 56, 0.6, 1.15, 0.35
-#: The share of a block that the first windows hold.
-FIRST = 0.3
-#: Vectors of a block verified for a query, if it has so many.
-LEAST = 1000
+#: Projections, the share of windows a candidate falls into, the ratio of radii, and the share of a block that the first windows hold.
+M, SHARE, RATIO, FIRST = 256, 0.6, 1.15, 0.4
+#: A query may verify k + FREE + BETA n of a block's n vectors.
+BETA, FREE = 0.05, 100
+#: A window of radius r holds a vector at distance r / SURE with a chance of 0.75, well over SHARE: such a one has been counted.
+SURE = 1.15
 VECTORS, QUERIES = 16384, 2048
 SEED = 7
 
@@ -49,30 +50,32 @@ class Block:
         self.flat, self.order = (self.sorted + self.moved[:, None]).ravel(), order.astype(np.int32).ravel()
         self.first = len(ids) * np.arange(m)
 
-    def search(self, own: int, query: np.ndarray, k: int = K, share: float = SHARE, verify: float = VERIFY) -> list[tuple[int, float]]:
+    def search(self, own: int, query: np.ndarray, k: int = K, share: float = SHARE) -> list[tuple[int, float]]:
         n, m = len(self.ids), len(self.first)
         centre = query @ self.directions
-        enough, need = min(n, max(LEAST, int(verify * n))), int(np.ceil(share * m))
-        counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+        enough, need = min(n, k + FREE + int(BETA * n)), int(np.ceil(share * m))
+        counts, done = np.zeros(n, np.int16), np.zeros(n, bool)
         end = self.first + n
         low = high = np.clip(np.searchsorted(self.flat, centre + self.moved), self.first, end)
         wide, at = int(FIRST * n / 2) + k, np.arange(m)
         far, near = np.minimum(n - 1, low - self.first + wide), np.maximum(0, low - self.first - wide)
         radius = max(float(np.median(self.sorted[at, far] - self.sorted[at, near])) / 2, 1e-12)
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
-        verified = 0
+        self.verified = 0
         while True:
             a = np.minimum(low, np.clip(np.searchsorted(self.flat, centre - radius + self.moved, "left"), self.first, end))
             b = np.maximum(high, np.clip(np.searchsorted(self.flat, centre + radius + self.moved, "right"), self.first, end))
-            new = [self.order[x:y] for x, y in zip(np.append(a, high).tolist(), np.append(low, b).tolist(), strict=True) if x < y]
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n)
+            for x, y in zip(np.append(a, high).tolist(), np.append(low, b).tolist(), strict=True):
+                counts[self.order[x:y]] += 1  # a projection has each vector once
             low, high = a, b
             whole = bool((low == self.first).all() and (high == end).all())
             new = np.flatnonzero(~done & ((counts >= need) | whole))
+            if len(new) > enough - self.verified and not whole:  # those that collide most come first
+                most = np.argsort(-counts[new], kind="stable")[: max(0, enough - self.verified)]
+                new = np.sort(new[(counts[new] >= counts[new[most]].min()) if len(most) else []])
             if len(new):
                 done[new] = True
-                verified += len(new)
+                self.verified += len(new)
                 far = self.vectors[new] - query
                 far, new = np.sqrt(np.einsum("ij,ij->i", far, far)), self.ids[new]
                 far, new = far[new != own], new[new != own]
@@ -86,7 +89,8 @@ class Block:
                     at = np.sort(np.unique(ids, return_index=True)[1])
                     ids, dist = ids[at], dist[at]
                 ids, dist = ids[:k], dist[:k]
-            if whole or verified >= enough and len(dist) == k:
+            found = len(dist) == k and dist[-1] <= radius / SURE
+            if whole or found or self.verified >= enough and len(dist) == k:
                 return list(zip(ids.tolist(), dist.tolist(), strict=True))
             radius *= RATIO
 

@@ -5,9 +5,11 @@ n-grams, the longest first: each position takes the longest n-gram the model kno
 for every order it had to step down. A text's language is the one with the greatest sum; the score
 is its posterior probability with equal priors.
 
-The model is fitted on a bounded sample: the SAMPLE labelled training rows of least hash for each of
-at most LANGUAGES languages (the most frequent), whole texts, words in two rows at least. Its size is
-bounded by these parameters and it is broadcast. Predictions read whole texts of all rows.
+The model is fitted on a bounded sample: of every language the SAMPLE labelled training rows of least
+hash, fewer if there are so many languages that ROWS in all would not do (one of each at least), and of
+those no more whole texts than have BYTES in all; words count in two rows at least. The model is
+broadcast. Predictions read whole texts of all rows. A word is a letter with the letters and marks that
+follow it.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; without any labelled row
 every text is `und`; ties go to the lesser name; lang, source and doc_id are never read to predict.
@@ -22,20 +24,27 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LANGUAGES = 400, 64
+from .common import fresh
+
+SAMPLE, ROWS, BYTES = 400, 25_600, 64 << 20
 ORDERS = (4, 3, 2, 1)
 #: Log discount for each order stepped down, and the additive smoothing.
 STEP, ADD = math.log(0.4), 0.1
 #: Unseen words whose scores a task keeps.
 MEMO = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: Where Python's own class of word characters is not that of letters: marks, and numbers that are no digits.
+_OTHER = regex.compile(r"[\p{M}\p{Nl}\p{No}]")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+    low = (text or "").lower()
+    return Counter((_WORD if low.isascii() or not _OTHER.search(low) else _LETTERS).findall(low))
 
 
 class Model:
@@ -124,21 +133,22 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """lang, text of the rows the model is fitted on. Hot languages are cut down in every task first."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc, F.lit(4)) != 2))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").count()
+    langs = counts.count()
+    per_language, most = max(1, min(per_language, ROWS // max(1, langs))), BYTES // max(1, langs)
     # the least hashes of each language, by a bound that leaves a few times as many rows as are kept
-    langs = {r["lang"]: max(1, r["count"]) for r in top.collect()}
-    if not langs:
-        return docs.limit(0).select("lang", "text")
-    bound = F.create_map(*[F.lit(x) for lang, n in langs.items() for x in (lang, min(1.0, 4 * per_language / n))])
-    docs = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), crc.alias("crc")).where(F.col("lang").isin(list(langs)) & F.col("text").isNotNull() & (F.pmod("crc", F.lit(4)) != 2))
-    near = docs.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= bound[F.col("lang")] + 1e-9)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language)
-    return best.select("lang", "text")
+    bound = counts.select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("bound"))
+    own = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(bound, F.col("lang") == F.col("__l"))
+    near = own.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("bound") + 1e-9)
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return best.withColumn("size", size).where((F.col("rank") == 1) | (F.col("size") <= most)).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     by = defaultdict(list)
-    for r in sample(docs, per_language).collect():  # bounded: SAMPLE rows of each of LANGUAGES languages
+    for r in sample(docs, per_language).collect():  # bounded: ROWS rows, or one of each language, and BYTES
         by[r["lang"]].append(r["text"])
     return Model(by)
 
@@ -171,4 +181,6 @@ LEAST_SCORE = 0.5
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents of which one language can be told; und and documents without a majority go."""
-    return identify(docs, names=("__lang", "__score")).where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh("__lang", docs), fresh("__score", docs)
+    found = identify(docs, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select([f"`{c}`" for c in docs.columns])

@@ -9,8 +9,10 @@
 
 Defined cases: null or empty text is one empty line; keys shorter than MIN_CHARS code points never
 count; several lines of one document with the same key count once and stay or go together; rows
-that repeat a doc_id are one document to the counts, and each of them is returned; a null doc_id is
-a document of its own, smaller than all others; other columns of the input are not read.
+that repeat a doc_id are one document to the counts, and each of them is returned; the rows without a
+doc_id are together one document, smaller than all others; other columns of the input are not read.
+The filters take BITS_FOR bits for each line that the texts' size lets expect, from LEAST_BITS to
+MOST_BITS; beyond that more lines are suspected and shuffled, and the result is the same.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, merge_tree
+from .common import blobs, checkpoint, fresh, merge_tree
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits of each filter and of a slice. Both filters have this fixed size: 8 MB each, broadcast.
-FILTER_BITS, SLICE_BITS = 1 << 26, 1 << 19
+#: Bits of each filter for a line, the bytes of text that a line takes, and the filter's bounds: 16 MB at most, broadcast.
+BITS_FOR, LINE_BYTES, LEAST_BITS, MOST_BITS = 8, 100, 1 << 22, 1 << 27
+SLICE_BITS = 1 << 19
 SPACE = b" \t\n\x0b\x0c\r"
-NULL_ID = -(1 << 63)
 
 
 def _keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
@@ -46,7 +48,13 @@ def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
 
-def seen_twice(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> np.ndarray:
+def bits_for(docs: DataFrame) -> int:
+    """A power of two for the size of the texts, which is read from their lengths alone."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_FOR * size // LINE_BYTES).bit_length()))
+
+
+def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The second filter's bytes: keys marked by two documents at least."""
     width = min(SLICE_BITS, bits)
 
@@ -85,41 +93,45 @@ def _merge(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"slice": table["slice"][:1], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
     """(id, drop): for each document that loses lines, their keys."""
+    bits = bits or bits_for(docs)
     sent = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, min_chars, bits))
 
     def suspects(it):
-        twice = np.unpackbits(sent.value).view(bool)
+        twice = sent.value
         for batch in it:
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
                 own = list({k for k in _keys(text, min_chars) if k is not None})
                 if own:
-                    hit = twice[_places(_hashes(own), bits)].all(axis=1)
+                    at = _places(_hashes(own), bits)
+                    hit = (twice[at >> 3] << (at & 7) & 128).all(axis=1)
                     keys += (found := [k for k, h in zip(own, hit, strict=True) if h])
-                    ids += [NULL_ID if i is None else i] * len(found)
+                    ids += [i] * len(found)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
 
     found = checkpoint(docs.select("doc_id", "text").mapInArrow(suspects, "id long, key binary").distinct())
-    lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    place = lambda c: F.struct(F.col(c).isNotNull(), F.col(c))  # noqa: E731  null is smaller than any id
+    lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max(place("id")).alias("keeper")).where(F.col("n") >= min_docs)
     lines = checkpoint(lines)  # so that the join shuffles both sides and a very common line can be split
-    return found.join(lines, "key").where("id < keeper").groupBy("id").agg(F.collect_list("key").alias("drop"))
+    return found.join(lines, "key").where(place("id") < F.col("keeper")).groupBy("id").agg(F.collect_list("key").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The documents with text as kept, and the two named counts beside, or instead of, the other columns."""
     docs = docs.drop(*counts)
-    drop = repeated_lines(docs, min_chars, min_docs, bits).toDF("__id", "__drop")
+    own, gone_ = fresh("__id", docs), fresh("__drop", docs)
+    drop = repeated_lines(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs, bits).toDF(own, gone_)
     names = docs.columns
-    joined = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).join(drop, "__id", "left").drop("__id")
+    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(it):
         for batch in it:
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(blobs(batch.column("text")), batch.column("__drop").to_pylist(), strict=True):
+            for text, gone in zip(blobs(batch.column("text")), batch.column(gone_).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 if gone:
                     gone = set(gone)

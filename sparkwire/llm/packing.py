@@ -1,18 +1,21 @@
 """Lexical retrieval packing of tokenised documents into sequences of at most 1024 tokens.
 
 A document's ids are cut into full sequences from its start; what remains, its tail, is packed. Tails
-are dealt by a hash of the document into shards of about SHARD documents, each with a BM25 inverted
-index over its tails. A seed asks its shard's index with all of its terms; unused neighbours, best
-first, fill the seed's window, and the one that does not fit is cut: its rest seeds the next sequence.
-When a shard has no scored neighbour left, unused tails follow in order. So every sequence is full but
-the last of each shard.
+are put in order by content, the least hashes of their distinct ids, so that tails of the same words lie
+together; ranges of that order are partitions, and each SHARD rows of a partition a shard with a BM25
+inverted index over its tails. A seed asks its shard's index with all of its terms; unused neighbours,
+best first, fill the seed's window, and the one that does not fit is cut: its rest seeds the next
+sequence. When a shard has no scored neighbour left, unused tails follow in order. So every sequence is
+full but the last of each shard. Rows of equal content are split among ranges by a hash of the row, and
+a shard never has more than SHARD rows.
 
 Ids are those of the tokenizers library. Plain Latin text is encoded by the same vocabulary in its
 faster implementation; text with any other character, or with a special token's string, goes to
 the tokenizers library itself, whose pre-tokeniser may differ there.
 
 Defined cases: null text is empty; an empty document is the one id 0; every row is a document, rows
-that repeat a doc_id or have none included; other columns are not read.
+that repeat a doc_id or have none included; other columns are not read. Rows that are equal in all that
+is read are in any order among themselves.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 LENGTH, END = 1024, 0
 SHARD = 2048
+#: Shards of a range, and least hashes of a tail that make its place in the order.
+RANGE, MINS = 8, 3
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k"
 
@@ -68,6 +75,15 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def place_of(ids: np.ndarray) -> int:
+    """A tail's place in the order by content: bits of the least of its distinct ids under MINS hashes."""
+    own, out = np.unique(ids).astype(np.uint64), 0
+    for k in range(MINS if len(own) else 0):
+        least = mix(own * np.uint64(2 * k + 1) + np.uint64(k << 32)).min()
+        out = out << 21 | int(mix(np.array([least]))[0] >> np.uint64(43))
+    return out
+
+
 class Shard:
     """A BM25 index of tails."""
 
@@ -125,27 +141,28 @@ class Shard:
 
 def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length: int = LENGTH) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    shards = max(1, -(-docs.count() // shard))
+    ranges = max(1, -(-docs.count() // (RANGE * shard)))
 
     def encode(it):
         encoder = Encoder(folder)
         for batch in it:
-            rows = {"shard": batch.column(2), "doc_id": batch.column(0), "n": [], "crcs": [], "tail": []}
+            rows = {"place": [], "row": batch.column(2), "doc_id": batch.column(0), "n": [], "crcs": [], "tail": []}
             for text in batch.column(1).to_pylist():
                 ids = encoder(text)
                 full = len(ids) // length * length
+                rows["place"].append(place_of(ids[full:]))
                 rows["n"].append(len(ids))
                 rows["crcs"].append([crc(ids[k : k + length]) for k in range(0, full, length)])
                 rows["tail"].append(ids[full:].astype("<u2").tobytes())
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([rows["shard"], rows["doc_id"], *[pa.array(rows[k], t) for k, t in zip(("n", "crcs", "tail"), kinds, strict=True)]], list(rows))
+            kinds = {"place": pa.int64(), "n": pa.int64(), "crcs": pa.list_(pa.int64()), "tail": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) if k in kinds else v for k, v in rows.items()], list(rows))
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("tail", "ascending")])
-        own, docs, ns = table["shard"][0].as_py(), table["doc_id"].to_pylist(), table["n"].to_pylist()
-        out, seq = [], own << 32
+    def fill(table: pa.Table, seq: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of one shard, and the next sequence's number."""
+        docs, ns = table["doc_id"].to_pylist(), table["n"].to_pylist()
+        out = []
         for doc, n, crcs in zip(docs, ns, table["crcs"].to_pylist(), strict=True):
             for k, c in enumerate(crcs):
                 out.append((doc, k * length, length, c, n, seq, 0))
@@ -159,10 +176,23 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
                 out.append((docs[k], ns[k] // length * length + a, b - a, crc(tails[k][a:b]), ns[k], seq, at))
                 at += b - a
             seq += 1
-        columns = list(zip(*out, strict=True))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names), seq
 
-    place = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(shards))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", place.alias("shard"))
-    encoded = rows.mapInArrow(encode, "shard long, doc_id long, n long, crcs array<long>, tail binary")
-    return encoded.groupBy("shard").applyInArrow(fill, ", ".join(f"`{n}` long" for n in names))
+    def shards(it):
+        from pyspark import TaskContext
+
+        rows, seq = None, TaskContext.get().partitionId() << 40
+        for batch in it:
+            batch = pa.Table.from_batches([batch])
+            rows = batch if rows is None else pa.concat_tables([rows, batch])
+            while len(rows) >= shard:
+                out, seq = fill(rows.slice(0, shard), seq)
+                yield out
+                rows = rows.slice(shard)
+        if rows is not None and len(rows):
+            yield fill(rows, seq)[0]
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    encoded = rows.mapInArrow(encode, "place long, row long, doc_id long, n long, crcs array<long>, tail binary")
+    dealt = encoded.repartitionByRange(ranges, "place", "row").sortWithinPartitions("place", "row", "n", "doc_id")
+    return dealt.mapInArrow(shards, ", ".join(f"`{n}` long" for n in names))

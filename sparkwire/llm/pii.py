@@ -6,12 +6,16 @@ corpus: letters, digits and hex digits are permuted as numbers by a Feistel netw
 entity's kind and shape; separators, case and length stay. Constraints that a kind has (a card's
 check digit, an address's octets and range) are met by walking the permutation's cycle until they
 hold, which keeps it one-to-one. Known given names are permuted within the names of their script
-and gender; other names keep their vowels and consonants in place and avoid known names.
+and gender. Other given names, whose gender a form of address tells, keep their vowels and consonants in
+place and take that gender's ending in their script; names of an unknown gender, and surnames, do
+without one and avoid known names.
 As a check of the whole, collisions() counts surrogates that two entities share; replace() takes the
 next tweak if there are any.
 
 Kinds: email, phone, ip, card (Luhn-valid only), ssn, iban, key (of a known prefix), secret (after its
-label), person (after a form of address).
+label), person (after a form of address, or a known given name before a surname). The names of a person
+that stand alone elsewhere in the same text are the same person's, and get the same surrogates.
+The key is the caller's: whoever has it can tell which surrogate stands for what.
 Defined cases: null text stays null; empty text stays empty; a card number that fails its check is
 left alone, as are version numbers and octets above 255; repeated rows are each replaced alike.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"surrogates-v1"
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "key", "secret", "person")
 #: Given names by script and gender; a surrogate comes from the same line.
 NAMES = {
@@ -38,6 +42,8 @@ NAMES = {
     ("cyrillic", "m"): "Иван Пётр Сергей Андрей Алексей Дмитрий Михаил Николай Павел Олег".split(),
 }
 _GENDER = {n: k for k, names in NAMES.items() for n in names}
+#: Endings that a surrogate of a name of known gender takes.
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ан"}
 #: Forms of address that announce a person, with the gender they tell.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "", "Prof": "", "господин": "m", "госпожа": "f"}
 
@@ -48,16 +54,17 @@ PATTERNS = {
     "secret": re.compile(r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,512}={0,2})", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "card": re.compile(r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w-])", re.A),
-    "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A),
+    "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}(?![\w:])|(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A),
     "phone": re.compile(r"(?<![\w+(.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?![\w-])|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-])|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])|(?<![\w+.-])0\d(?:([ .-])\d{2}){4}(?![\w-])", re.A),
-    "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_CAP}(?: {_CAP})?)"),
+    "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_CAP}(?: {_CAP})?)|(?<![\w-])((?:{'|'.join(_GENDER)}) {_CAP})"),
 }
+_BARE = re.compile(rf"(?<![\w-]){_CAP}(?![\w-])")
 #: What a text must have for a pattern to be tried; keeps clean texts cheap.
 _NEEDS: dict[str, Callable[[str, str], bool]] = {
     "email": lambda t, low: "@" in t,
     "key": lambda t, low: any(w in t for w in ("AKIA", "_", "sk-", "xox", "eyJ")),
-    "ip": lambda t, low: "." in t or ":" in t,
+    "ip": lambda t, low: "::" in t or "." in t or ":" in t,
     "secret": lambda t, low: any(w in low for w in ("token", "secret", "passw", "key")),
     "person": lambda t, low: True,
 }
@@ -74,18 +81,35 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     low = text.lower()
     numbers = _DIGITS.search(text) is not None
     taken: list[tuple[int, int, str, str]] = []
+    covered = bytearray(len(text))
+
+    def take(s: int, e: int, kind: str, gender: str) -> None:
+        if covered.find(1, s, e) < 0:
+            covered[s:e] = b"\1" * (e - s)
+            taken.append((s, e, kind, gender))
+
     for kind, pattern in PATTERNS.items():
         if not _NEEDS.get(kind, lambda t, low: numbers)(text, low):
             continue
         for m in pattern.finditer(text):
-            group = {"secret": 1, "person": 2}.get(kind, 0)
+            group = 1 if kind == "secret" else (2 if m[2] else 3) if kind == "person" else 0
             s, e = m.span(group)
             if kind == "card" and not luhn(re.sub(r"\D", "", m[0])):
                 continue
             if kind == "iban" and not _iban_ok(m[0]):
                 continue
-            if not any(s < b and a < e for a, b, _, _ in taken):
-                taken.append((s, e, kind, TITLES[m[1]] if kind == "person" else ""))
+            take(s, e, kind, TITLES.get(m[1], "") if kind == "person" else "")
+    # the names of a text's persons where they stand alone; a name that is some person's surname is one throughout
+    alone: dict[str, str] = {}
+    names = [(text[s:e].partition(" "), gender) for s, e, kind, gender in taken if kind == "person"]
+    alone.update((last, "surname") for (_, _, last), _ in names if last)
+    for (first, _, _), gender in names:
+        alone.setdefault(first, gender or "given")
+    if alone:
+        taken = [(s, e, k, alone[text[s:e]] if k == "person" and text[s:e] in alone else g) for s, e, k, g in taken]
+        for m in _BARE.finditer(text):
+            if m[0] in alone:
+                take(*m.span(), "person", alone[m[0]])
     return sorted(taken)
 
 
@@ -97,7 +121,7 @@ def _iban_ok(text: str) -> bool:
 class Surrogates:
     """The surrogate of an entity under a key. tweak tells attempts apart."""
 
-    def __init__(self, key: bytes = KEY, tweak: int = 0):
+    def __init__(self, key: bytes, tweak: int = 0):
         self.key = hashlib.blake2b(key + struct.pack("<I", tweak), digest_size=32).digest()
         self.of = lru_cache(100_000)(self._of)
 
@@ -203,14 +227,18 @@ class Surrogates:
         return self.walked(text, lambda x: self.shaped(x, "secret"), lambda x: not (set(x) <= set(low) or set(x) <= set(up)))
 
     def _person(self, text: str, gender: str) -> str:
+        """gender: m, f or nothing, of a person or a single name; given or surname, of a single name."""
         first, space, last = text.partition(" ")
-        if not space:
-            return self._name(first, gender) if first in _GENDER else self._surname(first)
-        return f"{self._name(first, gender)} {self._surname(last)}"
+        if space:
+            return f"{self._name(first, gender)} {self._surname(last)}"
+        if gender == "surname" and first not in _GENDER:
+            return self._surname(first)
+        return self._name(first, gender)
 
     def _name(self, name: str, gender: str) -> str:
         if (group := _GENDER.get(name)) is None:
-            return self._surname(name)
+            ending = ENDINGS.get(("cyrillic" if "а" <= name[-1] <= "ё" else "latin", gender), "")
+            return self._surname(name) + ending
         names = NAMES[group]
         order = sorted(names, key=lambda n: self._round(f"name{group}", 0, names.index(n), 1 << 64))
         return order[(order.index(name) + 1) % len(order)]
@@ -236,7 +264,7 @@ def _scan(texts: list[str | None], own: Surrogates) -> Iterator[tuple[str | None
         yield ("".join([*out, text[at:]]) if found else text), found
 
 
-def entities(docs: DataFrame, key: bytes = KEY, tweak: int = 0) -> DataFrame:
+def entities(docs: DataFrame, key: bytes, tweak: int = 0) -> DataFrame:
     """(kind, original, surrogate), hashes of distinct entities; the texts of entities leave no task."""
 
     def run(it):
@@ -251,13 +279,13 @@ def entities(docs: DataFrame, key: bytes = KEY, tweak: int = 0) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, original long, surrogate long").distinct()
 
 
-def collisions(docs: DataFrame, key: bytes = KEY, tweak: int = 0) -> int:
+def collisions(docs: DataFrame, key: bytes, tweak: int = 0) -> int:
     """Surrogates that two different entities of one kind share."""
     same = entities(docs, key, tweak).groupBy("kind", "surrogate").agg(F.count("*").alias("n"))
     return same.where("n > 1").count()
 
 
-def replace(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
+def replace(docs: DataFrame, key: bytes, attempts: int = 8) -> DataFrame:
     """The documents with surrogates in text, and the number of entities of each kind beside, or instead of, the other columns."""
     tweak = next((t for t in range(attempts) if not collisions(docs, key, t)), None)
     if tweak is None:
@@ -280,6 +308,11 @@ def replace(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
     return docs.mapInArrow(run, schema + "".join(f", n_{k} long" for k in KINDS))
 
 
+#: The setting that names the key, in hex; without it each run has a key of its own.
+KEY_SETTING = "spark.sparkwire.surrogate.key"
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the text with surrogates, n_<kind>."""
-    return replace(docs.select("doc_id", "text"))
+    named = docs.sparkSession.conf.get(KEY_SETTING, None)
+    return replace(docs.select("doc_id", "text"), bytes.fromhex(named) if named else secrets.token_bytes(32))

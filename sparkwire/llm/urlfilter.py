@@ -23,8 +23,6 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Hosts whose URLs make up the list of the query.
 LISTED_HOSTS = r"^spam-farm\.|(^|\.)cheap-pills\."
 BLOCKS, BITS = 1 << 18, 4
-#: Rules are compiled into one expression up to this number.
-MOST_RULES = 500
 
 
 def host_of(url: Column) -> Column:
@@ -47,9 +45,7 @@ def _split(rule: str) -> tuple[str, str]:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits, or null. The rules are few and fixed when the query is built."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are compiled")
+    """The longest rule that fits, or null, as one expression; for a few rules that are known when the query is built."""
     out = F.lit(None).cast("string")
     for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):  # the longest is asked first
         h, p = _split(rule)
@@ -57,6 +53,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (host, path, ...) with rule, the longest of rules (rule, verdict) that fits, and ruled, its verdict; for any number of rules.
+
+    A rule meets a URL on one of the endings of its host, so that the join is by equality; distinct
+    (host, path) are judged, not rows.
+    """
+    host, path = ascii_lower(F.regexp_extract("rule", "^([^/]*)", 1)), F.regexp_extract("rule", "^[^/]*(.*)$", 1)
+    rules = rules.select(host.alias("end"), path.alias("head"), "rule", F.col("verdict").alias("ruled"))
+    own = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = own.select("host", "path", F.explode(F.array_distinct(ends)).alias("end")).join(rules, "end").where(F.col("path").startswith(F.col("head")))
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "ruled")).alias("r"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("r.rule").alias("rule"), F.col("r.ruled").alias("ruled"))
+
+
 def _block(url: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
 
@@ -73,10 +85,18 @@ def bloom(listed: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed; `listed` has canonical URLs in column canonical."""
+    """page_id, host, path, rule, verdict, listed; `listed` has canonical URLs in column canonical.
+
+    rules: pairs of rule and verdict, compiled, or a table of them (rule, verdict), joined.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    if isinstance(rules, DataFrame):
+        urls = with_rules(urls, rules)
+    else:
+        verdict = reduce(lambda out, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(out), rules, F.lit(None).cast("string"))
+        urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict)
+    urls = urls.withColumn("canonical", canonical(F.col("host"), F.col("path")))
     urls = urls.withColumn("block", _block(F.col("canonical"), blocks)).withColumn("want", _mask(F.col("canonical")))
     listed = listed.where("canonical <> ''").select("canonical").distinct()
     tested = urls.join(F.broadcast(bloom(listed, "canonical", blocks)), "block", "left")
@@ -84,11 +104,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS
     # what cannot be listed gets a key of its own, so that it meets nothing and heaps up nowhere
     tested = tested.withColumn("key", F.when(possible, F.col("canonical")))
     exact = listed.select(F.col("canonical").alias("key"), F.lit(True).alias("hit"))
-    sure = tested.where("key is null").select("page_id", "host", "path", "rule", F.lit(False).alias("listed"))
+    sure = tested.where("key is null").select("page_id", "host", "path", "rule", "ruled", F.lit(False).alias("listed"))
     maybe = tested.where("key is not null").join(exact, "key", "left")
-    both = sure.union(maybe.select("page_id", "host", "path", "rule", F.coalesce("hit", F.lit(False))))
-    ruled = reduce(lambda out, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(out), rules, F.lit(None).cast("string"))
-    return both.withColumn("verdict", F.coalesce(ruled, F.when(F.col("listed"), "block").otherwise("allow")))
+    both = sure.union(maybe.select("page_id", "host", "path", "rule", "ruled", F.coalesce("hit", F.lit(False))))
+    return both.withColumn("verdict", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow"))).drop("ruled")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:

@@ -147,7 +147,9 @@ def marked(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("bytes"))
     keys = pages.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
-    joined = pages.join(keys.select("sha1", "largest"), "sha1", "left")
+    # a payload that is too small meets nothing: it goes by a key of its row, and empty ones heap up nowhere
+    own = F.when(F.col("bytes") >= least, F.col("sha1")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = pages.withColumn("key", own).join(keys.select(F.col("sha1").alias("key"), "largest"), "key", "left")
     refers = F.when((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
     return joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,19 +62,19 @@ def test_lm_probabilities_sum_to_one():
     import pyarrow as pa
 
     words = rng.integers(1, 50, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    contexts = rng.integers(0, 5, 4000).astype(np.uint16)
+    contexts = rng.integers(0, 5, 4000).astype(np.uint32)
     order = np.argsort(words, kind="stable")
     w, u = words[order], contexts[order]
     first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
     runs = np.diff(np.append(first, len(w))).astype(np.uint32)
-    row = {"g": pa.array([0], pa.int32()), "batch": ["0.0"], "held": [False], "w": [w[first].tobytes()], "n": [runs.tobytes()], "u": [u.tobytes()], "d": [np.zeros(4000, np.uint16).tobytes()]}
+    row = {"g": pa.array([0], pa.int32()), "batch": ["0.0"], "held": [False], "w": [w[first].tobytes()], "n": [runs.tobytes()], "u": [lm_score.squeeze(u)], "d": [lm_score.squeeze(np.zeros(4000, np.uint16))]}
     group = lm_score.Group(pa.table(row), np.zeros(0, np.uint64))
-    setup = {"hot": {}, "contexts": np.bincount(contexts, minlength=lm_score.CONTEXTS), "groups": 1, "train": 4000, "discounts": (0.7, 0.6)}
+    setup = {"hot": {}, "contexts": np.bincount(contexts, minlength=1 << 17), "groups": 1, "train": 4000, "discounts": (0.7, 0.6)}
 
     def totals(before):
         out, slices = lm_score.Totals(), {}
         for r in lm_score.totals_rows(group, setup, before).to_pylist():
-            x = np.frombuffer(r["blob"], np.int64)
+            x = lm_score.unsqueeze(r["blob"], np.int64)
             if r["kind"] == "context":
                 slices[r["key"]] = x.reshape(-1, lm_score.SLICE)
             else:
@@ -98,6 +99,75 @@ def test_lm_probabilities_sum_to_one():
             assert (p.sum() + weight * unseen) / (lm_score.THETA + setup["contexts"][c]) == pytest.approx(1)
 
 
+def seated_one_by_one(docs, sweeps, burn, rng):
+    """log10 scores of (held, words) by a hierarchical Pitman-Yor model whose customers are seated one at a time."""
+    pairs, words = Counter(), Counter()
+    for held, w in docs:
+        if not held:
+            pairs.update(zip(["START", *w[:-1]], w, strict=True))
+            words.update(w)
+    d = lm_score.discount(*(sum(c == k for c in pairs.values()) for k in (1, 2)))
+    into = Counter(w for _, w in pairs)
+    d0 = lm_score.discount(*(sum(c == k for c in into.values()) for k in (1, 2)))
+    c_u, tables, t_u, t_w = Counter(), {p: [c] for p, c in pairs.items()}, Counter(), Counter()
+    for (u, w), c in pairs.items():
+        c_u[u] += c
+        t_u[u] += 1
+        t_w[w] += 1
+    mean = [[0.0] * len(w) for _, w in docs]
+    for k in range(sweeps):
+        for (u, w), own in tables.items():
+            for _ in range(pairs[u, w]):
+                i = rng.choices(range(len(own)), own)[0]
+                own[i] -= 1
+                if not own[i]:
+                    own.pop(i)
+                    t_u[u] -= 1
+                    t_w[w] -= 1
+                parent = max(t_w[w] - d0, 0.01) / (lm_score.ROOT_THETA + sum(t_w.values()))
+                weights = [x - d for x in own] + [(lm_score.THETA + d * t_u[u]) * parent]
+                i = rng.choices(range(len(weights)), weights)[0]
+                if i == len(own):
+                    own.append(1)
+                    t_u[u] += 1
+                    t_w[w] += 1
+                else:
+                    own[i] += 1
+        if k >= burn:
+            root = sum(t_w.values())
+            for m, (_, ws) in zip(mean, docs, strict=True):
+                for j, (u, w) in enumerate(zip(["START", *ws[:-1]], ws, strict=True)):
+                    parent = (t_w[w] - d0 if words[w] else lm_score.ROOT_THETA + d0 * len(words)) / (lm_score.ROOT_THETA + root)
+                    own = tables.get((u, w), [])
+                    m[j] += (sum(own) - d * len(own) + (lm_score.THETA + d * t_u[u]) * parent) / (lm_score.THETA + c_u[u]) / (sweeps - burn)
+    return np.array([sum(map(math.log10, m)) for m in mean])
+
+
+def test_lm_scores_are_those_of_a_plain_sampler(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(40)]
+    follow = {w: rng.sample(vocabulary, 4) for w in vocabulary}
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(vocabulary)]
+        while len(w) < 30:
+            w.append(rng.choice(follow[w[-1]]) if w[-1] in follow and rng.random() < 0.9 else rng.choice([*vocabulary, f"new{rng.randrange(30)}"]))
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    want = seated_one_by_one([(lm_score.held_out(k), [*t.split(), "END"]) for k, t in enumerate(texts)], 14, 4, rng)
+    mine = np.array([got[k]["score"] for k in range(60)])
+    assert np.abs(mine - want).max() < 0.03 * np.abs(want).mean() and abs(mine.sum() / want.sum() - 1) < 0.01
+
+
+def test_lm_sums_take_what_rows_have():
+    """What is merged for a batch is as long as its documents, not as long as a batch may be."""
+    rows = [lm_score._sums("0.0", np.array([5, 60000], np.uint16), np.ones(2), np.ones(2), np.full(2, 0.5)) for _ in range(300)]
+    merged = lm_score._merge_sums([lm_score._sums_table(rows[:200]), lm_score._sums_table(rows[200:])]).to_pylist()
+    assert len(merged) == 1 and len(merged[0]["d"]) == 4 and np.frombuffer(merged[0]["base"], np.float64).tolist() == [300.0, 300.0]
+    docs, sums = lm_score._sums_of(merged)
+    assert sums.shape == (3, 2) and docs.tolist() == [5, 60000]
+
+
 def test_seating_follows_the_restaurant():
     """One pair of c customers: the tables' number has the law a^t S(c, t) of its Gibbs conditional."""
     c, d, a = 4, 0.5, 0.8
@@ -120,7 +190,7 @@ def test_lm_hot_words_are_split(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HOT", 50)
     monkeypatch.setattr(lm_score, "GROUP", 300)
     df = spark.createDataFrame([(i, "the cat the dog " * 20 + f"w{i} x{i % 3}") for i in range(60)], "doc_id long, text string").repartition(3)
-    total, train, hot, _ = lm_score.survey(df)
+    total, train, hot, _ = lm_score.survey(df, 16)
     assert len(hot) >= 3 and total == sum(len(("the cat the dog " * 20 + "a b").split()) + 1 for _ in range(60))
     got = lm_score.score(df).collect()
     n_train = sum(r["n_tokens"] for r in got if not r["held_out"])
@@ -427,7 +497,7 @@ def test_pii_found_and_replaced():
     text = 'Mail a.b-1@mail.example.com, call +1 (407) 555-7710, host 106.158.249.239, card 4111 1111 1111 1111, id 4111111111111112, token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6", ssn 078-05-1120, IBAN DE89 3704 0044 0532 0130 00. Mr. John Smith met Frau Анна and Frau Julia Meier; v1.2.3.4.5 999.1.1.1'
     kinds = Counter(k for _, _, k, _ in pii.find(text))
     assert kinds == Counter(email=1, phone=1, ip=1, card=1, secret=1, ssn=1, iban=1, person=3)
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"key")
     new = {k: own.of(k, text[s:e], g) for s, e, k, g in pii.find(text)}
     assert re.fullmatch(r"[a-z]\.[a-z]-\d@[a-z]{4}\.[a-z]{7}\.com", new["email"])
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new["phone"]) and re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", new["card"]) and pii.luhn(re.sub(" ", "", new["card"]))
@@ -437,16 +507,44 @@ def test_pii_found_and_replaced():
 
 
 def test_pii_names_match_gender_and_script():
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"key")
     for group, names in pii.NAMES.items():
         new = [own.of("person", n, "") for n in names]
         assert sorted(new) == sorted(names) and all(a != b for a, b in zip(new, names, strict=True)), group
     other = own.of("person", "Zorblatt", "m")
-    assert other not in pii._GENDER and [c in "aeiou" for c in other.lower()] == [c in "aeiou" for c in "zorblatt"] and other[0].isupper()
+    assert other not in pii._GENDER and [c in "aeiou" for c in other.lower()] == [c in "aeiou" for c in "zorblatto"] and other[0].isupper()
+    for name, gender, ending in (("Walter Klein", "m", "o"), ("Heike Klein", "f", "a"), ("Степан Клин", "m", "ан"), ("Ульяна Клин", "f", "а")):
+        first, last = own.of("person", name, gender).split()
+        assert first.endswith(ending) and last == own.of("person", name.split()[1], "surname")
+
+
+def test_pii_mentions_of_one_person_agree():
+    own = pii.Surrogates(b"key")
+    text = "Mr. John Smith came. Smith sat, John stood; Mr Smith left. Anna Weber saw Heike? Frau Heike Braun did, and Heike slept. Paul."
+    (new, found), = pii._scan([text], own)
+    words = dict(zip(re.findall(r"\w+", text), re.findall(r"\w+", new), strict=True))
+    assert len(words) == len(set(words.values())) and Counter(re.findall(r"\w+", new)) == Counter(words[w] for w in re.findall(r"\w+", text))
+    assert {w for w in words if words[w] != w} == {"John", "Smith", "Anna", "Weber", "Heike", "Braun"}
+    assert pii._GENDER[words["John"]] == ("latin", "m")
+
+
+def test_pii_is_what_its_parts_give():
+    """Texts with surrogates against a plain loop over the entities, and entities of compressed addresses."""
+    own, rng = pii.Surrogates(b"key"), random.Random(2)
+    parts = ["a.b@c.example.com", "10.1.2.3", "fe80::1", "2001:db8::ff00:42:8329", "4111 1111 1111 1111", "Mr. John Smith", "std::vector", "a::b", "plain words", "no :: one"]
+    for _ in range(50):
+        text = ", ".join(rng.choice(parts) for _ in range(6))
+        want = text
+        for s, e, kind, gender in reversed(pii.find(text)):
+            want = want[:s] + own.of(kind, text[s:e], gender) + want[e:]
+        assert next(pii._scan([text], own))[0] == want
+        left = [x for x in ("std::vector", "a::b", "plain words", "no :: one") if x in text]
+        assert all(x in want for x in left)
+        assert all(x not in want for x in parts[:6] if x in text)
 
 
 def test_pii_surrogates_are_one_to_one():
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"key")
     for kind, values in {
         "email": [f"{a}.{b}@mail{c}.example.com" for a in ("er", "by", "ly") for b in range(100) for c in range(10)],
         "ip": [f"{a}.{b}.7.9" for a in range(1, 60) for b in range(40)],
@@ -461,11 +559,14 @@ def test_pii_surrogates_are_one_to_one():
 
 def test_pii_over_documents(spark, docs, all_rows):
     df = spark.createDataFrame([(1, "x a@b.example.com y"), (2, "a@b.example.com"), (3, None), (4, ""), (None, "+1 (407) 555-7710"), (1, "x a@b.example.com y")], "doc_id long, text string")
+    spark.conf.set(pii.KEY_SETTING, b"key".hex())
     got = pii.digest(df).collect()
-    mail = pii.Surrogates().of("email", "a@b.example.com", "")
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.digest(df).where("doc_id = 2").first()["text"] not in (got[1]["text"], "a@b.example.com")  # without one, a run's own key
+    mail = pii.Surrogates(b"key").of("email", "a@b.example.com", "")
     assert Counter((r["doc_id"], r["text"], r["n_email"]) for r in got if r["n_phone"] == 0) == Counter([(1, f"x {mail} y", 1), (1, f"x {mail} y", 1), (2, mail, 1), (3, None, 0), (4, "", 0)])
-    assert pii.collisions(df) == 0
-    same = {(r["doc_id"], r["text"]) for r in pii.replace(docs).collect()}
+    assert pii.collisions(df, b"key") == 0
+    same = {(r["doc_id"], r["text"]) for r in pii.replace(docs, b"key").collect()}
     assert same == {(i, t) for i, t, _ in all_rows}
 
 
