@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import checkpoint, fresh, small
 
 SAMPLE, ROWS, BYTES = 400, 25_600, 64 << 20
 ORDERS = (4, 3, 2, 1)
@@ -133,11 +133,11 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """lang, text of the rows the model is fitted on. Hot languages are cut down in every task first."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc, F.lit(4)) != 2))
-    counts = rows.groupBy("lang").count()
+    counts = checkpoint(rows.groupBy("lang").count())
     langs = counts.count()
     per_language, most = max(1, min(per_language, ROWS // max(1, langs))), BYTES // max(1, langs)
     # the least hashes of each language, by a bound that leaves a few times as many rows as are kept
-    bound = counts.select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("bound"))
+    bound = small(counts).select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("bound"))
     own = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(bound, F.col("lang") == F.col("__l"))
     near = own.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("bound") + 1e-9)
     order = Window.partitionBy("lang").orderBy("h", "text")

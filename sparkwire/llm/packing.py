@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import checkpoint, mix
 
 LENGTH, END = 1024, 0
 SHARD = 2048
@@ -76,10 +76,10 @@ def crc(ids: np.ndarray) -> int:
 
 
 def place_of(ids: np.ndarray) -> int:
-    """A tail's place in the order by content: bits of the least of its distinct ids under MINS hashes."""
-    own, out = np.unique(ids).astype(np.uint64), 0
+    """A tail's place in the order by content: bits of the least of its distinct ids, its end left out, under MINS hashes."""
+    own, out = np.unique(ids[ids != END]).astype(np.uint64), 0
     for k in range(MINS if len(own) else 0):
-        least = mix(own * np.uint64(2 * k + 1) + np.uint64(k << 32)).min()
+        least = mix(own + np.uint64((k + 1) << 32)).min()
         out = out << 21 | int(mix(np.array([least]))[0] >> np.uint64(43))
     return out
 
@@ -194,5 +194,6 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
     encoded = rows.mapInArrow(encode, "place long, row long, doc_id long, n long, crcs array<long>, tail binary")
+    encoded = checkpoint(encoded)  # texts are encoded once; the ranges are found by a sample of what comes out
     dealt = encoded.repartitionByRange(ranges, "place", "row").sortWithinPartitions("place", "row", "n", "doc_id")
     return dealt.mapInArrow(shards, ", ".join(f"`{n}` long" for n in names))
