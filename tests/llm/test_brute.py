@@ -334,9 +334,21 @@ def test_clashing_names_pass(table, spark):
     assert lm_score.score(table).count() == n and packing.pack(table).where("start = 0").count() == n
 
 
-def test_crowds_of_near_copies(spark, monkeypatch):
-    """A large group around one text that is not there itself: hubs, then pairs, find the components of brute force."""
+def test_commons_are_counted():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 5), (1, 5), (60, 40), (60, 4000), (300, 900)):
+        sets = [np.unique(rng.integers(0, top, rng.integers(0, 40))).astype(np.uint64) for _ in range(n)]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+        common = jaccard._commons(np.concatenate(sets) if n else np.zeros(0, np.uint64), at)
+        for a in range(0, n, 25):
+            assert common(a, a + 25).tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets[a : a + 25]]
+
+
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_crowds_of_near_copies(spark, monkeypatch, block):
+    """A large group around one text that is not there itself: blocks find the components of brute force."""
     monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(80)]
     texts = []
