@@ -59,19 +59,21 @@ def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     width = min(SLICE_BITS, bits)
 
     def mark(it):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in it:
             hashes = [h for text in blobs(batch.column(0)) if len(h := _hashes({k for k in _keys(text, min_chars) if k is not None}))]
             if hashes:
                 for h in np.split(np.concatenate(hashes), np.cumsum([len(h) for h in hashes])[:-1]):
                     p = _places(h, bits)
-                    known = once[p].all(axis=1)
-                    twice[p[known]] = True
-                    once[p] = True
-        part = [k for k in range(bits // width) if once[k * width : (k + 1) * width].any()]
+                    at, bit = p >> 3, (128 >> (p & 7)).astype(np.uint8)
+                    known = (once[at] & bit).all(axis=1)
+                    np.bitwise_or.at(twice, at[known], bit[known])
+                    np.bitwise_or.at(once, at, bit)
+        width_bytes = width // 8
+        part = [k for k in range(bits // width) if once[k * width_bytes : (k + 1) * width_bytes].any()]
         if part:
-            pack = lambda a: [np.packbits(a[k * width : (k + 1) * width]).tobytes() for k in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(pack(once)), pa.array(pack(twice))], ["slice", "once", "twice"])
+            cut = lambda a: [a[k * width_bytes : (k + 1) * width_bytes].tobytes() for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cut(once)), pa.array(cut(twice))], ["slice", "once", "twice"])
 
     schema = "slice int, once binary, twice binary"
     marked = docs.select("text").mapInArrow(mark, schema)
