@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,28 @@ def merge_tree(parts: DataFrame, keys: list[str], merge: Callable[[pa.Table], pa
             return out.drop("part")
 
 
+def tidily(run: Callable) -> Callable:
+    """run(batches), after whose last batch a worker, which lives on, gives back what memory it no longer uses."""
+
+    @wraps(run)
+    def tidy(it):
+        yield from run(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return tidy
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def ascii_lower(col):
     """A-Z only, as bytes.lower() does; Spark's lower() folds all of Unicode."""
     return F.translate(col, UPPER, LOWER)

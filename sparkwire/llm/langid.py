@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, small
+from .common import checkpoint, fresh, pieces, small, tidily
 
 SAMPLE, ROWS, BYTES = 400, 25_600, 64 << 20
 ORDERS = (4, 3, 2, 1)
@@ -162,11 +162,13 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, names: tuple[str, str]
 
     def run(it):
         m = model.value
-        for batch in it:
+        for batch in pieces(it):
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*columns, *names])
 
-    return docs.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
+        m.rows = None  # the words met, which the broadcast model would keep
+
+    return docs.mapInArrow(tidily(run), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, fresh, merge_tree
+from .common import blobs, checkpoint, fresh, merge_tree, pieces, tidily
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of each filter for a line, the bytes of text that a line takes, and the filter's bounds: 16 MB at most, broadcast.
@@ -60,7 +60,7 @@ def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
     def mark(it):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in it:
+        for batch in pieces(it):
             hashes = [h for text in blobs(batch.column(0)) if len(h := _hashes({k for k in _keys(text, min_chars) if k is not None}))]
             if hashes:
                 for h in np.split(np.concatenate(hashes), np.cumsum([len(h) for h in hashes])[:-1]):
@@ -76,7 +76,7 @@ def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cut(once)), pa.array(cut(twice))], ["slice", "once", "twice"])
 
     schema = "slice int, once binary, twice binary"
-    marked = docs.select("text").mapInArrow(mark, schema)
+    marked = docs.select("text").mapInArrow(tidily(mark), schema)
     merged = merge_tree(marked, ["slice"], lambda t: _merge(t, width), schema, docs.rdd.getNumPartitions())
     rows = merged.select("slice", "twice").collect()  # bounded: the filter's size
     out = np.zeros(bits // 8, np.uint8)
@@ -102,7 +102,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
     def suspects(it):
         twice = sent.value
-        for batch in it:
+        for batch in pieces(it):
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
                 own = list({k for k in _keys(text, min_chars) if k is not None})
@@ -114,7 +114,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
 
-    found = checkpoint(docs.select("doc_id", "text").mapInArrow(suspects, "id long, key binary").distinct())
+    found = checkpoint(docs.select("doc_id", "text").mapInArrow(tidily(suspects), "id long, key binary").distinct())
     place = lambda c: F.struct(F.col(c).isNotNull(), F.col(c))  # noqa: E731  null is smaller than any id
     lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max(place("id")).alias("keeper")).where(F.col("n") >= min_docs)
     lines = checkpoint(lines)  # so that the join shuffles both sides and a very common line can be split
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(it):
-        for batch in it:
+        for batch in pieces(it):
             kept, n_lines, n_dropped = [], [], []
             for text, gone in zip(blobs(batch.column("text")), batch.column(gone_).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             columns = [pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *counts])
 
-    return joined.mapInArrow(cut, f"{schema}, {counts[0]} long, {counts[1]} long")
+    return joined.mapInArrow(tidily(cut), f"{schema}, {counts[0]} long, {counts[1]} long")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix
+from .common import checkpoint, mix, pieces, tidily
 
 LENGTH, END = 1024, 0
 SHARD = 2048
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
 
     def encode(it):
         encoder = Encoder(folder)
-        for batch in it:
+        for batch in pieces(it):
             rows = {"place": [], "row": batch.column(2), "doc_id": batch.column(0), "n": [], "crcs": [], "tail": []}
             for text in batch.column(1).to_pylist():
                 ids = encoder(text)
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
             yield fill(rows, seq)[0]
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    encoded = rows.mapInArrow(encode, "place long, row long, doc_id long, n long, crcs array<long>, tail binary")
+    encoded = rows.mapInArrow(tidily(encode), "place long, row long, doc_id long, n long, crcs array<long>, tail binary")
     encoded = checkpoint(encoded)  # texts are encoded once; the ranges are found by a sample of what comes out
     dealt = encoded.repartitionByRange(ranges, "place", "row").sortWithinPartitions("place", "row", "n", "doc_id")
     return dealt.mapInArrow(shards, ", ".join(f"`{n}` long" for n in names))
