@@ -75,13 +75,25 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def place_of(ids: np.ndarray) -> int:
-    """A tail's place in the order by content: bits of the least of its distinct ids, its end left out, under MINS hashes."""
-    own, out = np.unique(ids[ids != END]).astype(np.uint64), 0
-    for k in range(MINS if len(own) else 0):
-        least = mix(own + np.uint64((k + 1) << 32)).min()
-        out = out << 21 | int(mix(np.array([least]))[0] >> np.uint64(43))
-    return out
+class Places:
+    """Places of tails in the order by content: bits of the least of a tail's ids, its end left out, under MINS hashes."""
+
+    def __init__(self, ids: int = 1 << 16):
+        own = np.arange(ids, dtype=np.uint64)
+        self.hashes = [mix(own + np.uint64((k + 1) << 32)) for k in range(MINS)]
+        for h in self.hashes:
+            h[END] = ~np.uint64(0)
+
+    def __call__(self, tails: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(tails), np.int64)
+        some = [k for k, t in enumerate(tails) if len(t)]
+        if some:
+            every = np.concatenate([tails[k] for k in some])
+            starts = np.concatenate(([0], np.cumsum([len(tails[k]) for k in some])))[:-1]
+            for h in self.hashes:
+                least = mix(np.minimum.reduceat(h[every], starts)) >> np.uint64(43)
+                out[some] = out[some] << 21 | least.astype(np.int64)
+        return out
 
 
 class Shard:
@@ -144,16 +156,18 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
     ranges = max(1, -(-docs.count() // (RANGE * shard)))
 
     def encode(it):
-        encoder = Encoder(folder)
+        encoder, places = Encoder(folder), Places()
         for batch in pieces(it):
-            rows = {"place": [], "row": batch.column(2), "doc_id": batch.column(0), "n": [], "crcs": [], "tail": []}
+            tails = []
+            rows = {"place": None, "row": batch.column(2), "doc_id": batch.column(0), "n": [], "crcs": [], "tail": []}
             for text in batch.column(1).to_pylist():
                 ids = encoder(text)
                 full = len(ids) // length * length
-                rows["place"].append(place_of(ids[full:]))
+                tails.append(ids[full:])
                 rows["n"].append(len(ids))
                 rows["crcs"].append([crc(ids[k : k + length]) for k in range(0, full, length)])
                 rows["tail"].append(ids[full:].astype("<u2").tobytes())
+            rows["place"] = places(tails)
             kinds = {"place": pa.int64(), "n": pa.int64(), "crcs": pa.list_(pa.int64()), "tail": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) if k in kinds else v for k, v in rows.items()], list(rows))
 

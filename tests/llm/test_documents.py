@@ -67,7 +67,7 @@ def test_lm_probabilities_sum_to_one():
     w, u = words[order], contexts[order]
     first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
     runs = np.diff(np.append(first, len(w))).astype(np.uint32)
-    row = {"g": pa.array([0], pa.int32()), "batch": ["0.0"], "held": [False], "w": [w[first].tobytes()], "n": [runs.tobytes()], "u": [lm_score.squeeze(u)], "d": [lm_score.squeeze(np.zeros(4000, np.uint16))]}
+    row = {"g": pa.array([0], pa.int32()), "batch": ["0.0"], "held": [False], "w": [lm_score.squeeze(np.diff(w[first], prepend=np.uint64(0)))], "n": [lm_score.squeeze(runs)], "u": [lm_score.squeeze(u)], "d": [lm_score.squeeze(np.zeros(4000, np.uint16))]}
     group = lm_score.Group(pa.table(row), np.zeros(0, np.uint64))
     setup = {"hot": {}, "contexts": np.bincount(contexts, minlength=1 << 17), "groups": 1, "train": 4000, "discounts": (0.7, 0.6)}
 
