@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, mix, pieces, tidily
 
 LENGTH, END = 1024, 0
-SHARD = 2048
+SHARD = 1024
 #: Shards of a range, and least hashes of a tail that make its place in the order.
-RANGE, MINS = 8, 3
+RANGE, MINS = 16, 3
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k"
 
@@ -111,13 +111,21 @@ class Shard:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.df = df
+        self.df, self.sizes, self.active = df, df, n
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Leaves the postings of unused tails only; no score of theirs changes."""
+        keep = unused[self.doc]
+        self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
+        self.first = np.searchsorted(self.term, self.terms)
+        self.sizes = np.searchsorted(self.term, self.terms, side="right") - self.first
+        self.active = int(unused.sum())
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 scores of all tails for the distinct terms of ids; a term that one tail has is the seed's own."""
         at = np.searchsorted(self.terms, np.unique(ids))
         at = at[self.df[at] > 1]
-        sizes = self.df[at]
+        sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         places = np.repeat(self.first[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.doc[places], self.weight[places], minlength=len(self.tails))
@@ -139,6 +147,8 @@ class Shard:
             ids = self.tails[seed]
             sequence, room, rest = [(seed, start, len(ids))], length - (len(ids) - start), None
             if room:
+                if 4 * int(unused.sum()) < 3 * self.active:
+                    self.shrink(unused)
                 scores = np.where(unused, self.scores(ids), -1)
                 while room and unused.any():
                     best = int(scores.argmax())
