@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, mix, pieces, tidily
 
 LENGTH, END = 1024, 0
-SHARD = 1024
+SHARD = 2048
 #: Shards of a range, and least hashes of a tail that make its place in the order.
-RANGE, MINS = 16, 3
+RANGE, MINS = 8, 3
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k"
 
