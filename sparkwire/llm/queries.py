@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, divergence, langid, linededup, lm_score, packing, pii, simhash, urlfilter, warc
+from . import ann, bpe, decontam, divergence, langid, linededup, lm_score, packing, pii, simhash, trie, urlfilter, warc
 from .common import table
 
 
@@ -22,9 +22,11 @@ def queries() -> dict:
         "op8_simhash_dedup": _over("documents", simhash.near_duplicates),
         "op9_pii_surrogates": _over("documents", pii.digest),
         "op10_line_dedup": _over("documents", linededup.digest),
+        "op11_prefix_trie": _over("conversations", trie.prefix_trie),
+        "op12_byte_bpe": _over("documents", bpe.digest),
         "op13_source_divergence": _over("documents", divergence.audit),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urlfilter.SQL, "op6_warc": warc.SQL, "op10_line_dedup": linededup.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op5_url_filter": urlfilter.SQL, "op6_warc": warc.SQL, "op10_line_dedup": linededup.SQL, "op11_prefix_trie": trie.SQL, "op13_source_divergence": divergence.SQL}
