@@ -7,7 +7,11 @@ time counts as near. It is attached to the first such row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from math import inf
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwire.functions.scores import parse_iso
@@ -77,15 +81,15 @@ def _in_window(older: str, newer: str, days: int) -> Column:
     return F.coalesce(F.col(older) >= F.col(newer) - F.make_dt_interval(F.lit(days)), F.lit(True))
 
 
-def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int = WINDOW_DAYS, decided: Column | None = None) -> DataFrame:
+def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int = WINDOW_DAYS, decided: Column | None = None, most_links: int = 1 << 20) -> DataFrame:
     """(pos, leader): leader is null for kept rows, else the pos of the row it is attached to.
 
     Kept rows are the lexicographically first maximal independent set. Rows of one word set and one
-    time share all neighbours, so that only the first of them is a node of the graph; the others
-    follow it, and copies never make pairs. Rounds settle every node that has a kept neighbour before
-    it, or none that is undecided; each round settles the first undecided node at least, and in
-    practice whole layers. decided marks rows that are kept beforehand. pos must be unique; rows are
-    compared by it.
+    time share all neighbours, so that only the first of them is a node; the others follow it. Word sets
+    with similar ones, directly or by others, are a component, and each component is settled in one pass
+    over its nodes in order (_greedy): postings of one title, however many, make no pairs of postings.
+    A component of more than most_links pairs of word sets goes by layers of edges instead (_layers).
+    decided marks rows that are kept beforehand. pos must be unique; rows are compared by it.
     """
     own = _prepared(df.withColumn("__pos", F.col(order)), title, "__pos")
     if decided is None:
@@ -93,9 +97,108 @@ def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int =
     else:
         own = own.join(df.select(F.col(order).alias("id"), decided.alias("kept")), "id")
     nodes = own.where((F.size("tok") > 0) & ~F.col("kept")).groupBy("tok", "ts", "kept").agg(F.min("id").alias("id")).select("id", "tok", "ts", "kept")
-    nodes = checkpoint(nodes.union(own.where((F.size("tok") > 0) & F.col("kept")).select("id", "tok", "ts", "kept")))
+    nodes = nodes.union(own.where((F.size("tok") > 0) & F.col("kept")).select("id", "tok", "ts", "kept"))
+    word_set = lambda tok: F.sha2(F.array_join(tok, " "), 256)
+    nodes = checkpoint(nodes.withColumn("cls", word_set("tok")))
+    pairs = similar_pairs(nodes).select(word_set("ta").alias("cls"), word_set("tb").alias("other"))
+    pairs = checkpoint(pairs.union(pairs.select("other", "cls")))
+    roots = components(pairs)
+    placed = nodes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    near = pairs.join(roots, "cls")
+    large = checkpoint(near.groupBy("root").count().where(F.col("count") > 2 * most_links).select("root"))
+    lead = _greedy(placed.join(large, "root", "left_anti"), near.join(large, "root", "left_anti"), days)
+    if large.limit(1).count():
+        lead = lead.union(_layers(checkpoint(placed.join(large, "root", "left_semi").select("id", "tok", "ts", "kept")), days, decided is not None))
+    lead = checkpoint(lead)
+    first = nodes.where("not kept").join(lead, nodes["id"] == lead["pos"]).select(F.col("id").alias("first"), F.col("tok").alias("t"), F.col("ts").alias("at"), "leader")
+    mates = own.join(first, (F.col("tok") == F.col("t")) & F.col("ts").eqNullSafe(F.col("at")) & ~F.col("kept"), "left")
+    return mates.select(F.col("id").alias("pos"), F.coalesce("leader", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("leader"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(cls, root): the least key that each one reaches over pairs (cls, other), which hold both directions.
+
+    Every round all neighbours of a key, and the key, learn of the least key near it; a tree of depth d
+    is a star after about log d rounds, for roots are followed to their own roots.
+    """
+    state = checkpoint(pairs.groupBy("cls").agg(F.least(F.min("other"), F.first("cls")).alias("root")))
+    while True:
+        seen = pairs.join(state.select(F.col("cls").alias("other"), F.col("root").alias("r")), "other").groupBy("cls").agg(F.min("r").alias("r"))
+        near = state.join(seen, "cls").select("cls", "root", F.least("root", "r").alias("new"))
+        hooks = near.groupBy(F.col("root").alias("cls")).agg(F.min("new").alias("hook"))  # a root learns what its tree has seen
+        known = near.join(hooks, "cls", "left").select("cls", "root", F.least("new", "hook").alias("new"))
+        up = known.select(F.col("cls").alias("new"), F.col("new").alias("up"))
+        after = checkpoint(known.join(up, "new", "left").select("cls", "root", F.least("new", "up").alias("new")))
+        if not after.where("root <> new").limit(1).count():
+            return after.select("cls", F.col("new").alias("root"))
+        state = after.select("cls", F.col("new").alias("root"))
+
+
+def _greedy(nodes: DataFrame, near: DataFrame, days: int) -> DataFrame:
+    """(pos, leader) of nodes (root, cls, id, ts, kept), by one pass over each component in order.
+
+    Of the kept rows of a word set only those with a later time than all before can be the first one in a
+    window, so that what is remembered grows with the kept rows' times, not with the postings.
+    """
+    kind = dict(nodes.dtypes)["id"]
+    width = days * 86_400_000_000
+
+    def run(it):
+        root, other, kept, n = None, {}, {}, 0
+        for batch in it:
+            out, lead = [], []
+            columns = [batch.column(c).to_pylist() for c in ("root", "cls", "other", "id", "us", "kept")]
+            for r, cls, o, pos, us, is_kept in zip(*columns, strict=True):
+                if r != root:
+                    root, other, kept = r, {}, {}
+                if o is not None:
+                    other.setdefault(cls, []).append(o)
+                    continue
+                n += 1
+                best = None
+                if not is_kept:
+                    oldest = -inf if us is None else us - width
+                    for c in (cls, *other.get(cls, ())):
+                        if c in kept:
+                            times, at = kept[c]
+                            i = bisect_left(times, oldest)
+                            if i < len(times) and (best is None or at[i] < best):
+                                best = at[i]
+                    out.append(pos)
+                    lead.append(best and best[1])
+                if best is None:
+                    times, at = kept.setdefault(cls, ([], []))
+                    time = inf if us is None else us
+                    if not times or time > times[-1]:
+                        times.append(time)
+                        at.append(_At((n, pos)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, types[0]), pa.array(lead, types[0])], ["pos", "leader"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(nodes.schema["id"].dataType)]
+    null = F.lit(None)
+    rows = nodes.select("root", "cls", null.cast("string").alias("other"), "id", F.unix_micros("ts").alias("us"), "kept", F.lit(1).alias("kind"))
+    links = near.select("root", "cls", "other", null.cast(kind).alias("id"), null.cast("long").alias("us"), null.cast("boolean").alias("kept"), F.lit(0).alias("kind"))
+    dealt = rows.union(links).repartition("root").sortWithinPartitions("root", "kind", "id")
+    return dealt.mapInArrow(run, f"pos {kind}, leader {kind}")
+
+
+class _At(tuple):
+    """(number, pos), compared by the number: pos may be a struct."""
+
+    def __lt__(self, other):
+        return self[0] < other[0]
+
+
+def _layers(nodes: DataFrame, days: int, decided: bool) -> DataFrame:
+    """(pos, leader) of nodes (id, tok, ts, kept) by rounds over edges.
+
+    A round settles every node that has a kept neighbour before it, or none that is undecided.
+    """
     found = _edges(nodes, days)
-    if decided is not None:  # what is kept beforehand needs no edges
+    if decided:  # what is kept beforehand needs no edges
         found = found.join(nodes.where("not kept").select(F.col("id").alias("b")), "b", "left_semi")
     found = checkpoint(found)
     later = found.select(F.col("b").alias("id")).distinct().withColumn("u", F.lit(True))
@@ -107,10 +210,7 @@ def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int =
         state = checkpoint(state.join(seen, state.pos == seen.b, "left").select("pos", settled.alias("s")))
     kept = state.where("s = 'K'").select(F.col("pos").alias("a"))
     lead = found.join(kept, "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader"))
-    first = state.where("s = 'D'").join(lead, F.col("pos") == F.col("b")).select(F.col("pos").alias("id"), "leader")
-    first = nodes.where("not kept").join(first, "id", "left").select(F.col("id").alias("first"), F.col("tok").alias("t"), F.col("ts").alias("at"), "leader")
-    mates = own.join(first, (F.col("tok") == F.col("t")) & F.col("ts").eqNullSafe(F.col("at")) & ~F.col("kept"), "left")
-    return mates.select(F.col("id").alias("pos"), F.coalesce("leader", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("leader"))
+    return nodes.where("not kept").select(F.col("id").alias("pos")).join(lead, F.col("pos") == F.col("b"), "left").select("pos", "leader")
 
 
 REF = "array<struct<source:string,url:string,trust_score:double,collected_at:string,title:string>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwire.functions.text import clean_tags, cut_bytes, inline_urls, nz, text, trim, upload_tags
+from sparkwire.functions.text import clean_tags, cut_bytes, inline_urls, is_block_page, nz, text, trim, upload_tags
 
 
 def can(users: DataFrame) -> DataFrame:
@@ -65,14 +65,19 @@ def search_tags(docs: DataFrame) -> DataFrame:
     return docs.withColumn("search_tags", F.array_join(F.filter(F.array(nz(F.col("tags")), nz(F.col("auto_tags"))), lambda t: t.isNotNull()), ","))
 
 
-def fetched(candidates: DataFrame, tiers: list[tuple[str, str, int]], trust: str = "trust_score", paid: tuple[str, float] | None = ("paid", 0.5)) -> DataFrame:
-    """(text, mode) of the first tier (column, mode, least length) that is long enough; a paid tier needs trust.
+def fetched(candidates: DataFrame, tiers: list[tuple], trust: str = "trust_score", paid: tuple[str, float] | None = ("paid", 0.5), unchecked: tuple[str, ...] = ("snippets",)) -> DataFrame:
+    """(text, mode) of the first tier (column, mode, least length) that is long enough and no block page; a paid tier needs trust.
 
-    A tier with a fourth value wins only below that trust: PREFETCH has such a one.
+    A tier with a fourth value wins only below that trust: PREFETCH has such a one. Tiers whose column is
+    not there are passed over, and columns in `unchecked` hold texts that no site has sent.
     """
     out, mode = F.lit(None).cast("string"), F.lit(None).cast("string")
     for column, name, least, *below in tiers:
+        if column not in candidates.columns:
+            continue
         fits = F.length(trim(text(F.col(column)))) >= least
+        if column not in unchecked:
+            fits = fits & ~is_block_page(F.col(column))
         if below:
             fits = fits & (F.coalesce(F.col(trust), F.lit(0.0)) < below[0])
         if paid and column == paid[0]:
@@ -81,10 +86,20 @@ def fetched(candidates: DataFrame, tiers: list[tuple[str, str, int]], trust: str
     return candidates.withColumn("text", F.coalesce(out, F.lit(""))).withColumn("mode", F.coalesce(mode, F.lit("thin")))
 
 
-#: The tiers of a prefetch (columns direct, page, snippets, paid): long snippets win, shorter ones below a trust of 0.5 or last.
-PREFETCH = [("direct", "direct", 200), ("page", "page", 200), ("snippets", "snippets", 800), ("snippets", "snippets", 200, 0.5), ("paid", "paid", 200), ("snippets", "snippets", 200)]
-#: The tiers for items that still lack text when they are summarised.
-RESCUE = [("direct", "direct", 300), ("paid", "paid", 300)]
+#: The tiers of a prefetch (columns direct, page, plain, snippets, paid): long snippets win, shorter ones below a trust of 0.5 or last.
+PREFETCH = [("direct", "direct", 200), ("page", "page", 200), ("plain", "plain", 200), ("snippets", "snippets", 800), ("snippets", "snippets", 200, 0.5), ("paid", "paid", 200), ("snippets", "snippets", 200)]
+#: What follows where those gave less than is needed for a summary: an agent that reads the page.
+AGENT = [("agent", "agent", 300)]
+
+
+def rescued(candidates: DataFrame, least: int = 300) -> DataFrame:
+    """(text, mode) by PREFETCH, then by AGENT where that is thin or short of `least`; what stays short has no text."""
+    first = fetched(candidates, PREFETCH).withColumnsRenamed({"text": "__text", "mode": "__mode"})
+    short = F.length("__text") < least
+    both = fetched(first, AGENT)
+    failed = F.concat_ws("->", "__mode", "mode") if "agent" in candidates.columns else F.col("__mode")
+    mode = F.when(~short, F.col("__mode")).when(F.col("text") != "", F.col("mode")).otherwise(failed)
+    return both.withColumns({"text": F.when(short, F.col("text")).otherwise(F.col("__text")), "mode": mode}).drop("__text", "__mode")
 
 
 def modes(rows: DataFrame) -> DataFrame:

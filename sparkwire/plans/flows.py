@@ -106,19 +106,36 @@ def prefetch(candidates: DataFrame, fetched: DataFrame, most: int = 200) -> tupl
     return with_texts(candidates, got.select("url", "text").dropDuplicates(["url"])), documents.modes(got)
 
 
+def lacking(items: DataFrame, least_trust: float = 0.0) -> DataFrame:
+    """Items without a summary, of at least that trust."""
+    return items.where((trim(text(F.col("summary_ru"))) == "") & (F.coalesce("trust_score", F.lit(0.0)) >= least_trust))
+
+
 def summary_targets(items: DataFrame, most: int = 35, least_trust: float = 0.0) -> DataFrame:
-    rows = items.where((trim(text(F.col("summary_ru"))) == "") & (F.coalesce("trust_score", F.lit(0.0)) >= least_trust))
-    return rows.orderBy(F.desc(F.coalesce("trust_score", F.lit(0.0))), "seq").limit(most)
+    """Items to be fetched: the most trusted of those that lack a summary. The limit is one on fetching, not on summaries."""
+    return lacking(items, least_trust).orderBy(F.desc(F.coalesce("trust_score", F.lit(0.0))), "seq").limit(most)
+
+
+def summary_batch(items: DataFrame, fetched: DataFrame, most: int = 35, least_trust: float = 0.0, cut: int = 2500) -> DataFrame:
+    """(id, title, text, mode) of every item that lacks a summary.
+
+    The text is the item's own, or else that of fetched (url and the tiers' columns) for the `most` most
+    trusted, or else is made of the title and the reasons the item was taken for; mode tells which.
+    """
+    rows = lacking(items, least_trust)
+    targets = summary_targets(items, most, least_trust).where(nz(F.col("url")).isNotNull()).select("seq", "url", "trust_score")
+    got = documents.rescued(targets.join(fetched, "url", "left")).select("seq", F.col("text").alias("__text"), F.col("mode").alias("__mode"))
+    reasons = [trim(text(F.col(c))) for c in ("title", "relevance_reason", "bank_applicability_reason") if c in items.columns]
+    fallback = F.array_join(F.filter(F.array(*reasons), lambda x: x != ""), ". ")
+    own, there = nz(trim(text(F.col("article_text")))), nz(F.col("__text"))
+    mode = F.when(own.isNotNull(), "own").when(there.isNotNull(), F.col("__mode")).otherwise("fallback")
+    return rows.join(got, "seq", "left").select(F.col("seq").alias("id"), "title", F.left(F.coalesce(own, there, fallback), F.lit(cut)).alias("text"), mode.alias("mode"))
 
 
-def summarised(items: DataFrame, fetched: DataFrame, model, most: int = 35, least: int = 200) -> DataFrame:
+def summarised(items: DataFrame, fetched: DataFrame, model, most: int = 35, least: int = 200, least_trust: float = 0.0) -> DataFrame:
     """Items (seq, url, title, article_text, summary_ru, trust_score) with summaries of those that lack one.
 
-    What has no text takes it from fetched (url, direct, paid). model(rows) gives (id, summary) for rows
-    (id, title, text): any backend over a DataFrame.
+    model(rows) gives (id, summary) for rows (id, title, text), the summary_batch: any backend over a DataFrame.
     """
-    targets = summary_targets(items, most)
-    got = documents.fetched(targets.join(fetched, "url", "left"), documents.RESCUE)
-    body = F.coalesce(nz(trim(text(F.col("article_text")))), nz(F.col("text")), F.lit(""))
-    rows = got.select(F.col("seq").alias("id"), "title", body.alias("text")).where("text <> ''")
+    rows = summary_batch(items, fetched, most, least_trust).drop("mode")
     return merged_summaries(items.withColumn("id", F.col("seq")), model(rows), least).drop("id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkwire.functions import patterns as P
 from sparkwire.functions import scores, text, urls
 from sparkwire.operators import archive, dedupe, documents, insights, jobs, search, state, windows
+from sparkwire.session import checkpoint
 from sparkwire.sources import schemas
 from sparkwire.sources.readers import table
 from sparkwire.streaming import incremental
@@ -246,6 +247,21 @@ _FTS = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lo
   FROM f, s WHERE a > 0 AND b > 0 ORDER BY score, doc_id LIMIT 50"""
 
 
+def _phrases(spark, sf_dir):
+    postings, lengths = search.index(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"])
+    out = search.search_index(checkpoint(postings), lengths, "of-the t the-o", 100)
+    return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_PHRASES = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿёй', 'aaaaaaceeeeiiiinoooooouuuuyyеи'), '[\p{L}\p{N}]+'), [NULL], [source]) AS w FROM documents),
+  f AS (SELECT doc_id, len(w) - 1 AS dl, len(list_filter(w, lambda x, i: x = 'of' AND w[i + 1] = 'the' OR x = 'of' AND starts_with(w[i + 1], 'the'))) AS a,
+        len(list_filter(w, lambda x: starts_with(x, 't'))) AS b, len(list_filter(w, lambda x, i: x = 'the' AND starts_with(w[i + 1], 'o'))) AS c FROM w),
+  s AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM f),
+  x AS (SELECT doc_id, dl / m AS l, a, b, c, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) AS ia, greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) AS ib, greatest(1e-6, ln((n - dc + 0.5) / (dc + 0.5))) AS ic FROM f, s WHERE a > 0 AND b > 0 AND c > 0)
+  SELECT doc_id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l)) + ic * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l))), 6) AS score
+  FROM x ORDER BY score, doc_id LIMIT 100"""
+
+
 def _best(spark, sf_dir):
     pages = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), text.page_title(F.col("html")).alias("statement"), F.lit("x").alias("category"))
     first = pages.groupBy("statement").agg(F.min("id").alias("id"))
@@ -364,6 +380,7 @@ QUERIES = {
     "best_match": (_best, _BEST),
     "visibility_list": (lambda s, d: documents.listing(_rows(s, d), "fr", False, 100, 20).select("id", "moderation_status", "author"), "SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'pending' ELSE 'approved' END AS moderation_status, lang AS author FROM documents WHERE source NOT IN ('src1', 'src2', 'src3') OR lang = 'fr' ORDER BY CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0 ELSE 1 END, n_chars DESC, doc_id LIMIT 100 OFFSET 20"),
     "fts_search_bm25": (_fts, _FTS),
+    "phrase_search": (_phrases, _PHRASES),
     "job_metrics": (lambda s, d: jobs.metrics(_jobs(s, d)), _METRICS),
     "job_totals": (lambda s, d: jobs.totals(_jobs(s, d)), f"WITH {_JOBS} SELECT count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error, 0 AS cancelled, 0 AS interrupted, 0 AS running, count(*) FILTER (status = 'queued') AS queued FROM j"),
     "queue_position": (lambda s, d: jobs.queue(_jobs(s, d)).select("id", "priority", "queue_pos"), f"WITH {_JOBS}, q AS (SELECT CAST(event_id AS VARCHAR) AS id, rank * 10000000000000 + ms AS priority FROM j WHERE status = 'queued') SELECT id, priority, count(*) OVER (ORDER BY priority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS queue_pos FROM q"),

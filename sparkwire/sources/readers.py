@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwire.functions.text import anchors, digest_items, html_to_text, is_block_page, nz, text, trim
-from sparkwire.functions.urls import host, path
+from sparkwire.functions.text import digest_items, html_to_text, is_block_page, nz, text, trim
+from sparkwire.functions.urls import host
 from sparkwire.operators.windows import first_wins, host_cap, top_per_key, until_breaker
 from sparkwire.session import spread
 
+from .listing import Links
 from .schemas import SCHEMAS
 
 RSS_TOP, DIRECT_TOP = 25, 15
@@ -72,26 +73,30 @@ def guarded(responses: DataFrame, limit: int = 25, budget_s: float = 360.0, narr
     return until_breaker(responses.where(F.col("elapsed_s") <= budget_s), F.col("n_hits") == 0, limit).withColumn("max_hits", most)
 
 
-#: Paths of listings that are no articles.
-LISTING_TAIL = r"/(page|tag|tags|category|author|search)(/|$)|^/?$"
+#: Last parts of addresses that are no articles.
+LISTING_TAIL = r"(?i)/(category|tag|page|search|login|about|contact|privacy|terms|sitemap|rss|feed)/?$"
 
 
-def listing_links(pages: DataFrame, most: int = 15, url: str = "url", html: str = "html", selectors: dict[str, list[str]] | None = None) -> DataFrame:
+def listing_links(pages: DataFrame, most: int = 15, url: str = "url", html: str = "html", selectors: dict[str, str | list[str]] | None = None) -> DataFrame:
     """(url, pos, href, label): article links of listing pages, of the page's own site.
 
-    selectors: for a part of a host, patterns of which a link of such hosts must match one (of its href);
-    the first part that the host contains counts, hosts without one take all links.
+    selectors: for a part of a host, a CSS selector of its links, or patterns of which an href must match
+    one; the first part that the host contains counts, hosts without one take all links. Labels are the
+    whole text of a link, tags within it or not; listing.SELECTORS has known sites.
     """
-    base = host(F.col(url))
-    rows = pages.select(F.col(url).alias("page"), base.alias("base"), F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1).alias("root"), F.posexplode(anchors(F.col(html))).alias("pos", "a"))
-    link = F.when(F.col("a.href").startswith("//"), F.concat(F.lit("https:"), "a.href")).when(F.col("a.href").startswith("/"), F.concat("root", "a.href")).otherwise(F.col("a.href"))
-    rows = rows.select("page", "base", "pos", link.alias("href"), F.col("a.label").alias("label")).where(F.col("href").rlike("^https?://") & (F.length("label") >= 15))
-    bare = F.regexp_replace("base", r"^www\.", "")
-    fits = F.lit(True)
-    for part, patterns in reversed((selectors or {}).items()):
-        fits = F.when(F.col("base").contains(part), F.col("href").rlike("|".join(f"(?:{p})" for p in patterns))).otherwise(fits)
-    rows = rows.where(fits)
-    rows = rows.where(F.contains(host(F.col("href")), bare) & ~path(F.col("href")).rlike(LISTING_TAIL))
+    base = F.regexp_replace(host(F.col(url)), r"www\.", "")
+    selector, fits = F.lit("a"), F.lit(True)
+    for part, wanted in reversed((selectors or {}).items()):
+        of = F.col("base").contains(part)
+        css = isinstance(wanted, str)
+        selector = F.when(of, F.lit(wanted if css else "a")).otherwise(selector)
+        fits = F.when(of, F.lit(True) if css else F.col("href").rlike("|".join(f"(?:{p})" for p in wanted))).otherwise(fits)
+    own = pages.select(F.col(url).alias("page"), base.alias("base"), F.col(html).alias("html")).withColumn("selector", selector)
+    rows = own.lateralJoin(Links(F.col("html").outer(), F.col("selector").outer())).select("page", "base", "pos", F.trim("link").alias("link"), "label")
+    root, scheme = F.regexp_extract("page", r"^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract("page", r"^([A-Za-z]+:)", 1)
+    href = F.when(F.col("link").startswith("//"), F.concat(scheme, "link")).when(F.col("link").startswith("/"), F.concat(root, "link")).otherwise(F.col("link"))
+    rows = rows.select("page", "base", "pos", href.alias("href"), "label").where(F.col("href").startswith("http") & (F.length("label") >= 15)).where(fits)
+    rows = rows.where(F.contains(F.regexp_replace(host(F.col("href")), r"www\.", ""), F.col("base")) & ~F.col("href").rlike(LISTING_TAIL))
     return top_per_key(first_wins(rows, F.struct("page", "href"), "pos"), ["page"], most, F.col("pos")).select(F.col("page").alias("url"), "pos", "href", "label")
 
 

@@ -50,7 +50,7 @@ def test_search_hits(spark):
 
 
 def test_listing_links(spark):
-    html = "".join(f'<a class="x" href="{h}">{t}</a>' for h, t in (("/news/1", "A title that is long enough"), ("/news/1", "Another title for the same link"), ("https://other.z/1", "A link to some other site"), ("/tag/x", "A tag of the listing page"), ("https://www.s.t/2", "short"), ("https://www.s.t/3", "Absolute link with long title")))
+    html = "".join(f'<a class="x" href="{h}">{t}</a>' for h, t in (("/news/1", "A title that is long enough"), ("/news/1", "Another title for the same link"), ("https://other.z/1", "A link to some other site"), ("/x/tag/", "A tag of the listing page"), ("https://www.s.t/2", "short"), ("https://www.s.t/3", "Absolute link with long title")))
     df = spark.createDataFrame([("https://www.s.t/list", html)], "url string, html string")
     assert [r["href"] for r in readers.listing_links(df).orderBy("pos").collect()] == ["https://www.s.t/news/1", "https://www.s.t/3"]
 
