@@ -41,12 +41,13 @@ def fill_fields(archive: DataFrame, incoming: DataFrame, key: str, fields=UPDATA
     return out.withColumns({f: F.when(empty(f), F.coalesce(F.col(f"__{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}).drop(*[f"__{f}" for f in fields])
 
 
-def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "title", keep_dups: bool = True, attach_dups: bool = True) -> DataFrame:
+def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "title", keep_dups: bool = True, attach_dups: bool = True, last: int | None = None) -> DataFrame:
     """The archive after a batch: collapse it, fill its fields, collapse story groups, then add what is new.
 
     An incoming row of a known hash adds its dup_sources to the archive's row; a near-duplicate of an
     archive row, or of a row added before it, is attached (or dropped); the others are added. With
-    keep_dups=False an added row loses the dup_sources of its story group.
+    keep_dups=False an added row loses the dup_sources of its story group. last is the last seq given out,
+    where archive is not the whole.
     """
     old = collapse(archive, title)
     if "story_group" in incoming.columns:
@@ -78,7 +79,7 @@ def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "ti
     kept, gone = joined.where("leader is null"), joined.where("leader is not null")
     if attach_dups:
         kept = attach(kept, gone, "__key", "leader", title, "__key")
-    base = kept.where("__old").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    base = kept.where("__old").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if last is None else last
     added = numbered(kept.where("not __old"), "__key", "seq", base)
     return kept.where("__old").unionByName(added).select([c for c in kept.columns if c not in ("__key", "__old", "leader", "story_group")])
 

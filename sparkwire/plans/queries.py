@@ -7,13 +7,15 @@ query takes whole tables. A limit stands only where the operator is one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwire.functions import patterns as P
 from sparkwire.functions import scores, text, urls
-from sparkwire.operators import archive, dedupe, documents, insights, jobs, search, state, windows
-from sparkwire.session import checkpoint
+from sparkwire.operators import archive, dedupe, documents, insights, jobs, kept, search, state, windows
+from sparkwire.session import checkpoint, shared_folder
 from sparkwire.sources import schemas
 from sparkwire.sources.readers import table
 from sparkwire.streaming import incremental
@@ -132,6 +134,28 @@ _COLLAPSE_SQL = f"""WITH RECURSIVE {_TITLE_SQL},
   SELECT k.page_id, count(r.url) AS n_dups, coalesce(string_agg(r.url, ' ' ORDER BY r.at), '') AS dups FROM k LEFT JOIN r ON r.leader = k.page_id GROUP BY k.page_id"""
 
 
+def _kept_archive(spark, sf_dir):
+    """Pages of even numbers as an archive, the others as two batches."""
+    pages = _titled(spark, sf_dir).withColumns({"article_hash": F.concat(F.lit("h"), F.col("seq").cast("string")), "dup_sources": F.array().cast(dedupe.REF)})
+    pages = checkpoint(pages.withColumn("page_id", F.col("seq")))
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    kept.create(pages.where("page_id % 2 = 0"), path)
+    for third in (1, 2):
+        kept.apply(spark, path, pages.where(f"page_id % 2 = 1 and page_id % 3 {'=' if third == 1 else '<>'} 0"), AS_OF)
+    return kept.read(spark, path).select("page_id", F.size("dup_sources").cast("long").alias("n_dups"))
+
+
+_KEPT_SQL = f"""WITH RECURSIVE o AS (SELECT page_id AS id, url AS link, html, row_number() OVER (ORDER BY CASE WHEN page_id % 2 = 0 THEN 0 WHEN page_id % 3 = 0 THEN 1 ELSE 2 END, page_id) AS page_id, CASE WHEN page_id % 2 = 0 THEN 0 WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS part FROM pages),
+  {_TITLE_SQL.replace("FROM pages", "FROM o")},
+  n AS (SELECT t.page_id, t.page_id AS pos, coalesce(list(e.a ORDER BY e.a) FILTER (e.a IS NOT NULL), []) AS before FROM t LEFT JOIN e ON e.b = t.page_id GROUP BY t.page_id),
+  s AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL
+        SELECT n.pos, CASE WHEN len(list_intersect(s.kept, n.before)) > 0 THEN s.kept ELSE list_append(s.kept, n.page_id) END FROM s JOIN n ON n.pos = s.pos + 1),
+  k AS (SELECT unnest(kept) AS page_id FROM (SELECT kept FROM s ORDER BY pos DESC LIMIT 1)),
+  d AS (SELECT e.b, min(e.a) AS leader FROM e SEMI JOIN k ON e.a = k.page_id ANTI JOIN k AS kk ON e.b = kk.page_id GROUP BY e.b),
+  r AS (SELECT DISTINCT d.leader, p.link FROM d JOIN o p ON p.page_id = d.b JOIN o l ON l.page_id = d.leader WHERE p.link <> l.link)
+  SELECT o.id AS page_id, count(r.link) AS n_dups FROM k JOIN o USING (page_id) LEFT JOIN r ON r.leader = k.page_id GROUP BY o.id"""
+
+
 def _merged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("http://"), "source", F.lit(".example/"), F.col("n_chars").cast("string")).alias("url"), F.col("text").alias("article_text"), ((F.col("n_chars") % 7) / 10.0).alias("trust_score"), "lang")
     out = archive.merge_candidates(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"))
@@ -362,6 +386,7 @@ QUERIES = {
     "doc_quality": (lambda s, d: _docs(s, d).select("doc_id", scores.document_quality(F.col("text"), F.when(F.col("lang") == "en", "url").otherwise("file"), F.concat(F.when(F.col("source") == "src1", "ftp://").otherwise("http://"), "source")).alias("q")).select("doc_id", "q.level", F.size("q.reasons").cast("long").alias("n_reasons")), "WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, lang = 'en' AS u, source = 'src1' AS f FROM documents) SELECT doc_id, CASE WHEN n < 60 THEN 'red' WHEN n < 200 OR (u AND (f OR n < 400)) THEN 'yellow' ELSE 'green' END AS level, (CAST(n < 200 AS INT) + CASE WHEN n >= 60 AND u THEN CAST(f AS INT) + CAST(n < 400 AS INT) ELSE 0 END)::BIGINT AS n_reasons FROM d"),
     "title_links": (_title_links, f"WITH {_TITLE_SQL}, l AS (SELECT a AS p FROM e UNION ALL SELECT b FROM e), c AS (SELECT tok, min(page_id) AS class_id FROM t WHERE len(tok) > 0 GROUP BY tok) SELECT t.page_id, coalesce(c.class_id, t.page_id) AS class_id, (SELECT count(*) FROM l WHERE l.p = t.page_id) AS n_links FROM t LEFT JOIN c ON c.tok = t.tok"),
     "near_dup_collapse": (_collapsed, _COLLAPSE_SQL),
+    "archive_upsert": (_kept_archive, _KEPT_SQL),
     "diversity_cap": (lambda s, d: windows.round_robin(_docs(s, d).select("doc_id", "source"), 320, "source", "doc_id"), "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, min(doc_id) OVER (PARTITION BY source) AS f FROM documents) SELECT doc_id, source FROM r ORDER BY r, f LIMIT 320"),
     "host_cap_topn": (lambda s, d: windows.host_cap(_pages(s, d).select("page_id", urls.host(F.col("url")).alias("host"), F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("lang")), "host", 2, 20, ["lang"], "page_id"), f"WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang FROM pages), a AS (SELECT *, row_number() OVER (PARTITION BY lang, host ORDER BY page_id) AS r FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS q FROM a WHERE r <= 2) SELECT page_id, host, lang FROM b WHERE q <= 20"),
     "candidate_merge_top200": (_merged, _MERGE_SQL),

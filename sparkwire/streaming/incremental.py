@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkwire.operators import kept
 from sparkwire.operators.archive import upsert
 from sparkwire.sources import sinks
 from sparkwire.sources.readers import archive as read_archive
@@ -24,6 +25,15 @@ def archive_stream(stream: DataFrame, path: str, checkpoint: str, as_of: Callabl
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def kept_stream(stream: DataFrame, path: str, checkpoint: str, as_of: Callable[[int], str], trigger: dict | None = None, **options) -> StreamingQuery:
+    """archive_stream over an archive kept with indexes (operators.kept): a batch reads and writes only what it can touch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept.apply(batch.sparkSession, path, batch, as_of(number), **options)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def latest_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the last row of each key: reactions, preferences, snapshots."""
     from sparkwire.operators.windows import last_wins

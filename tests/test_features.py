@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwire.functions import patterns as P
-from sparkwire.operators import dedupe, documents, search
+from sparkwire.operators import archive, dedupe, documents, kept, search
 from sparkwire.plans import flows
+from sparkwire.session import checkpoint
 from sparkwire.sources import listing, readers
+from sparkwire.streaming import incremental
 
 
 def rows(df, *cols):
@@ -177,3 +179,69 @@ def test_a_title_posted_all_year(spark):
     assert kept == list(range(0, 100_000, step))
     late = {s: x for s, x in rows(lead.where("leader is not null"), "pos.seq", "leader.seq")}
     assert all(x == s // step * step for s, x in late.items())
+
+
+# ---- the kept archive
+
+
+def _batches(rng, n, each):
+    words = [f"word{'x' * (k % 5)}{k}" for k in range(12)]
+    start = datetime(2026, 1, 1)
+    out = []
+    for b in range(n):
+        batch = []
+        for k in range(each):
+            at = (start + timedelta(days=4 * b, hours=rng.randint(0, 90))).strftime("%Y-%m-%dT%H:%M:%SZ") if rng.random() > 0.08 else None
+            h = f"h{rng.randint(0, n * each)}"
+            batch.append((k, h, " ".join(rng.sample(words, rng.choice([3, 4, 5]))) if rng.random() > 0.05 else "", f"http://s/{h}/{b}", "s", 0.5, at, rng.choice(["", "text"])))
+        out.append(batch)
+    return out
+
+
+KEPT = "seq long, article_hash string, title string, url string, source string, trust_score double, collected_at string, summary_ru string"
+
+
+def test_kept_archive_equals_the_whole(spark, tmp_path):
+    rng = random.Random(6)
+    first, *batches = [spark.createDataFrame(b, KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF)) for b in _batches(rng, 5, 25)]
+    path = str(tmp_path / "kept")
+    kept.create(first, path)
+    whole = checkpoint(dedupe.collapse(first))
+    show = lambda df: sorted((r["seq"], r["article_hash"], r["title"], r["collected_at"], r["summary_ru"], [d["url"] for d in r["dup_sources"]]) for r in df.collect())
+    for k, batch in enumerate(batches):
+        as_of = f"2026-01-{5 + 4 * k:02}T00:00:00Z"
+        done = kept.apply(spark, path, batch, as_of)
+        before, whole = whole, checkpoint(archive.upsert(whole, batch, as_of))
+        assert show(kept.read(spark, path)) == show(whole)
+        assert done["added"] == whole.count() - before.count()
+    assert kept.apply(spark, path, batches[-1], as_of) == {"added": 0, "changed": 0, "weeks": []}  # the same batch again
+
+
+def test_kept_archive_reads_touched_weeks_only(spark, tmp_path):
+    item = lambda n, h, title, at: (n, h, title, f"http://s/{h}", "s", 0.5, at, "")
+    make = lambda *data: spark.createDataFrame([item(k, *x) for k, x in enumerate(data, 1)], KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF))
+    path = str(tmp_path / "kept")
+    kept.create(make(("a", "one old title here", "2025-01-01T00:00:00Z"), ("b", "another title of march", "2026-03-01T00:00:00Z"), ("c", "something without time", "")), path)
+    old = [f for f in (tmp_path / "kept").rglob("*.parquet") if "week=2869" in str(f)]
+    assert len(old) == 2
+    for f in old:  # whoever reads them fails
+        f.write_bytes(b"broken")
+        (f.parent / f".{f.name}.crc").unlink()
+    done = kept.apply(spark, path, make(("d", "one old title here", "2026-03-02T00:00:00Z"), ("e", "another title of march", "2026-03-03T00:00:00Z"), ("f", "something without time", "2026-03-03T00:00:00Z")), "")
+    assert done["added"] == 1 and done["changed"] == 2 and 2869 not in done["weeks"]
+
+
+def test_kept_stream(spark, tmp_path):
+    rng = random.Random(9)
+    batches = _batches(rng, 3, 15)
+    path, source = str(tmp_path / "kept"), str(tmp_path / "in")
+    none = spark.createDataFrame([], KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF))
+    kept.create(none, path)
+    whole = none
+    for k, b in enumerate(batches):
+        df = spark.createDataFrame(b, KEPT)
+        df.coalesce(1).write.mode("append").parquet(source)
+        incremental.kept_stream(spark.readStream.schema(KEPT).parquet(source), path, str(tmp_path / "ck"), lambda n: "2026-01-20T00:00:00Z").awaitTermination()
+        whole = checkpoint(archive.upsert(whole, df, "2026-01-20T00:00:00Z"))
+    key = lambda df: sorted(rows(df, "seq", "article_hash"))
+    assert key(kept.read(spark, path)) == key(whole)
