@@ -106,13 +106,18 @@ def first_sentences(col: Column, n: int = 2, most: int = 600) -> Column:
 
 def rate(title: Column, body: Column, topic: Column, signals: str = P.SIGNALS, in_banking: str = P.IN_BANKING) -> Column:
     """struct(summary, rating 1 to 5, signals): the offline model."""
+    def judged(of: Column, title: Column, topic: Column) -> Column:
+        def scored(n: Column) -> Column:
+            one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
+            score = F.lit(1) + one(F.length(of) >= 200) + one(F.length(of) >= 800) + one(n >= 2) + one(topic.contains(in_banking))
+            summary = F.coalesce(nz(first_sentences(of)), nz(title), F.lit("(нет текста)"))
+            return F.struct(summary.alias("summary"), F.least(F.lit(5), score).alias("rating"), n.alias("signals"), F.length(of).alias("length"))
+
+        return bound(F.size(F.regexp_extract_all(of, F.lit(P.FLAGS + signals), F.lit(0))), scored)
+
     title, body = text(title), text(body)
     of = F.when(F.length(trim(body)) >= F.length(trim(title)), body).otherwise(title)
-    n = F.size(F.regexp_extract_all(of, F.lit(P.FLAGS + signals), F.lit(0)))
-    one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
-    score = F.lit(1) + one(F.length(of) >= 200) + one(F.length(of) >= 800) + one(n >= 2) + one(topic.contains(in_banking))
-    summary = F.coalesce(nz(first_sentences(of)), nz(title), F.lit("(нет текста)"))
-    return F.struct(summary.alias("summary"), F.least(F.lit(5), score).alias("rating"), n.alias("signals"), F.length(of).alias("length"))
+    return bound(F.struct(of.alias("of"), title.alias("title"), topic.alias("topic")), lambda x: judged(x["of"], x["title"], x["topic"]))
 
 
 def category(raw: Column) -> Column:
@@ -133,20 +138,37 @@ def scrub_reply(col: Column) -> Column:
     return F.when((out == "") & (trim(col) != ""), P.REPLY_STUB).otherwise(out)
 
 
+def envelope(raw: Column) -> Column:
+    """struct(reply, error, session) of an agent's JSON, of whatever shape: its payload texts, else its summary; its session's id.
+
+    The JSON is parsed once, to a variant, whose paths are read where they are there and of a fitting kind:
+    what else an object holds, or holds in their place, does not matter.
+    """
+    start = F.instr(raw, "{")
+
+    def read(v: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(v, "$.result.payloads", "array<variant>"), F.try_variant_get(v, "$.payloads", "array<variant>"))
+        texts = F.filter(F.transform(listed, lambda p: trim(text(F.try_variant_get(p, "$.text", "string")))), lambda t: t != "")
+        reply = F.coalesce(nz(F.array_join(texts, "\n\n")), nz(F.try_variant_get(v, "$.summary", "string")))
+        paths = ("$.result.meta.agentMeta.sessionId", "$.meta.agentMeta.sessionId", "$.sessionId")
+        session = F.coalesce(*[nz(F.try_variant_get(v, p, "string")) for p in paths], F.lit(""))
+        return F.struct(text(scrub_reply(reply)).alias("reply"), F.when(reply.isNull(), "no reply").alias("error"), session.alias("session"))
+
+    return bound(F.when(start > 0, F.try_parse_json(F.substr(raw, F.greatest(F.lit(1), start)))), read)
+
+
+def bound(col: Column, use) -> Column:
+    """use(col), col being evaluated once however often it is used: a lambda's variable is not inlined."""
+    return F.transform(F.array(col), use)[0]
+
+
 def reply_of(raw: Column) -> Column:
     """struct(reply, error) of an agent's JSON: its payload texts, else its summary."""
-    start = F.instr(raw, "{")
-    parsed = F.from_json(F.substr(raw, start), "summary string, result struct<payloads: array<struct<text: string>>>, payloads array<struct<text: string>>", {"mode": "PERMISSIVE"})
-    payloads = F.coalesce(parsed["result"]["payloads"], parsed["payloads"])
-    joined = F.array_join(F.filter(F.transform(payloads, lambda p: trim(text(p["text"]))), lambda t: t != ""), "\n\n")
-    reply = F.when(start > 0, F.coalesce(nz(joined), nz(parsed["summary"])))
-    return F.struct(text(scrub_reply(reply)).alias("reply"), F.when(reply.isNull(), "no reply").alias("error"))
+    return bound(envelope(raw), lambda e: F.struct(e["reply"].alias("reply"), e["error"].alias("error")))
 
 
 def session_id(raw: Column) -> Column:
-    body = F.substr(raw, F.greatest(F.lit(1), F.instr(raw, "{")))
-    paths = ("$.result.meta.agentMeta.sessionId", "$.meta.agentMeta.sessionId", "$.sessionId")
-    return F.coalesce(*[nz(F.get_json_object(body, p)) for p in paths], F.lit(""))
+    return envelope(raw)["session"]
 
 
 def inline_urls(col: Column, most: int = 4) -> Column:

@@ -41,15 +41,15 @@ def fill_fields(archive: DataFrame, incoming: DataFrame, key: str, fields=UPDATA
     return out.withColumns({f: F.when(empty(f), F.coalesce(F.col(f"__{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}).drop(*[f"__{f}" for f in fields])
 
 
-def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "title", keep_dups: bool = True, attach_dups: bool = True, last: int | None = None) -> DataFrame:
+def upsert(archive: DataFrame, incoming: DataFrame, as_of: str, title: str = "title", keep_dups: bool = True, attach_dups: bool = True, last: int | None = None, collapsed: bool = False) -> DataFrame:
     """The archive after a batch: collapse it, fill its fields, collapse story groups, then add what is new.
 
     An incoming row of a known hash adds its dup_sources to the archive's row; a near-duplicate of an
     archive row, or of a row added before it, is attached (or dropped); the others are added. With
     keep_dups=False an added row loses the dup_sources of its story group. last is the last seq given out,
-    where archive is not the whole.
+    where archive is not the whole; collapsed, that archive is known to have no near-duplicates.
     """
-    old = collapse(archive, title)
+    old = archive if collapsed else collapse(archive, title)
     if "story_group" in incoming.columns:
         grouped = story_groups(incoming, title=title)
         incoming = fill = grouped.withColumn("__o", F.struct(F.when(F.col("story_group").isNull(), 0).otherwise(1), F.col("seq")))

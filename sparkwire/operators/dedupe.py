@@ -18,6 +18,8 @@ from sparkwire.functions.scores import parse_iso
 from sparkwire.functions.text import text, title_tokens
 from sparkwire.session import checkpoint
 
+from .graph import components
+
 THRESHOLD = (7, 10)
 WINDOW_DAYS = 5
 
@@ -102,7 +104,7 @@ def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int =
     nodes = checkpoint(nodes.withColumn("cls", word_set("tok")))
     pairs = similar_pairs(nodes).select(word_set("ta").alias("cls"), word_set("tb").alias("other"))
     pairs = checkpoint(pairs.union(pairs.select("other", "cls")))
-    roots = components(pairs)
+    roots = components(pairs.toDF("a", "b")).withColumnRenamed("node", "cls")
     placed = nodes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     near = pairs.join(roots, "cls")
     large = checkpoint(near.groupBy("root").count().where(F.col("count") > 2 * most_links).select("root"))
@@ -115,25 +117,6 @@ def leaders(df: DataFrame, title: str = "title", order: str = "seq", days: int =
     return mates.select(F.col("id").alias("pos"), F.coalesce("leader", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("leader"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(cls, root): the least key that each one reaches over pairs (cls, other), which hold both directions.
-
-    Every round all neighbours of a key, and the key, learn of the least key near it; a tree of depth d
-    is a star after about log d rounds, for roots are followed to their own roots.
-    """
-    state = checkpoint(pairs.groupBy("cls").agg(F.least(F.min("other"), F.first("cls")).alias("root")))
-    while True:
-        seen = pairs.join(state.select(F.col("cls").alias("other"), F.col("root").alias("r")), "other").groupBy("cls").agg(F.min("r").alias("r"))
-        near = state.join(seen, "cls").select("cls", "root", F.least("root", "r").alias("new"))
-        hooks = near.groupBy(F.col("root").alias("cls")).agg(F.min("new").alias("hook"))  # a root learns what its tree has seen
-        known = near.join(hooks, "cls", "left").select("cls", "root", F.least("new", "hook").alias("new"))
-        up = known.select(F.col("cls").alias("new"), F.col("new").alias("up"))
-        after = checkpoint(known.join(up, "new", "left").select("cls", "root", F.least("new", "up").alias("new")))
-        if not after.where("root <> new").limit(1).count():
-            return after.select("cls", F.col("new").alias("root"))
-        state = after.select("cls", F.col("new").alias("root"))
-
-
 def _greedy(nodes: DataFrame, near: DataFrame, days: int) -> DataFrame:
     """(pos, leader) of nodes (root, cls, id, ts, kept), by one pass over each component in order.
 

@@ -196,6 +196,37 @@ def graph(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id"
     return left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
+def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """graph() without its repetitions: classes (node, class_id, n_nodes, n_items), and links (a, b, w) between classes.
+
+    Nodes of the same items are one class, named by its least node; any two of a class share n_items, and
+    any two of linked classes w. So a crowd of like nodes makes a row each, and no pairs. Item sets are
+    compared by their count and two sums of hashes that are added up in any order.
+    """
+    own = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).where(F.col("n").isNotNull() & F.col("i").isNotNull()).distinct()
+    h = [F.xxhash64(F.lit(k), "i") for k in (1, 2)]
+    marks = own.groupBy("n").agg(F.count("*").alias("n_items"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(h)], *[F.sum(F.shiftright(x, 32)).alias(f"s{k}") for k, x in enumerate(h)])
+    marks = checkpoint(marks)
+    key = ["n_items", "x0", "x1", "s0", "s1"]
+    sets = marks.groupBy(*key).agg(F.min("n").alias("class_id"), F.count("*").alias("n_nodes"))
+    classes = checkpoint(marks.join(sets, key).select(F.col("n").alias("node"), "class_id", "n_nodes", "n_items"))
+    first = own.join(classes.where("node = class_id").select(F.col("node").alias("n")), "n", "left_semi")
+    left, right = first.select(F.col("n").alias("a"), "i"), first.select(F.col("n").alias("b"), "i")
+    return classes, left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
+def strongest(evidence: DataFrame, shown: DataFrame, most: int = 20, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
+    """(node, other, w, rank) of the shown nodes (id): the `most` other nodes with which each shares the most items.
+
+    Only the shown nodes' items are met, and pairs are made for them alone.
+    """
+    own = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).distinct()
+    met = own.join(shown.select(F.col("id").alias("n")).distinct(), "n", "left_semi").select(F.col("n").alias("node"), "i")
+    pairs = met.join(own, "i").where(F.col("node") != F.col("n")).groupBy("node", F.col("n").alias("other")).agg(F.count("*").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "other"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def neighbours(evidence: DataFrame, nodes: DataFrame, pattern: str, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
     """Ids of nodes with the words, and of those that share an item with one, by their items and without edges."""
     hits = _with_words(nodes, pattern)

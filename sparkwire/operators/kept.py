@@ -108,7 +108,7 @@ def apply(spark: SparkSession, path: str, incoming: DataFrame, as_of: str, title
     weeks = [r["week"] for r in met.select("week").distinct().collect()]  # bounded: as many as the archive has weeks
     old = checkpoint(of(weeks).join(met.select("seq"), "seq", "left_semi").select(names))
     last = _last(spark, path)
-    out = upsert(old, incoming, as_of, title, last=last, **options)
+    out = upsert(old, incoming, as_of, title, last=last, collapsed=True, **options)
     out = checkpoint(out.select([F.col(c).cast(old.schema[c].dataType).alias(c) if c in out.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in names]))
     placed = week(F.col("collected_at")).alias("week")
     added = out.where(F.col("seq") > last).select("*", placed)

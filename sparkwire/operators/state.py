@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from datetime import date
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,51 +116,63 @@ FOLDED = "id string, seq long, kind string, result string, lifecycle_status stri
 def fold(state: DataFrame, events: DataFrame) -> DataFrame:
     """Every event's result and the state after it, in order of seq within each hypothesis.
 
-    Events: (id, seq, kind transition | owner | next_check, value, caller, is_admin, confirm). An
-    entity's events are few; its history is folded in one group.
+    Events: (id, seq, kind transition | owner | next_check, value, caller, is_admin, confirm). Histories
+    stream through their tasks in order; of each only the state so far is held. The same as a stream with
+    kept state is streaming.keyed.lifecycle.
     """
     both = events.select("id", "seq", "kind", "value", "caller", "is_admin", "confirm").join(state.select("id", "lifecycle_status", "owner_username", "next_check_at"), "id")
-    return both.groupBy("id").applyInPandas(_fold_one, FOLDED)
-
-
-def _fold_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    status, owner, check = (None if pd.isna(v) else v for v in pdf[["lifecycle_status", "owner_username", "next_check_at"]].iloc[0])
-    out = []
-    for e in pdf.itertuples():
-        result = "ok"
-        value = None if pd.isna(e.value) else e.value
-        admin, confirm = bool(e.is_admin) if not pd.isna(e.is_admin) else False, bool(e.confirm) if not pd.isna(e.confirm) else False
-        if e.kind == "transition":
-            if value == status:
-                result = "unchanged"
-            elif value not in P.TRANSITIONS.get(status, ()):
-                result = "transition_not_allowed"
-            elif value == "archived" and not confirm:
-                result = "confirm_required"
-            elif value in ("validated", "adopted") and not owner:
-                result = "assign_owner_first"
-            else:
-                status = value
-                if value == "in_review" and not owner:
-                    owner = e.caller
-        elif e.kind == "owner":
-            who = (value or "").strip()
-            if not admin and who != e.caller:
-                result = "forbidden"
-            elif not admin and owner and owner != e.caller:
-                result = "already_owned"
-            else:
-                owner = who or None
-        elif e.kind == "next_check":
-            if value and not pd.Series([value]).str.fullmatch(r"\d{4}-\d{2}-\d{2}").iloc[0] or value and pd.isna(pd.to_datetime(value, errors="coerce")):
-                result = "bad_date"
-            elif not admin and owner != e.caller:
-                result = "forbidden"
-            else:
-                check = value
-        out.append((e.id, e.seq, e.kind, result, status, owner, check))
-    return pd.DataFrame(out, columns=["id", "seq", "kind", "result", "lifecycle_status", "owner_username", "next_check_at"])
+    return both.repartition("id").sortWithinPartitions("id", "seq").mapInArrow(_fold, FOLDED)
+
+
+def _fold(it):
+    ident, now = None, None
+    for batch in it:
+        out = []
+        for r in batch.to_pylist():
+            if r["id"] != ident:
+                ident, now = r["id"], (r["lifecycle_status"], r["owner_username"], r["next_check_at"])
+            result, now = step(now, r["kind"], r["value"], r["caller"], r["is_admin"], r["confirm"])
+            out.append((r["id"], r["seq"], r["kind"], result, *now))
+        names = [f.split()[0] for f in FOLDED.split(", ")]
+        kinds = [pa.int64() if n == "seq" else pa.string() for n in names]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _is_date(value: str) -> bool:
+    try:
+        return len(value) == 10 and date.fromisoformat(value) is not None
+    except ValueError:
+        return False
+
+
+def step(now: tuple, kind: str, value: str | None, caller: str | None, is_admin: bool | None, confirm: bool | None) -> tuple[str, tuple]:
+    """One event's result, and (lifecycle_status, owner_username, next_check_at) after it."""
+    status, owner, check = now
+    if kind == "transition":
+        if value == status:
+            return "unchanged", now
+        if value not in P.TRANSITIONS.get(status, ()):
+            return "transition_not_allowed", now
+        if value == "archived" and not confirm:
+            return "confirm_required", now
+        if value in ("validated", "adopted") and not owner:
+            return "assign_owner_first", now
+        return "ok", (value, caller if value == "in_review" and not owner else owner, check)
+    if kind == "owner":
+        who = (value or "").strip()
+        if not is_admin and who != caller:
+            return "forbidden", now
+        if not is_admin and owner and owner != caller:
+            return "already_owned", now
+        return "ok", (status, who or None, check)
+    if kind == "next_check":
+        if value and not _is_date(value):
+            return "bad_date", now
+        if not is_admin and owner != caller:
+            return "forbidden", now
+        return "ok", (status, owner, value)
+    return "ok", now
 
 
 def latest_state(folded: DataFrame) -> DataFrame:

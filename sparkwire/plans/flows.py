@@ -27,6 +27,7 @@ def demo(entries: DataFrame, registry: DataFrame, collected_at: str, topics: dic
     rows = entries.where((F.col("pos") <= per_feed) & (trim(text(F.col("title"))) != ""))
     short = strip_tags(F.col("summary"))
     rows = rows.select("seq", trim(F.col("title")).alias("title"), F.coalesce(nz(F.col("link")), F.col("feed")).alias("url"), F.col("feed").alias("source"), short.alias("summary_src"), nz(F.col("full_text")).alias("full_text"))
+    rows = checkpoint(rows)  # clean texts: what follows names them many times
     rows = rows.withColumn("case_type", classify(F.col("title"), F.col("summary_src"), **(topics or {}))).where(F.col("case_type") != P.NONE)
     rows = with_trust(rows, "url", registry).withColumn("collected_at", F.lit(collected_at))
     rows = rows.withColumn("text", F.coalesce("full_text", "summary_src")).withColumn("fetch_mode", F.when(F.col("full_text").isNotNull(), "full").otherwise("summary")).drop("full_text")

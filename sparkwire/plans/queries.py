@@ -340,7 +340,7 @@ def _events_reply(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     body = F.when(F.col("event_type") == "error", F.lit("no json")).when(F.col("event_type") == "view", F.concat(F.lit('log {"summary": "s'), "user_id", F.lit('", "sessionId": "x'), "event_id", F.lit('"}')))
     raw = body.otherwise(F.concat(F.lit('log {"result": {"payloads": [{"text": " p'), "event_id", F.lit('"}, {"text": ""}, {"text": "[[reply_to_current]]q"}], "meta": {"agentMeta": {"sessionId": "y'), "user_id", F.lit('"}}}}')))
-    return e.select("event_id", text.reply_of(raw).alias("r"), text.session_id(raw).alias("session")).select("event_id", "r.reply", "r.error", "session")
+    return e.select("event_id", text.envelope(raw).alias("r")).select("event_id", "r.reply", "r.error", "r.session")
 
 
 def _lifecycle(spark, sf_dir):

@@ -63,6 +63,31 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def upsert_buckets(batch: DataFrame, path: str, keys: list[str], order: str, buckets: int = 64) -> list[int]:
+    """Keeps the last row of each key in a table dealt to buckets by key; the buckets that were written.
+
+    Only buckets of the batch's keys are read, and only those written in which a key is new or has a later
+    row: the files of the others stay as they are. A batch that is run again changes nothing. One writer.
+    """
+    from sparkwire.operators.windows import last_wins
+    from sparkwire.session import checkpoint
+
+    spark = batch.sparkSession
+    key = F.struct(*keys)
+    new = checkpoint(last_wins(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    met = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+    where = current(spark, path)
+    old = new.limit(0) if where is None else spark.read.schema(new.schema).parquet(where).where(F.col("bucket").isin(met))
+    old = checkpoint(old)  # read before its buckets are written over
+    known = old.select(*keys, F.col(order).alias("__was"))
+    later = checkpoint(new.join(known, keys, "left").where(F.col("__was").isNull() | (F.col(order) > F.col("__was"))).drop("__was"))
+    write = sorted(r["bucket"] for r in later.select("bucket").distinct().collect())
+    if write:
+        rows = old.where(F.col("bucket").isin(write)).join(later.select(*keys), keys, "left_anti").unionByName(later)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return write
+
+
 def articles(items: DataFrame, least: int = 200, cut: int = 12_000) -> DataFrame:
     """(hash, text) of the texts worth keeping, the last of each hash."""
     from sparkwire.functions.urls import hash_url

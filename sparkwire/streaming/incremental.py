@@ -34,6 +34,36 @@ def kept_stream(stream: DataFrame, path: str, checkpoint: str, as_of: Callable[[
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def once(stream: DataFrame, keys: list[str], ts: str, late: str = "2 hours") -> DataFrame:
+    """The first of the rows of each key that arrive within `late` of each other, whatever batches they come in."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
+
+
+def latest_by_bucket(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+    """latest_stream for large tables: a batch reads and writes only the buckets of its keys."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        sinks.upsert_buckets(batch, path, keys, order, buckets)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def with_late(items: DataFrame, late_rows: DataFrame, key: str, at: str, late_at: str, within: str = "2 hours", late: str = "30 minutes") -> DataFrame:
+    """Items with the rows of the same key that come up to `within` later: summaries, fields filled in afterwards.
+
+    Both sides need names of their own but for the key. On streams an item without such a row comes out
+    once the watermarks of both sides have passed the end of its time; of the rows of one key and time
+    the first that arrives counts. On tables the same join.
+    """
+    other = f"__{key}"
+    pairs = late_rows.withColumnRenamed(key, other)
+    if items.isStreaming:
+        items, pairs = items.withWatermark(at, late), pairs.withWatermark(late_at, late)
+    pairs = pairs.dropDuplicates([other, late_at])
+    span = (F.col(late_at) >= F.col(at)) & (F.col(late_at) <= F.col(at) + F.expr(f"interval {within}"))
+    return items.join(pairs, (F.col(key) == F.col(other)) & span, "leftOuter").drop(other)
+
+
 def latest_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the last row of each key: reactions, preferences, snapshots."""
     from sparkwire.operators.windows import last_wins

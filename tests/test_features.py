@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwire.functions import patterns as P
-from sparkwire.operators import archive, dedupe, documents, kept, search
+from sparkwire.functions import text
+from sparkwire.operators.graph import components
+from sparkwire.operators import archive, dedupe, documents, insights, kept, search
 from sparkwire.plans import flows
 from sparkwire.session import checkpoint
 from sparkwire.sources import listing, readers
@@ -151,7 +153,8 @@ def test_leaders_equal_one_at_a_time(spark, most_links):
     assert sum(v is not None for v in got.values()) > 30
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_components(spark, few):
     rng = random.Random(2)
     edges = [(f"n{a:03}", f"n{b:03}") for a, b in [*[(k, k + 1) for k in range(60)], *[(rng.randint(70, 199), rng.randint(70, 199)) for _ in range(90)]] if a != b]
     parent = {}
@@ -164,9 +167,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    df = spark.createDataFrame([*edges, *[(b, a) for a, b in edges]], "cls string, other string")
-    assert dict(rows(dedupe.components(df), "cls", "root")) == {x: find(x) for x in parent}
-    assert dedupe.components(df.limit(0)).count() == 0
+    df = spark.createDataFrame([*edges, *[(b, a) for a, b in edges]], "a string, b string")
+    assert dict(rows(components(df, few), "node", "root")) == {x: find(x) for x in parent}
+    assert components(df.limit(0), few).count() == 0
 
 
 def test_a_title_posted_all_year(spark):
@@ -203,7 +206,7 @@ KEPT = "seq long, article_hash string, title string, url string, source string,
 
 def test_kept_archive_equals_the_whole(spark, tmp_path):
     rng = random.Random(6)
-    first, *batches = [spark.createDataFrame(b, KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF)) for b in _batches(rng, 5, 25)]
+    first, *batches = [spark.createDataFrame(b, KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF)) for b in _batches(rng, 3, 30)]
     path = str(tmp_path / "kept")
     kept.create(first, path)
     whole = checkpoint(dedupe.collapse(first))
@@ -233,7 +236,7 @@ def test_kept_archive_reads_touched_weeks_only(spark, tmp_path):
 
 def test_kept_stream(spark, tmp_path):
     rng = random.Random(9)
-    batches = _batches(rng, 3, 15)
+    batches = _batches(rng, 2, 20)
     path, source = str(tmp_path / "kept"), str(tmp_path / "in")
     none = spark.createDataFrame([], KEPT).withColumn("dup_sources", F.array().cast(dedupe.REF))
     kept.create(none, path)
@@ -245,3 +248,62 @@ def test_kept_stream(spark, tmp_path):
         whole = checkpoint(archive.upsert(whole, df, "2026-01-20T00:00:00Z"))
     key = lambda df: sorted(rows(df, "seq", "article_hash"))
     assert key(kept.read(spark, path)) == key(whole)
+
+
+# ---- replies of any shape, and the evidence graph by classes
+
+
+def test_envelopes_of_any_shape(spark):
+    import json
+
+    cases = [
+        ({"result": {"payloads": [{"text": " a "}, {"text": ""}, {"kind": 1}, "free", {"text": "b", "more": [1]}], "meta": {"agentMeta": {"sessionId": "s1", "n": 3}}}, "summary": "no"}, ("a\n\nb", None, "s1")),
+        ({"payloads": [{"text": "x"}], "meta": {"agentMeta": {"sessionId": "s2"}}}, ("x", None, "s2")),
+        ({"result": {"payloads": "none"}, "summary": "sum", "sessionId": 17}, ("sum", None, "17")),
+        ({"result": None, "summary": "sum", "meta": [1, 2]}, ("sum", None, "")),
+        ({"result": {"payloads": []}, "x": {"deep": [{"y": None}]}}, ("", "no reply", "")),
+    ]
+    data = [(k, f"log line\n{json.dumps(c)}") for k, (c, _) in enumerate(cases)] + [(90, "no json"), (91, "{broken"), (92, None), (93, ""), (94, "[1]")]
+    df = spark.createDataFrame(data, "k int, raw string").select("k", text.envelope(F.col("raw")).alias("e")).select("k", "e.reply", "e.error", "e.session")
+    got = {r["k"]: (r["reply"], r["error"], r["session"]) for r in df.collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    assert all(got[k][:2] == ("", "no reply") and not got[k][2] for k in (90, 91, 93, 94))
+
+
+def test_one_evaluation(spark):
+    """The rating's text and the reply's JSON are worked out once, however many of their fields are read."""
+    df = spark.createDataFrame([("t", "b", "c")], "title string, body string, topic string")
+    rated = df.select(text.rate(F.col("title"), F.col("body"), F.col("topic")).alias("r")).select("r.summary", "r.rating", "r.signals")
+    assert rated._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    reply = df.select(text.envelope(F.col("body")).alias("e")).select("e.reply", "e.error", "e.session")
+    plan = reply._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(array(") == 1 and "e#" in plan
+
+
+def test_graph_classes(spark):
+    rng = random.Random(1)
+    pairs = [(n, i) for n in range(60) for i in rng.sample(range(8), rng.randint(1, 3))]
+    pairs += [(100 + k, i) for k in range(9) for i in (1, 2, 3)] + [(pairs[0])] * 3 + [(None, 1), (5, None)]
+    df = spark.createDataFrame(pairs, "hypothesis_id long, doc_id long")
+    want = sorted(rows(insights.graph(df.dropna()), "a", "b", "w"))
+    classes, links = insights.graph_classes(df)
+    members = {}
+    for node, cls, n, items in rows(classes, "node", "class_id", "n_nodes", "n_items"):
+        members.setdefault(cls, ([], n, items))[0].append(node)
+    assert all(len(m) == n and min(m) == cls for cls, (m, n, _) in members.items()) and len(members) < 69
+    got = [(min(a, b), max(a, b), w) for x, y, w in rows(links, "a", "b", "w") for a in members[x][0] for b in members[y][0]]
+    got += [(a, b, items) for m, _, items in members.values() for a in m for b in m if a < b]
+    assert sorted(got) == want
+    shown = spark.createDataFrame([(0,), (100,), (999,)], "id long")
+    both = {}
+    for a, b, w in want:
+        both.setdefault(a, []).append((-w, b))
+        both.setdefault(b, []).append((-w, a))
+    assert sorted(rows(insights.strongest(df, shown, 4), "node", "rank", "other", "w")) == [(n, k, b, -w) for n in (0, 100) for k, (w, b) in enumerate(sorted(both[n])[:4], 1)]
+
+
+def test_a_crowd_of_like_nodes(spark):
+    """100,000 nodes of one item set, and all nodes of one item: no pairs of nodes."""
+    df = spark.range(100_000).selectExpr("id hypothesis_id", "explode(array(1L, 2L)) doc_id").union(spark.range(50).selectExpr("id + 200000", "1L"))
+    classes, links = insights.graph_classes(df)
+    assert rows(links, "a", "b", "w") == [(0, 200_000, 1)] and classes.count() == 100_050
