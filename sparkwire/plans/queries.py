@@ -135,17 +135,16 @@ _COLLAPSE_SQL = f"""WITH RECURSIVE {_TITLE_SQL},
 
 
 def _kept_archive(spark, sf_dir):
-    """Pages of even numbers as an archive, the others as two batches."""
+    """Pages of even numbers as an archive, the others as a batch."""
     pages = _titled(spark, sf_dir).withColumns({"article_hash": F.concat(F.lit("h"), F.col("seq").cast("string")), "dup_sources": F.array().cast(dedupe.REF)})
     pages = checkpoint(pages.withColumn("page_id", F.col("seq")))
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
     kept.create(pages.where("page_id % 2 = 0"), path)
-    for third in (1, 2):
-        kept.apply(spark, path, pages.where(f"page_id % 2 = 1 and page_id % 3 {'=' if third == 1 else '<>'} 0"), AS_OF)
+    kept.apply(spark, path, pages.where("page_id % 2 = 1"), AS_OF)
     return kept.read(spark, path).select("page_id", F.size("dup_sources").cast("long").alias("n_dups"))
 
 
-_KEPT_SQL = f"""WITH RECURSIVE o AS (SELECT page_id AS id, url AS link, html, row_number() OVER (ORDER BY CASE WHEN page_id % 2 = 0 THEN 0 WHEN page_id % 3 = 0 THEN 1 ELSE 2 END, page_id) AS page_id, CASE WHEN page_id % 2 = 0 THEN 0 WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS part FROM pages),
+_KEPT_SQL = f"""WITH RECURSIVE o AS (SELECT page_id AS id, url AS link, html, row_number() OVER (ORDER BY page_id % 2, page_id) AS page_id FROM pages),
   {_TITLE_SQL.replace("FROM pages", "FROM o")},
   n AS (SELECT t.page_id, t.page_id AS pos, coalesce(list(e.a ORDER BY e.a) FILTER (e.a IS NOT NULL), []) AS before FROM t LEFT JOIN e ON e.b = t.page_id GROUP BY t.page_id),
   s AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL
@@ -273,7 +272,7 @@ _FTS = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lo
 
 def _phrases(spark, sf_dir):
     postings, lengths = search.index(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"])
-    out = search.search_index(checkpoint(postings), lengths, "of-the t the-o", 100)
+    out = search.search_index(postings, lengths, "of-the t the-o", 100)
     return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
