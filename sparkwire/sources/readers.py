@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from sparkwire.functions.urls import host
 from sparkwire.operators.windows import first_wins, host_cap, top_per_key, until_breaker
 from sparkwire.session import spread
 
+from . import office
 from .listing import Links
 from .schemas import SCHEMAS
 
@@ -134,15 +136,22 @@ def files(spark: SparkSession, path_: str) -> DataFrame:
     return raw.select("path", ext.alias("ext"), F.when(ext.isin("txt", "md"), plain).alias("content"), (~ext.isin("txt", "md")).alias("needs_reader"))
 
 
-def document_files(spark: SparkSession, path_: str, extract) -> DataFrame:
-    """(path, ext, content) of other files by extract(bytes, ext) -> text, such as a PDF reader."""
+def document_files(spark: SparkSession, path_: str, extract=office.extract) -> DataFrame:
+    """(path, ext, content, reason) of other files, DOCX and PDF by default; reason tells why a file has no content.
+
+    Spark reads the files, from any store; extract(bytes, ext) -> text, or (text, reason), sees one at a time.
+    """
     raw = spark.read.format("binaryFile").load(path_).select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), "content")
 
     def run(it):
-        for pdf in it:
-            yield pdf[["path", "ext"]].assign(content=[extract(bytes(c), e) for c, e in zip(pdf["content"], pdf["ext"], strict=True)])
-
-    return raw.mapInPandas(run, "path string, ext string, content string")
+        for batch in it:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                got = extract(one["content"][0].as_py(), one["ext"][0].as_py())
+                text_, reason = got if isinstance(got, tuple) else (got, None)
+                yield pa.RecordBatch.from_arrays([one["path"], one["ext"], pa.array([text_], pa.string()), pa.array([reason], pa.string())], ["path", "ext", "content", "reason"])
+
+    return raw.mapInArrow(run, "path string, ext string, content string, reason string")
 
 
 def fetched_pages(rows: DataFrame) -> DataFrame:

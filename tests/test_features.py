@@ -1,6 +1,9 @@
 """Phrases, tiers, summaries of every item, listing selectors, and near-duplicates of many postings."""
 
+import io
 import random
+import zipfile
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,7 +15,7 @@ from sparkwire.operators.graph import components
 from sparkwire.operators import archive, dedupe, documents, insights, kept, search
 from sparkwire.plans import flows
 from sparkwire.session import checkpoint
-from sparkwire.sources import listing, readers
+from sparkwire.sources import listing, office, readers
 from sparkwire.streaming import incremental
 
 
@@ -310,3 +313,64 @@ def test_a_crowd_of_like_nodes(spark):
     df = spark.range(100_000).selectExpr("id hypothesis_id", "explode(array(1L, 2L)) doc_id").union(spark.range(50).selectExpr("id + 200000", "1L"))
     classes, links = insights.graph_classes(df)
     assert rows(links, "a", "b", "w") == [(0, 200_000, 1)] and classes.count() == 100_050
+
+
+# ---- office files
+
+
+def docx(*paragraphs):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p>{p}</w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    return out.getvalue()
+
+
+def pdf(pages, flate=True, packed=False, cmap=b""):
+    """A PDF of content streams; packed puts its plain objects into an object stream."""
+
+    def stream(data):
+        packed_ = zlib.compress(data) if flate else data
+        return b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(packed_), b"/Filter /FlateDecode " if flate else b"", packed_)
+
+    n = len(pages)
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Resources << /Font << /F1 3 0 R >> >> /Kids [%s] >>" % (n, b" ".join(b"%d 0 R" % (10 + k) for k in range(n)))}
+    plain[3] = b"<< /Type /Font /Subtype /Type0 " + (b"/ToUnicode 4 0 R " if cmap else b"") + b">>"
+    plain |= {10 + k: b"<< /Type /Page /Parent 2 0 R /Contents [%d 0 R] >>" % (50 + k) for k in range(n)}
+    streams = {50 + k: stream(p) for k, p in enumerate(pages)} | ({4: stream(cmap)} if cmap else {})
+    if packed:
+        bodies, at, index = b"", 0, []
+        for k, v in plain.items():
+            index.append(b"%d %d" % (k, len(bodies)))
+            bodies += v + b" "
+        head = b" ".join(index) + b" "
+        data = zlib.compress(head + bodies)
+        streams[90] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(plain), len(head), len(data), data)
+        plain = {}
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, v) for k, v in (plain | streams).items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("flate,packed", [(True, False), (False, False), (True, True)])
+def test_pdf_text(flate, packed):
+    one = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\) ) Tj (w\157rld) Tj 0 -14 Td [(sp) -20 (lit) -400 (gap)] TJ T* <416263> Tj ET"
+    two = b"BT 1 0 0 1 72 700 Tm (a) Tj 1 0 0 1 90 700 Tm (b) Tj 1 0 0 1 72 600 Tm (c) ' ET BI /W 1 ID (zz) Tj EI BT (caf\xe9) Tj ET"
+    assert office.pdf_text(pdf([one, two], flate, packed)) == "Hello (big) world\nsplit gap\nAbc\n\nab\nccafé"
+
+
+def test_pdf_with_a_map_to_unicode():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <041F> <0002> <00660069> endbfchar 2 beginbfrange <0010> <0012> <0430> <0020> <0021> [<0078> <0079>] endbfrange"
+    assert office.pdf_text(pdf([b"BT /F1 9 Tf <0001001000110012000200200021> Tj ET"], cmap=cmap)) == "Пабвfixy"
+
+
+def test_office_files(spark, tmp_path):
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    files = {
+        "a.docx": docx(run("First") + "<w:r><w:tab/><w:t>tab</w:t><w:br/><w:t>line</w:t></w:r>", "", f"<w:hyperlink>{run('link &amp; more')}</w:hyperlink>"),
+        "b.PDF": pdf([b"BT (text) Tj ET"]), "c.pdf": b"not one", "d.docx": b"PK broken", "e.pdf": pdf([b""]).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"), "f.xls": b"x",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {p.rpartition("/")[2]: (c, r) for p, c, r in rows(readers.document_files(spark, str(tmp_path)), "path", "content", "reason")}
+    assert got["a.docx"] == ("First\ttab\nline\n\nlink & more", None) and got["b.PDF"] == ("text", None)
+    assert {k: r for k, (c, r) in got.items() if c is None} == {"c.pdf": "ValueError: no PDF", "d.docx": "BadZipFile: File is not a zip file", "e.pdf": "ValueError: encrypted", "f.xls": "no reader for xls"}
