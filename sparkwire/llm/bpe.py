@@ -1,6 +1,6 @@
 """Byte-level BPE by replaying the merges once over the distinct words of the corpus, and decoding.
 
-1. Tasks cut texts into words by the vocabulary's pattern. Blocks of about BLOCK characters become rows of
+1. Tasks cut texts into words by the vocabulary's pattern, with the library's own classes of characters. Blocks of about BLOCK characters become rows of
    word numbers, by falling frequency in the block, and lists of their distinct words, dealt to buckets by
    hash. That table is written once, bucketed by block.
 2. A bucket's words of all blocks, each distinct word once, are laid end to end. An inverted index from
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from array import array
@@ -32,6 +33,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -179,23 +181,94 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _matches(pattern, text: str) -> Iterator[list[str]]:
-    if len(text) < LONG:
-        yield pattern.findall(text)
-        return
-    found = (m.group() for m in pattern.finditer(text))
-    while part := list(islice(found, LONG)):
-        yield part
+def library_classes() -> dict[str, str]:
+    """The characters of L, N and white space by the library's Unicode tables, as ranges of a character class.
+
+    It keeps only what its pattern matches, so that each class is asked for with all characters at once.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        encoding = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        out[name] = _ranges(map(ord, bytes(encoding.encode_ordinary(every)).decode()))
+    return out
+
+
+def _ranges(codes: Iterable[int]) -> str:
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def explicit(pattern: str, classes: dict[str, str]) -> str:
+    """The pattern with the classes written out."""
+    out, within, at = [], False, 0
+    while at < len(pattern):
+        name = next((n for n in (*classes, r"\S") if pattern.startswith(n, at)), None)
+        if name == r"\S" and within:
+            raise ValueError(f"\\S within a class: {pattern}")
+        if name:
+            out.append(f"[^{classes[chr(92) + 's']}]" if name == r"\S" else classes[name] if within else f"[{classes[name]}]")
+            at += len(name)
+        else:
+            width = 2 if pattern[at] == "\\" else 1
+            within = pattern[at] == "[" or within and pattern[at] != "]"
+            out.append(pattern[at : at + width])
+            at += width
+    return "".join(out)
+
+
+class Splitter:
+    """Words as the library's pattern cuts them.
+
+    The regex module is several times faster than a pattern with classes written out, but knows another
+    version of Unicode: texts with a character of another class there take the written-out pattern.
+    """
+
+    def __init__(self, pattern: str, classes: dict[str, str]):
+        self.fast, self.exact = regex.compile(pattern), re.compile(explicit(pattern, classes))
+        differs: set[str] = set()
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for name, ranges in classes.items():
+            differs ^= set(regex.findall(name, every)) ^ set(re.findall(f"[{ranges}]", every))
+        self.differs = re.compile(f"[{_ranges(sorted(map(ord, differs)))}]") if differs else None
+
+    def __call__(self, text: str) -> Iterator[list[str]]:
+        pattern = self.fast if text.isascii() or not self.differs or not self.differs.search(text) else self.exact
+        if len(text) < LONG:
+            yield pattern.findall(text)
+            return
+        found = (m.group() for m in pattern.finditer(text))
+        while part := list(islice(found, LONG)):
+            yield part
 
 
 SPLIT = "block long, bucket int, ids array<long>, sizes array<long>, data binary, lengths binary, numbers binary"
 
 
+_splitters: dict[tuple, Splitter] = {}
+
+
+def splitter(pattern: str, classes: dict[str, str]) -> Splitter:
+    """One for each worker."""
+    key = (pattern, *classes.values())
+    if key not in _splitters:
+        _splitters.clear()
+        _splitters[key] = Splitter(pattern, classes)
+    return _splitters[key]
+
+
 def split(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Rows of a block: documents (ids, sizes: how many words each has; data: word numbers), and for each bucket its words (data, lengths) and their numbers."""
 
+    classes = library_classes()
+
     def run(it):
-        compiled, part = regex.compile(pattern), TaskContext.get().partitionId()
+        words_of, part = splitter(pattern, classes), TaskContext.get().partitionId()
         blocks = 0
         known: dict[str, int] = {}
         sheaves: list[tuple[list, list, array]] = []
@@ -233,7 +306,7 @@ def split(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                     sheaves.append(([], [], array("I")))
                 ids, sizes, seq = sheaves[-1]
                 had = len(seq)
-                for found in _matches(compiled, text):
+                for found in words_of(text):
                     seq.extend([known.setdefault(w, len(known)) for w in found])
                 ids.append(doc)
                 sizes.append(len(seq) - had)

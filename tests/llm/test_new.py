@@ -99,9 +99,12 @@ def library(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+CLASSES = bpe.library_classes()
+
+
 def by_replay(own, texts):
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    cut = [[w.encode() for w in pattern.findall(t)] for t in texts]
+    words_of = bpe.splitter(public_tokenizers.PATTERN, CLASSES)
+    cut = [[w.encode() for found in words_of(t) for w in found] for t in texts]
     words = list(dict.fromkeys(w for c in cut for w in c))
     ids, counts = own.replay(words)
     parts = dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if words else {}
@@ -157,12 +160,25 @@ def test_encode_and_decode(spark, docs, all_rows, no_docs):
 
 
 def test_long_texts_go_word_by_word(monkeypatch):
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    text = "one two  three\n\nfour " * 50
-    whole = pattern.findall(text)
-    monkeypatch.setattr(bpe, "LONG", 64)
-    parts = list(bpe._matches(pattern, text))
-    assert len(parts) > 2 and [w for p in parts for w in p] == whole
+    words_of = bpe.Splitter(public_tokenizers.PATTERN, CLASSES)
+    for text in ("one two  three\n\nfour " * 50, "one \U0003f7da閭 two  three\n " * 50):
+        (whole,) = words_of(text)
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "LONG", 64)
+            parts = list(words_of(text))
+        assert len(parts) > 2 and [w for p in parts for w in p] == whole
+
+
+def test_classes_are_the_library_s(own, ranks):
+    """Characters that the regex module and the library class differently, each beside one of every class."""
+    words_of = bpe.Splitter(public_tokenizers.PATTERN, CLASSES)
+    assert words_of.fast.findall("a b's 1\u00a0é  ") == words_of.exact.findall("a b's 1\u00a0é  ")
+    odd = words_of.differs.findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if words_of.differs else []
+    texts = [f"{x}{y}" for y in odd[::17] for x in "閭渥é€²"] + [f"{y}{x}" for y in odd[::17] for x in "閭渥é€²\u3000"]
+    encode = library(ranks).encode_ordinary
+    assert by_replay(own, texts) == [encode(t) for t in texts]
+    with pytest.raises(ValueError):
+        bpe.explicit(r"[\S]", CLASSES)
 
 
 # ---- divergence
