@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkwire.functions import patterns as P
 from sparkwire.functions import scores, text, urls
 from sparkwire.operators import dedupe, documents, insights, jobs, state
 from sparkwire.sources.readers import table
@@ -45,6 +46,23 @@ _INPUTS = rf"""WITH m AS (SELECT * FROM (SELECT 'm' || doc_id AS id, lang, regex
   SELECT id, kind, source_ref, tags, CASE WHEN length(c) > 2400 THEN length(regexp_replace(left(c, 2400), '\s+$', '')) + 1 ELSE length(c) END AS n, row_number() OVER (PARTITION BY kind ORDER BY made DESC, id) AS place FROM u"""
 
 
+def _summary_batch(spark, sf_dir):
+    """Every English document lacks a summary; the others' texts are what a fetch gives for its number plus one."""
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title"), F.when(F.col("doc_id") % 50 == 7, F.col("text")).otherwise("").alias("article_text"),
+                        F.when(F.col("lang") == "en", "").otherwise("there is one").alias("summary_ru"), ((F.col("doc_id") % 10) / 10).alias("trust_score"), F.col("lang").alias("relevance_reason"))
+    of = lambda c: F.when(c, F.col("text"))
+    fetched = docs.select((F.col("doc_id") + 1).cast("string").alias("url"), of(F.col("lang") == "de").alias("direct"), of(F.col("lang") == "fr").alias("page"), of(F.col("lang") == "es").alias("snippets"), of(F.col("lang") == "en").alias("agent"))
+    return flows.summary_batch(items, fetched, 100).select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n"), F.when(F.col("mode").isin("own", "fallback", "agent"), F.col("mode")).otherwise("fetched").alias("mode"))
+
+
+_BLOCKED = " OR ".join(f"contains(lower(left(f.text, 800)), '{m}')" for m in P.BLOCK_MARKERS)
+_SUMMARY_BATCH = rf"""WITH i AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 50 = 7 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE '' END AS own, row_number() OVER (ORDER BY doc_id % 10 DESC, doc_id) AS r FROM documents WHERE lang = 'en'),
+  j AS (SELECT i.*, f.text AS t, f.lang AS l, length(regexp_replace(f.text, '^\s+|\s+$', '', 'g')) AS n, length(f.text) AS m, {_BLOCKED} AS blocked FROM i LEFT JOIN documents f ON i.r <= 100 AND f.doc_id + 1 = i.doc_id),
+  k AS (SELECT *, CASE WHEN own <> '' THEN 'own' WHEN l IN ('de', 'fr') AND n >= 200 AND m >= 300 AND NOT blocked OR l = 'es' AND n >= 200 AND m >= 300 THEN 'fetched' WHEN l = 'en' AND n >= 300 AND NOT blocked THEN 'agent' ELSE 'fallback' END AS mode FROM j)
+  SELECT doc_id, mode, CAST(least(2500, CASE mode WHEN 'own' THEN length(own) WHEN 'fallback' THEN length(source || '. ' || lang) ELSE m END) AS BIGINT) AS n FROM k"""
+
+
 def _dated(spark, sf_dir):
     """Near-duplicate titles of pages that were collected over a month, five days apart at most."""
     pages = _titled(spark, sf_dir).withColumn("collected_at", F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("seq") * 7 % 30).cast("int")), "yyyy-MM-dd"))
@@ -122,6 +140,7 @@ _READER = """WITH l AS (SELECT user_id AS u, arg_max(event_type, (ts, event_id))
 MORE = {
     "fetch_modes": (lambda s, d: documents.modes(_tiers(s, d)), f"SELECT mode, count(*) AS n FROM ({QUERIES['fetch_cascade'][1]}) GROUP BY mode"),
     "prefetch_flow": (_prefetched, _PREFETCHED),
+    "summary_flow": (_summary_batch, _SUMMARY_BATCH),
     "insight_inputs": (_inputs, _INPUTS),
     "near_dup_dated": (_dated, _DATED),
     "evidence_detail": (_detail, _DETAIL),

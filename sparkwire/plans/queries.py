@@ -247,7 +247,7 @@ def _reader_events(spark, sf_dir):
 
 def _chat(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("article_hash"), F.lit("u").alias("user"), F.lit("chat").alias("kind"), F.col("text").alias("value"), F.col("turn").alias("seq"), "role")
-    out = state.chats(c, "seq", 3, 100)
+    out = state.chats(c, "seq")
     return out.select(F.col("article_hash").alias("conv_id"), F.col("seq").alias("turn"), "role", F.length("value").cast("long").alias("n"))
 
 
@@ -415,7 +415,7 @@ QUERIES = {
     "reactions_snapshot": (lambda s, d: state.reaction_totals(state.reactions(_reader_events(s, d).where("kind = 'react'"))), "WITH l AS (SELECT event_id % 97 AS article_hash, user_id, arg_max(event_type, (ts, event_id)) AS a FROM events WHERE event_type <> 'view' GROUP BY 1, 2) SELECT article_hash, count(*) FILTER (a IN ('purchase', 'click')) AS likes, count(*) FILTER (a = 'error') AS dislikes FROM l WHERE a <> 'signup' GROUP BY 1"),
     "bookmark_toggle": (lambda s, d: state.bookmarks(_reader_events(s, d).where("kind = 'bookmark'")), "SELECT event_id % 97 AS article_hash, user_id AS \"user\" FROM events WHERE event_type = 'view' GROUP BY 1, 2 HAVING count(*) % 2 = 1"),
     "reader_feed": (lambda s, d: state.feed(_reader_events(s, d), 7).select("article_hash", "likes", "dislikes", "my", "bookmarked", "bookmark_total", F.array_join(F.col("top_reactors").cast("array<string>"), " ").alias("top")), "WITH l AS (SELECT event_id % 97 AS h, user_id AS u, arg_max(event_type, (ts, event_id)) AS a FROM events WHERE event_type <> 'view' GROUP BY 1, 2), r AS (SELECT h, count(*) FILTER (a IN ('purchase', 'click')) AS likes, count(*) FILTER (a = 'error') AS dislikes, max(CASE WHEN u = 7 AND a <> 'signup' THEN CASE WHEN a = 'error' THEN 'dislike' ELSE 'like' END END) AS my, array_to_string(list_sort(list(u) FILTER (a IN ('purchase', 'click') AND u <> 7))[1:3], ' ') AS top FROM l GROUP BY h), b AS (SELECT h, count(*) AS n, bool_or(u = 7) AS me FROM (SELECT event_id % 97 AS h, user_id AS u FROM events WHERE event_type = 'view' GROUP BY 1, 2 HAVING count(*) % 2 = 1) GROUP BY h) SELECT k.h AS article_hash, coalesce(likes, 0) AS likes, coalesce(dislikes, 0) AS dislikes, my, coalesce(me, false) AS bookmarked, coalesce(b.n, 0) AS bookmark_total, coalesce(top, '') AS top FROM (SELECT DISTINCT event_id % 97 AS h FROM events) k LEFT JOIN r ON r.h = k.h LEFT JOIN b ON b.h = k.h"),
-    "chat_tail": (_chat, "WITH c AS (SELECT conv_id, turn, role, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 100) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '') SELECT conv_id, turn, role, length(t) AS n FROM c WHERE r <= 3"),
+    "chat_tail": (_chat, "WITH c AS (SELECT conv_id, turn, role, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 6000) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '') SELECT conv_id, turn, role, length(t) AS n FROM c WHERE r <= 30"),
     "props_json": (lambda s, d: table(s, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n")), "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1"),
     "article_ids": (lambda s, d: _pages(s, d).select("page_id", urls.hash_url(F.col("url")).alias("hash_url"), urls.hash_url_title(F.col("url"), text.page_title(F.col("html"))).alias("hash_url_title"), urls.news_id(F.col("url")).alias("news_id")), f"SELECT page_id, left(sha256(url), 16) AS hash_url, left(sha256(url || chr(10) || {_TITLE}), 16) AS hash_url_title, 'news:' || left(sha256(url), 16) AS news_id FROM pages"),
     "latest_per_key": (_latest, "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'view' THEN 0 ELSE 1 END DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM e WHERE r = 1"),
