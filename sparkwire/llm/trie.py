@@ -136,8 +136,8 @@ def prefix_trie(conversations: DataFrame, small_rows: int | None = None) -> Data
     turns, lengths = rebuilt(numbered_turns(conversations))
     every = turns.count()
     small_rows = small_rows or max(SMALL_ROWS, min(MOST_ROWS, every // SHARE))
-    root = lengths.agg(F.min("conv_id").alias("node"))
-    live = lengths.crossJoin(F.broadcast(root)).select("conv_id", "node", F.col("total").alias("left"))  # root is one row
+    root = F.lit(lengths.agg(F.min("conv_id")).first()[0]).cast("long")
+    live = lengths.select("conv_id", root.alias("node"), F.col("total").alias("left"))
     size = [F.count("*").alias("n_convs"), F.sum(F.col("left") + 1).alias("size")]
     nodes = live.groupBy("node").agg(*size).select(F.lit(None).cast("long").alias("parent"), "node", F.lit(0).cast("long").alias("chars"), "n_convs", "size")
     kind = F.when(F.col("n_convs") == 1, "alone").when(F.col("size") <= small_rows, "small").otherwise("large")
