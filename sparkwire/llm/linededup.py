@@ -5,7 +5,8 @@
    second filter, so nothing that repeats is missed.
 2. Only keys found in the second filter are shuffled, as whole keys, for the exact count of
    documents and the choice of the one document that keeps the line.
-3. The documents that lose lines meet their keys by doc_id.
+3. The rows that lose lines meet their keys by doc_id and a hash of the text, so that no list is longer
+   than a text's own lines, however many rows share a doc_id or have none.
 
 Defined cases: null or empty text is one empty line; keys shorter than MIN_CHARS code points never
 count; several lines of one document with the same key count once and stay or go together; rows
@@ -96,38 +97,42 @@ def _merge(table: pa.Table, width: int) -> pa.Table:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
-    """(id, drop): for each document that loses lines, their keys."""
+    """(id, row, drop): for each doc_id and hash of a text that loses lines, their keys.
+
+    Whether a key goes depends on its doc_id alone, so texts that agree in the hash may share a list.
+    """
     bits = bits or bits_for(docs)
     sent = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, min_chars, bits))
 
     def suspects(it):
         twice = sent.value
         for batch in pieces(it):
-            ids, keys = [], []
-            for i, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+            ids, rows, keys = [], [], []
+            for i, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), blobs(batch.column(1)), strict=True):
                 own = list({k for k in _keys(text, min_chars) if k is not None})
                 if own:
                     at = _places(_hashes(own), bits)
                     hit = (twice[at >> 3] << (at & 7) & 128).all(axis=1)
                     keys += (found := [k for k, h in zip(own, hit, strict=True) if h])
                     ids += [i] * len(found)
+                    rows += [row] * len(found)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(keys, pa.binary())], ["id", "row", "key"])
 
-    found = checkpoint(docs.select("doc_id", "text").mapInArrow(tidily(suspects), "id long, key binary").distinct())
+    found = checkpoint(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidily(suspects), "id long, row long, key binary"))
     place = lambda c: F.struct(F.col(c).isNotNull(), F.col(c))  # noqa: E731  null is smaller than any id
-    lines = found.groupBy("key").agg(F.count("*").alias("n"), F.max(place("id")).alias("keeper")).where(F.col("n") >= min_docs)
+    lines = found.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max(place("id")).alias("keeper")).where(F.col("n") >= min_docs)
     lines = checkpoint(lines)  # so that the join shuffles both sides and a very common line can be split
-    return found.join(lines, "key").where(place("id") < F.col("keeper")).groupBy("id").agg(F.collect_list("key").alias("drop"))
+    return found.join(lines, "key").where(place("id") < F.col("keeper")).groupBy("id", "row").agg(F.collect_set("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The documents with text as kept, and the two named counts beside, or instead of, the other columns."""
     docs = docs.drop(*counts)
-    own, gone_ = fresh("__id", docs), fresh("__drop", docs)
-    drop = repeated_lines(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs, bits).toDF(own, gone_)
+    own, row, gone_ = fresh("__id", docs), fresh("__row", docs), fresh("__drop", docs)
+    drop = repeated_lines(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs, bits).toDF(own, row, gone_)
     names = docs.columns
-    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(row)), "left").drop(own, row)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(it):

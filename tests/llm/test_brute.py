@@ -109,6 +109,18 @@ def test_every_label_is_learned(spark):
 # ---- lines
 
 
+def test_lines_of_rows_without_an_id(spark):
+    """Many rows share an id or have none: each loses its own lines, and no list has another row's."""
+    line = lambda k: f"a line that repeats in documents {k:04d}"
+    rows = [(None, line(k)) for k in range(40)] + [(7, f"{line(k)}\nshort") for k in range(40)] + [(7, f"{line(3)}\nshort")] * 2 + [(9, line(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    lists = linededup.repeated_lines(df).collect()
+    assert len(lists) == 80 and all(len(r["drop"]) == 1 for r in lists)
+    out = linededup.dedup_lines(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(None, "")] * 40 + [(7, "short")] * 42 + [(9, line(k)) for k in range(40)])
+    assert sum(r["n_dropped"] for r in out) == 82
+
+
 def test_lines_of_extreme_ids(spark):
     line = "this line is long enough to be counted"
     df = spark.createDataFrame([(None, line), (None, line + "\nx"), (-(1 << 63), line), (5, f"{line}\nend")], "doc_id long, text string")
