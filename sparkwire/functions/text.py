@@ -138,6 +138,11 @@ def scrub_reply(col: Column) -> Column:
     return F.when((out == "") & (trim(col) != ""), P.REPLY_STUB).otherwise(out)
 
 
+def in_language(message: Column, hint: str = P.LANGUAGE_HINT) -> Column:
+    """A message to the model, with the rule that names the answer's language; null is empty."""
+    return F.concat(text(message), F.lit(hint))
+
+
 def envelope(raw: Column) -> Column:
     """struct(reply, error, session) of an agent's JSON, of whatever shape: its payload texts, else its summary; its session's id.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwire.functions.text import clean_tags, cut_bytes, inline_urls, is_block_page, nz, text, trim, upload_tags
+from sparkwire.functions.text import clean_tags, cut_bytes, has, inline_urls, is_block_page, nz, text, trim, upload_tags, without_antibot
+from sparkwire.functions.urls import host
 
 
 def can(users: DataFrame) -> DataFrame:
@@ -92,6 +93,20 @@ PREFETCH = [("direct", "direct", 200), ("page", "page", 200), ("plain", "plain",
 AGENT = [("agent", "agent", 300)]
 
 
+def routed(rows: DataFrame, proxied_hosts: str, cut: int = 2500, least: int = 200) -> DataFrame:
+    """rows (url, extracted, proxied, plain) with fetched_text and its tier: the order in which an article is read.
+
+    The extractor's text comes first if it has `least` characters and no check for robots; else a host that
+    matches proxied_hosts is read through the proxy, and any other plainly. A row without a url has no text.
+    """
+    best = nz(without_antibot(F.when(F.length("extracted") >= least, F.col("extracted"))))
+    other = F.when(has(host(F.col("url")), proxied_hosts), F.struct(F.lit("proxied").alias("tier"), without_antibot(text(F.col("proxied"))).alias("t")))
+    other = other.otherwise(F.struct(F.lit("plain").alias("tier"), without_antibot(text(F.col("plain"))).alias("t")))
+    pick = F.when(nz(F.col("url")).isNull(), F.struct(F.lit("none").alias("tier"), F.lit("").alias("t")))
+    pick = pick.when(best.isNotNull(), F.struct(F.lit("extracted").alias("tier"), best.alias("t"))).otherwise(other)
+    return rows.withColumns({"tier": pick["tier"], "fetched_text": F.left(pick["t"], F.lit(cut))})
+
+
 def rescued(candidates: DataFrame, least: int = 300) -> DataFrame:
     """(text, mode) by PREFETCH, then by AGENT where that is thin or short of `least`; what stays short has no text."""
     first = fetched(candidates, PREFETCH).withColumnsRenamed({"text": "__text", "mode": "__mode"})

@@ -137,7 +137,74 @@ _READER = """WITH l AS (SELECT user_id AS u, arg_max(event_type, (ts, event_id))
   coalesce(array_to_string(list_sort(list(u) FILTER (a IN ('purchase', 'click') AND u <> 7))[1:10], ' '), '') AS likers, coalesce(array_to_string(list_sort(list(u) FILTER (a = 'error' AND u <> 7))[1:10], ' '), '') AS dislikers,
   '' AS my_note, 0::BIGINT AS my_chat_msgs, 0::BIGINT AS team_chat_active FROM l"""
 
+
+def _routed(spark, sf_dir):
+    """Texts of one language from each tier; two sources' hosts are read through the proxy."""
+    docs = table(spark, sf_dir, "documents")
+    of = lambda *langs: F.when(F.col("lang").isin(*langs), F.col("text"))
+    url = F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", url.alias("url"), of("en", "de").alias("extracted"), of("de", "fr").alias("proxied"), of("es", "fr", "en").alias("plain"))
+    return documents.routed(rows, r"(^|\.)(src1|src3)\.example\.com$").select("doc_id", "tier", F.length("fetched_text").cast("long").alias("n"))
+
+
+_ROUTED = rf"""WITH d AS (SELECT *, regexp_matches(left(text, 2000), '{P.ANTIBOT}', 'i') AS robots, source IN ('src1', 'src3') AS proxied FROM documents),
+  e AS (SELECT *, CASE WHEN source IS NULL THEN 'none' WHEN lang IN ('en', 'de') AND length(text) >= 200 AND NOT robots THEN 'extracted' WHEN proxied THEN 'proxied' ELSE 'plain' END AS tier FROM d)
+  SELECT doc_id, tier, CASE WHEN tier = 'extracted' OR NOT coalesce(robots, false) AND (tier = 'proxied' AND lang IN ('de', 'fr') OR tier = 'plain' AND lang IN ('es', 'fr', 'en')) THEN length(left(coalesce(text, ''), 2500)) ELSE 0 END AS n FROM e"""
+
+
+def _replies(spark, sf_dir):
+    """A reply for each document: one hypothesis whose sources name it, the next one, it again, and nothing."""
+    kind = F.when(F.col("lang") == "en", F.lit(P.CATEGORIES[0])).when(F.col("lang") == "de", F.lit(P.CATEGORIES[1])).otherwise("")
+    name = lambda k: F.concat(F.lit("m"), (F.col("doc_id") + k).cast("string"))
+    source = lambda doc, excerpt, origin: F.struct(doc.alias("doc_id"), excerpt.alias("excerpt"), F.lit(origin).alias("is_origin"))
+    sources = F.array(source(name(0), F.col("text"), True), source(name(1), F.col("source"), False), source(name(0), F.lit("again"), False), source(F.lit(""), F.lit("none"), True))
+    reply = F.struct(F.array(F.struct(F.col("source").alias("statement"), F.lit("").alias("rationale"), kind.alias("category"), F.lit("0.5").alias("confidence"), sources.alias("sources"))).alias("hypotheses"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"), F.concat(F.lit("Here it is: "), F.to_json(reply)).alias("raw"))
+
+
+def _validated(spark, sf_dir):
+    valid = table(spark, sf_dir, "labels").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"))
+    found = insights.valid_evidence(insights.parsed(_replies(spark, sf_dir)), valid)
+    return found.select("run_id", "doc_id", F.length("excerpt").cast("long").alias("n"), F.col("is_origin").cast("long").alias("is_origin"))
+
+
+_VALIDATED = r"""WITH d AS (SELECT * FROM documents WHERE lang IN ('en', 'de') AND regexp_replace(coalesce(source, ''), '^\s+|\s+$', '', 'g') <> ''),
+  s AS (SELECT doc_id AS run, 0 AS k, text AS x, 1 AS o FROM d UNION ALL SELECT doc_id, 1, source, 0 FROM d)
+  SELECT CAST(run AS VARCHAR) AS run_id, 'm' || (run + k) AS doc_id, length(regexp_replace(left(coalesce(x, ''), 400), '^\s+|\s+$', '', 'g')) AS n, o::BIGINT AS is_origin
+  FROM s SEMI JOIN labels l ON l.doc_id = s.run + s.k"""
+
+
+def _cleaned(spark, sf_dir):
+    """Jobs of events, and each event as one of the job with half its number."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2).cast("string").alias("job_id"))
+    kept, left = jobs.cleaned(_jobs(spark, sf_dir), events, "2024-02-14T12:00:00")
+    return kept.select(F.lit("job").alias("part"), "id").unionByName(left.select(F.lit("event").alias("part"), F.col("seq").cast("string").alias("id")))
+
+
+_CLEANED = """WITH k AS (SELECT event_id FROM events WHERE event_type = 'signup' OR ts + to_seconds(event_id % 100 + event_id % 977) >= TIMESTAMP '2024-01-15 12:00:00')
+  SELECT 'job' AS part, CAST(event_id AS VARCHAR) AS id FROM k UNION ALL SELECT 'event', CAST(e.event_id AS VARCHAR) FROM events e SEMI JOIN k ON k.event_id = e.event_id // 2"""
+
+
+def _prompted(spark, sf_dir):
+    """The message of the latest documents that no job has read."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("kind"), F.col("source").alias("title"), F.col("lang").alias("source_ref"), F.when(F.col("doc_id") % 2 == 0, "a,b").alias("tags"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+    seen = table(spark, sf_dir, "labels").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("doc_id"))
+    whole = insights.prompt(insights.unprocessed(docs, seen, [F.desc("seq")]), "Read these.")
+    message = text.in_language(F.col("prompt"))
+    return whole.select(F.length(message).cast("long").alias("n"), F.md5(message.cast("binary")).alias("digest"))
+
+
+_PROMPTED = rf"""WITH d AS (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 60), p AS (SELECT 'Read these.' || coalesce(string_agg(chr(10) || '--- DOC id=m' || doc_id || ' | kind=material | title=' || coalesce(source, '') ||
+    CASE WHEN coalesce(lang, '') <> '' THEN ' | source=' || left(lang, 80) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | tags=a,b' ELSE '' END || ' ---' || chr(10) || coalesce(text, ''), '' ORDER BY doc_id), '') AS p
+  FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+  m AS (SELECT CASE WHEN length(p) > 180000 THEN left(p, 180000) || chr(10) || '… [обрезано по лимиту]' ELSE p END || '{P.LANGUAGE_HINT}' AS m FROM p)
+  SELECT length(m) AS n, md5(m) AS digest FROM m"""
+
 MORE = {
+    "routed_fetch": (_routed, _ROUTED),
+    "evidence_valid": (_validated, _VALIDATED),
+    "job_cleanup": (_cleaned, _CLEANED),
+    "insight_prompt": (_prompted, _PROMPTED),
     "fetch_modes": (lambda s, d: documents.modes(_tiers(s, d)), f"SELECT mode, count(*) AS n FROM ({QUERIES['fetch_cascade'][1]}) GROUP BY mode"),
     "prefetch_flow": (_prefetched, _PREFETCHED),
     "summary_flow": (_summary_batch, _SUMMARY_BATCH),

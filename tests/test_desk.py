@@ -174,3 +174,28 @@ def test_small_functions(spark):
     t = t.withColumn("transient", F.col("id") == "1")
     assert sorted(rows(jobs.retried(t, 1000), "id", "status", "attempts", "priority"), key=str)[0] == ("1", "queued", 2, 20000000091000)
     assert rows(jobs.find_active(t, "k"), "id") == [("2",)] and {k: v.count() for k, v in jobs.admin_list(t).items()} == {"queued": 1, "running": 0, "recent": 1}
+
+
+def test_routed_texts(spark):
+    long = "news of the day " * 20
+    rows = [
+        ("https://www.bank.test/a", long, "proxied", "plain"),
+        ("https://www.bank.test/a", "short", "proxied", "plain"),
+        ("https://bank.test/a", "Just a moment... " + long, "proxied", "plain"),
+        ("https://notbank.test/a", None, "proxied", "plain"),
+        ("https://other.test/a", None, "proxied", "please verify that you are no robot"),
+        ("https://bank.test/a", "", None, "plain"),
+        ("", long, "proxied", "plain"),
+        (None, long, "proxied", "plain"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, extracted string, proxied string, plain string")
+    got = {r["i"]: (r["tier"], r["fetched_text"]) for r in documents.routed(df, r"(^|\.)bank\.test$", cut=40).collect()}
+    assert got == {0: ("extracted", long[:40]), 1: ("proxied", "proxied"), 2: ("proxied", "proxied"), 3: ("plain", "plain"), 4: ("plain", ""), 5: ("proxied", ""), 6: ("none", ""), 7: ("none", "")}
+    assert documents.routed(df.limit(0), "x").count() == 0
+
+
+def test_message_names_its_language(spark):
+    df = spark.createDataFrame([("a",), (None,)], "m string").select(text.in_language(F.col("m")).alias("m"), text.scrub_reply(text.in_language(F.col("m"))).alias("clean"))
+    rows = df.collect()
+    assert rows[0]["m"].startswith("a\n\n[") and rows[0]["m"][1:] == rows[1]["m"]
+    assert rows[0]["clean"] == "a"  # an echo of the rule is scrubbed
