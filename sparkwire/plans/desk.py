@@ -200,7 +200,27 @@ _PROMPTED = rf"""WITH d AS (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 6
   m AS (SELECT CASE WHEN length(p) > 180000 THEN left(p, 180000) || chr(10) || '… [обрезано по лимиту]' ELSE p END || '{P.LANGUAGE_HINT}' AS m FROM p)
   SELECT length(m) AS n, md5(m) AS digest FROM m"""
 
+
+def _claimed(spark, sf_dir):
+    """Each hypothesis is claimed for some user by another or an admin, then given a date by the claimer."""
+    user = lambda c: F.concat(F.lit("User"), c.cast("string"))
+    own = _hypotheses(spark, sf_dir).withColumn("owner_username", F.when(F.col("id") % 3 > 0, F.col("owner_username")))
+    date = F.when(F.col("id") % 4 == 0, "2024-02-30").when(F.col("id") % 4 == 1, "").otherwise("2024-03-01")
+    event = lambda seq, kind, value, admin: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), value.alias("value"), (F.col("id") % admin == 0).alias("is_admin"))
+    both = own.select("id", F.explode(F.array(event(1, "owner", user(F.col("id") % 10), 7), event(2, "next_check", date, 11))).alias("e"))
+    events = both.select(F.col("id").cast("string").alias("id"), "e.*", user(F.col("id") % 5).alias("caller"), F.lit(False).alias("confirm"))
+    return state.fold(own.withColumn("id", F.col("id").cast("string")), events).select("id", "seq", "result", F.coalesce("owner_username", F.lit("")).alias("owner"), F.coalesce("next_check_at", F.lit("")).alias("next_check"))
+
+
+_CLAIMED = f"""WITH {_HYP}, a AS (SELECT id, CASE WHEN id % 3 > 0 THEN 'User' || substr(owner, 5) END AS o, 'User' || (id % 10) AS who, 'User' || (id % 5) AS me, next_check_at AS c, CASE id % 4 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '' ELSE '2024-03-01' END AS d FROM h),
+  b AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'ok' WHEN who <> me THEN 'forbidden' WHEN o IS NOT NULL AND o <> me THEN 'already_owned' ELSE 'ok' END AS r FROM a),
+  x AS (SELECT *, CASE WHEN r = 'ok' THEN who ELSE o END AS n FROM b),
+  y AS (SELECT *, CASE WHEN d = '2024-02-30' THEN 'bad_date' WHEN id % 11 > 0 AND coalesce(n, '') <> me THEN 'forbidden' ELSE 'ok' END AS q FROM x)
+  SELECT CAST(id AS VARCHAR) AS id, 1::BIGINT AS seq, r AS result, coalesce(n, '') AS owner, c AS next_check FROM y
+  UNION ALL SELECT CAST(id AS VARCHAR), 2, q, coalesce(n, ''), CASE WHEN q = 'ok' THEN d ELSE c END FROM y"""
+
 MORE = {
+    "lifecycle_claims": (_claimed, _CLAIMED),
     "routed_fetch": (_routed, _ROUTED),
     "evidence_valid": (_validated, _VALIDATED),
     "job_cleanup": (_cleaned, _CLEANED),
