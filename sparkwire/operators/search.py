@@ -60,9 +60,11 @@ def phrases_of(query: str) -> list[list[str]]:
     return [list(p) for p in dict.fromkeys(parts) if p]
 
 
-def search(docs: DataFrame, ident: str, columns: list[str], query: str, limit: int = 30, visible: Column | None = None) -> DataFrame:
+def search(docs: DataFrame, ident: str, columns: list[str], query: str, limit: int = 30, visible: Column | None = None, digits: int | None = None) -> DataFrame:
     """(id, score): documents that have every term of the query, a word by its prefix or a phrase; the least score is the best.
 
+    With digits, scores are rounded before they are ranked, so that equal ones are in order of id.
+
     A prefix's frequency is the number of its words in a document, a phrase's that of its places, and a
     document frequency the number of documents with one. For a table without an index: each text is cut
     into words once, and only counts leave the scan.
@@ -78,10 +80,10 @@ def search(docs: DataFrame, ident: str, columns: list[str], query: str, limit: i
     hit = lambda p: reduce(lambda a, b: a & b, [word(k) == x for k, x in enumerate(p[:-1])] + [word(len(p) - 1).startswith(p[-1])])
     counts = own.groupBy("id", "visible").agg(F.count(word(0)).alias("length"), *[F.count_if(hit(p)).alias(f"tf{k}") for k, p in enumerate(phrases)])
     counts = checkpoint(counts)  # a few numbers a document, read for the statistics and for the scores
-    return _ranked(counts, counts.agg(*_stats(len(phrases))).first(), len(phrases), limit)
+    return _ranked(counts, counts.agg(*_stats(len(phrases))).first(), len(phrases), limit, digits)
 
 
-def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 30, visible: DataFrame | None = None) -> DataFrame:
+def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 30, visible: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """search() over an index; visible has the ids that may be shown. The terms' ranges are pushed to the scan of postings.
 
     A phrase's places are those of its first part that all other parts follow: the parts' sorted places,
@@ -105,7 +107,7 @@ def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int
     hits = checkpoint(postings.where(within).groupBy("id").agg(*sums))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first().asDict() | hits.agg(*_stats(len(phrases))[2:]).first().asDict()
     found = hits.where(" and ".join(f"tf{k} > 0" for k in range(len(phrases)))).join(lengths, "id").withColumn("visible", F.lit(True))
-    return _ranked(found if visible is None else found.join(visible, "id", "left_semi"), stats, len(phrases), limit)
+    return _ranked(found if visible is None else found.join(visible, "id", "left_semi"), stats, len(phrases), limit, digits)
 
 
 def _back(places: str, n: int) -> Column:
@@ -116,14 +118,16 @@ def _stats(n: int) -> list[Column]:
     return [F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(n)]]
 
 
-def _ranked(counts: DataFrame, stats, n: int, limit: int) -> DataFrame:
+def _ranked(counts: DataFrame, stats, n: int, limit: int, digits: int | None = None) -> DataFrame:
     parts = []
     for k in range(n):
         idf = F.greatest(F.lit(1e-6), F.log((F.lit(stats["n"]) - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)))
         f = F.col(f"tf{k}").cast("double")
         parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"]))))
     every = reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(n)])
-    return counts.where(every & F.col("visible")).select("id", (-reduce(lambda a, b: a + b, parts)).alias("score")).orderBy("score", "id").limit(max(1, min(100, limit)))
+    score = -reduce(lambda a, b: a + b, parts)
+    score = score if digits is None else F.round(score, digits)
+    return counts.where(every & F.col("visible")).select("id", score.alias("score")).orderBy("score", "id").limit(max(1, min(100, limit)))
 
 
 def snippet(col: Column, terms: list[str], words: int = 24, begin: str = "<mark>", end: str = "</mark>") -> Column:

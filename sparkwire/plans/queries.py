@@ -259,8 +259,8 @@ def _breaker(spark, sf_dir):
 
 def _fts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    out = search.search(docs, "doc_id", ["text", "lang"], "there on", 50)
-    return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    out = search.search(docs, "doc_id", ["text", "lang"], "there on", 50, digits=6)
+    return out.select(F.col("id").alias("doc_id"), "score")
 
 
 _FTS = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿёй', 'aaaaaaceeeeiiiinoooooouuuuyyеи'), '[\p{L}\p{N}]+'), [lang]) AS w FROM documents),
@@ -272,8 +272,8 @@ _FTS = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lo
 
 def _phrases(spark, sf_dir):
     postings, lengths = search.index(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"])
-    out = search.search_index(postings, lengths, "of-the t the-o", 100)
-    return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    out = search.search_index(postings, lengths, "of-the t the-o", 100, digits=6)
+    return out.select(F.col("id").alias("doc_id"), "score")
 
 
 _PHRASES = r"""WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿёй', 'aaaaaaceeeeiiiinoooooouuuuyyеи'), '[\p{L}\p{N}]+'), [NULL], [source]) AS w FROM documents),

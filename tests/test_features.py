@@ -14,6 +14,7 @@ from sparkwire.functions import text
 from sparkwire.operators.graph import components
 from sparkwire.operators import archive, dedupe, documents, insights, kept, search
 from sparkwire.plans import flows
+from sparkwire.plans import queries as plans
 from sparkwire.session import checkpoint
 from sparkwire.sources import listing, office, readers
 from sparkwire.streaming import incremental
@@ -54,6 +55,19 @@ def test_index_by_loops(spark):
         assert {i for i, _ in rows(search.search_index(postings, lengths, query, 100), "id", "score")} == want
 
 
+@pytest.mark.parametrize("name", ["phrase_search", "fts_search_bm25"])
+def test_scores_that_round_alike_are_in_order_of_id(spark, tmp_path, name):
+    """Every document has the terms, so that scores are some millionths: the longer text comes first where ids say so."""
+    import duckdb
+
+    docs = [(k, "of the on there " * 3 + "x " * (9 - k), "en", "web") for k in range(1, 8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    function, sql = plans.QUERIES[name]
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in function(spark, str(tmp_path)).collect()] == db.execute(sql).fetchall()
+
+
 def test_snippet_marks_phrases(spark):
     one = spark.createDataFrame([("send an e-mail or e mail now mail",)], "t string")
     assert one.select(search.snippet(F.col("t"), ["e-mail"]).alias("s")).first()["s"] == "send an <mark>e-mail</mark> or <mark>e</mark> mail now mail"
