@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,16 +186,51 @@ def detail(ident: str, hypotheses: DataFrame, evidence: DataFrame, docs: DataFra
     return out.select("doc_id", title.alias("title"), "url", "excerpt", "is_origin", quality.alias("quality")).orderBy(F.desc("is_origin"), "doc_id")
 
 
+#: Rows, and pairs of nodes, that one task takes; an item of more nodes is met in blocks of so many.
+TASK_ROWS, TASK_PAIRS, BLOCK = 1 << 21, 1 << 21, 1 << 11
+
+
+def _tasks(df: DataFrame, n: float, most: int) -> int:
+    """Tasks for n rows of `most` each, and one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / most))
+
+
+def _items(evidence: DataFrame, node: str, item: str) -> DataFrame:
+    """(n, i): the distinct items of each node, in tasks of bounded size."""
+    rows = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).where(F.col("n").isNotNull() & F.col("i").isNotNull())
+    return rows.repartition(_tasks(rows, rows.count(), TASK_ROWS), "i", "n").distinct()
+
+
+def _shared(own: DataFrame) -> DataFrame:
+    """(a, b, w), a < b, of distinct (n, i): pairs are counted before they are formed, and dealt to as many tasks.
+
+    Few pairs occur twice in a task, so they are shuffled as they are: a sum before the shuffle would hold
+    nearly all of a task's pairs. An item of more than BLOCK nodes is dealt into blocks, any two of which meet.
+    """
+    counts = own.groupBy("i").agg(F.count("*").alias("c"))
+    c = F.col("c").cast("double")
+    pairs, most = counts.agg(F.sum(c * (c - 1) / 2), F.max("c")).first()
+    n, on = _tasks(own, pairs or 0, TASK_PAIRS), ["i"]
+    left, right = own.select(F.col("n").alias("a"), "i"), own.select(F.col("n").alias("b"), "i")
+    if (most or 0) > BLOCK:
+        on = ["i", "x", "y"]
+        blocks = counts.where(F.col("c") > BLOCK).select("i", F.ceil(F.col("c") / BLOCK).alias("k"))
+        dealt = own.join(blocks, "i", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("n"), "k"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+        left = dealt.select(F.col("n").alias("a"), "i", F.col("block").alias("x"), every.alias("y"))
+        right = dealt.select(F.col("n").alias("b"), "i", every.alias("x"), F.col("block").alias("y"))
+    met = left.repartition(n, *on).join(right.repartition(n, *on), on).where("a < b").select("a", "b")
+    return met.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
 def graph(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
     """(a, b, w): pairs of nodes, a < b, with the number of items they share.
 
-    Nodes meet on items in one join, which splits an item that very many nodes share; no item's nodes
-    are gathered in a row. The relation itself has a row for each pair that shares an item; where only
-    neighbours are asked for, neighbours() takes no pairs.
+    Nodes meet on items in one join, whose tasks grow in number with the pairs and not in size; an item
+    that very many nodes share is dealt over several. The relation itself has a row for each pair that
+    shares an item; where only neighbours are asked for, neighbours() takes no pairs.
     """
-    own = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).distinct()
-    left, right = own.select(F.col("n").alias("a"), "i"), own.select(F.col("n").alias("b"), "i")
-    return left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    return _shared(_items(evidence, node, item))
 
 
 def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -203,7 +240,7 @@ def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str =
     any two of linked classes w. So a crowd of like nodes makes a row each, and no pairs. Item sets are
     compared by their count and two sums of hashes that are added up in any order.
     """
-    own = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).where(F.col("n").isNotNull() & F.col("i").isNotNull()).distinct()
+    own = _items(evidence, node, item)
     h = [F.xxhash64(F.lit(k), "i") for k in (1, 2)]
     marks = own.groupBy("n").agg(F.count("*").alias("n_items"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(h)], *[F.sum(F.shiftright(x, 32)).alias(f"s{k}") for k, x in enumerate(h)])
     marks = checkpoint(marks)
@@ -211,8 +248,7 @@ def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str =
     sets = marks.groupBy(*key).agg(F.min("n").alias("class_id"), F.count("*").alias("n_nodes"))
     classes = checkpoint(marks.join(sets, key).select(F.col("n").alias("node"), "class_id", "n_nodes", "n_items"))
     first = own.join(classes.where("node = class_id").select(F.col("node").alias("n")), "n", "left_semi")
-    left, right = first.select(F.col("n").alias("a"), "i"), first.select(F.col("n").alias("b"), "i")
-    return classes, left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    return classes, _shared(first)
 
 
 def strongest(evidence: DataFrame, shown: DataFrame, most: int = 20, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:

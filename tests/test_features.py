@@ -329,6 +329,25 @@ def test_a_crowd_of_like_nodes(spark):
 # ---- office files
 
 
+@pytest.mark.parametrize("block", [3, 1 << 11])
+def test_graph_tasks_grow_with_pairs(spark, monkeypatch, block):
+    """A shared item of many nodes goes in blocks, pairs go to as many tasks as they fill; null nodes and items make none."""
+    monkeypatch.setattr(insights, "BLOCK", block)
+    monkeypatch.setattr(insights, "TASK_PAIRS", 20)
+    rng = random.Random(4)
+    own = {(n, 0) for n in range(20)} | {(rng.randrange(30), rng.randrange(1, 12)) for _ in range(60)}
+    want = {}
+    for a, i in own:
+        for b, j in own:
+            if a < b and i == j:
+                want[a, b] = want.get((a, b), 0) + 1
+    data = [*own, *list(own)[:30], (None, 0), (3, None), (4, None)]
+    edges = insights.graph(spark.createDataFrame(data, "hypothesis_id long, doc_id long"))
+    assert sorted(rows(edges, "a", "b", "w")) == sorted((a, b, w) for (a, b), w in want.items())
+    assert edges.rdd.getNumPartitions() >= sum(want.values()) / 20
+    assert insights.graph(spark.createDataFrame([], "hypothesis_id long, doc_id long")).count() == 0
+
+
 def docx(*paragraphs):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f"<w:p>{p}</w:p>" for p in paragraphs)
