@@ -7,15 +7,17 @@ more share a shingle among the first n - ceil(0.8 n) + 1 of each, in any one ord
    sample of texts come last in the order, which spares pairs and changes no result.
 2. Nodes are candidates where the number of shared prefix shingles, their places and the sizes leave 0.8
    possible: sets of equal size share over 0.08 n of their prefixes. Each is compared with the least of
-   its size in the group first. What that leaves in different components is compared pair by pair in
+   its size in the group first, and so are nodes whose SimHash fingerprints meet in a ball (`meet`, that
+   of simhash.links()). What that leaves in different components is compared pair by pair in
    groups of up to CROWD nodes; larger groups, crowds of near copies, meet in blocks of bounded size, and
    no pairs are formed. Pairs within a component would not change it.
 3. The similarity of candidates is computed exactly and decides; links make components (single link).
    For that one text of each node is read again and goes compressed to the pairs.
 
 So no pair is missed, whatever the size of the input. The work is more than linear only within a crowd that
-the first comparison leaves in several components: a crowd's blocks meet each other. SimHash balls cannot give this: at similarity
-0.8 fingerprints differ in about 10 of 64 bits, up to 19, and balls of that radius meet everywhere.
+the first comparison leaves in several components: a crowd's blocks meet each other. SimHash balls alone cannot give this: at similarity
+0.8 fingerprints differ in about 10 of 64 bits, up to 19, and balls of that radius meet everywhere. So the
+prefixes find what lies beyond the balls.
 
 Defined cases: words are split at ASCII white space and lower-cased in ASCII; texts without words,
 null ones included, are one node.
@@ -24,6 +26,7 @@ null ones included, are one node.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TOGETHER, blobs, checkpoint, pieces, slices, small, tidily, tokens_of
-from .decontam import shingles_of
+from .decontam import shingles_of, simhash
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -74,9 +77,10 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def _shingled(docs: DataFrame, shingle: int, last: np.ndarray | None, similarity: float | None) -> DataFrame:
-    """id, row, node, n, shingles: for each row of docs (id, row, text) the prefix, or with no similarity the whole set.
+    """id, row, node, n, shingles, fp: for each row of docs (id, row, text) the prefix, or with no similarity the whole set.
 
-    A prefix comes with the first of a task's rows of one node; the others have an empty list.
+    A prefix and the set's fingerprint come with the first of a task's rows of one node; the others have an
+    empty list and none.
     """
 
     def run(it):
@@ -87,20 +91,22 @@ def _shingled(docs: DataFrame, shingle: int, last: np.ndarray | None, similarity
                 s, at = sets_of(texts[a:b], shingle, last)
                 n = np.diff(at)
                 nodes = np.fromiter((node_of(s[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.int64, b - a)
-                size = n
+                size, prints = n, [None] * len(n)
                 if similarity is not None:
                     size = np.where(n > 0, n - np.ceil(similarity * n - _LITTLE).astype(np.int32) + 1, 0)
                     for k, node in enumerate(nodes.tolist()):
                         if node in seen:
                             size[k] = 0
-                        elif len(seen) < SEEN:
+                            continue
+                        prints[k] = int(np.uint64(simhash(s[at[k] : at[k + 1]])).view(np.int64))
+                        if len(seen) < SEEN:
                             seen.add(node)
                 ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 s = s[np.repeat(at[:-1] - ends[:-1], size) + np.arange(ends[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes), pa.array(n.astype(np.int32)), lists], ["id", "row", "node", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes), pa.array(n.astype(np.int32)), lists, pa.array(prints, pa.int64())], ["id", "row", "node", "n", "shingles", "fp"])
 
-    return docs.mapInArrow(tidily(run), "id long, row long, node long, n int, shingles array<long>")
+    return docs.mapInArrow(tidily(run), "id long, row long, node long, n int, shingles array<long>, fp long")
 
 
 def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -242,10 +248,23 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
     return checkpoint(with_both.select("a", "b", "x", "y").mapInArrow(tidily(run), "a long, b long"))
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, row, root: the component of each row of docs (id long, row long, text)."""
+def balls(rows: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): nodes of rows (node, fp or null) with the least of their fingerprint, and such least ones whose fingerprints meet."""
+    nodes = rows.where("fp is not null").select("node", "fp").distinct()
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = meet(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return same.union(near.select("x", "y"))
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, row, root: the component of each row of docs (id long, row long, text).
+
+    meet(fps) gives links (a, b) among the distinct longs of column fp, SimHash fingerprints of the sets: the
+    nodes that they join are compared first.
+    """
     shingled = _shingled(docs, shingle, _frequent(docs, shingle), similarity)
-    rows = checkpoint(shingled.select("id", "row", "node"))  # without the lists, which are made again
+    rows = checkpoint(shingled.select("id", "row", "node", "fp"))  # without the lists, which are made again
     met = shingled.select("node", "n", F.posexplode("shingles").alias("at", "s")).select("s", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
     # one shuffle by shingle serves all three: copies fall together, lonely shingles go, the least is known
     met = met.repartition("s").dropDuplicates(["s", "node"])
@@ -269,7 +288,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     # stars only spare pairs: one that is not counted here in full is met again below
     stars = groups.where(F.col("node") != F.col("hub.node"))
     stars = stars.select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.least("rest", "hub.rest").alias("left"))
-    links = _similar(candidates(stars), rows, docs, shingle, similarity)
+    first = candidates(stars)
+    if meet is not None:
+        first = first.union(balls(rows, meet)).distinct()
+    links = _similar(first, rows, docs, shingle, similarity)
     roots = components(links).withColumnRenamed("root", "r")
     rooted = groups.select("s", "node", "n", "rest").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node"))
     rooted = rooted.withColumn("several", F.min("r").over(own) != F.max("r").over(own)).withColumn("c", F.count("*").over(own))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import blobs, checkpoint, fresh, small
+from .common import blobs, checkpoint, fresh, pieces, small, tidily
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -50,11 +50,11 @@ def fingerprints(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp and other columns of longs: the fingerprint as a signed long."""
 
     def run(it):
-        for batch in it:
+        for batch in pieces(it):
             fp = np.fromiter(map(fingerprint, blobs(batch.column(1))), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *others])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *others).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in others]]))
+    return docs.select(F.col("doc_id").cast("long"), "text", *others).mapInArrow(tidily(run), ", ".join(["doc_id long, fp long", *[f"{c} long" for c in others]]))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -104,13 +104,14 @@ def least_rows(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = jaccard.SHINGLE) -> DataFrame:
     """One row of each component: that of the least doc_id, null last, then of the least hash of the row.
 
-    Components are those of near_duplicates(), or with a similarity those of jaccard.near_copies().
+    Components are those of near_duplicates(). With a similarity, rows whose fingerprints meet in a ball are
+    candidates for an exact check, and jaccard.near_copies() adds those that no ball can reach.
     """
     key = fresh("__row", docs)
     rows = docs.withColumn(key, row_key(docs))
     slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("row"))
     if similarity is not None:
-        found = jaccard.near_copies(slim.select(F.col("doc_id").alias("id"), "row", "text"), shingle, similarity).withColumnRenamed("id", "doc_id")
+        found = jaccard.near_copies(slim.select(F.col("doc_id").alias("id"), "row", "text"), shingle, similarity, links).withColumnRenamed("id", "doc_id")
         return least_rows(rows, found, key).select([f"`{c}`" for c in docs.columns])
     fps = checkpoint(fingerprints(slim, ("row",)))
     roots = components(links(fps.select("fp").distinct()))

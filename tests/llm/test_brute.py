@@ -338,6 +338,41 @@ def test_pipeline_of_empty_tables(spark, table, tmp_path):
     assert corpus_pipeline.run(spark, str(full)).select("doc_id").distinct().count() > 40
 
 
+def test_pipeline_meets_fingerprints_in_balls(spark, tmp_path, monkeypatch):
+    """The stage compares what SimHash balls link: equal fingerprints, and those at two bits or fewer, of all distinct sets."""
+    import corpus_pipeline
+    from sparkwire.llm import decontam, jaccard
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[:-1])]
+    texts += [texts[0], "", None]
+    sets = np.split(*(lambda s, at: (s, at[1:-1]))(*jaccard.sets_of([(t or "").encode() for t in texts])))
+    prints = {decontam.simhash(s) for s in sets}
+    met, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: (met.append([r["fp"] & (1 << 64) - 1 for r in fps.collect()]), links(fps))[1])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, str(tmp_path))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*range(0, 24, 3), 25])
+    assert len(met) == 1 and sorted(met[0]) == sorted(prints)
+    nodes = {jaccard.node_of(s): decontam.simhash(s) for s in sets}
+    rows = spark.createDataFrame([(n, int(np.uint64(f).view(np.int64))) for n, f in nodes.items()] * 2 + [(n, None) for n in nodes], "node long, fp long")
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in jaccard.balls(rows, links).collect():
+        assert (nodes[a] ^ nodes[b]).bit_count() <= 2
+        parent[find(a)] = find(b)
+    close = [(a, b) for a in nodes for b in nodes if a < b and (nodes[a] ^ nodes[b]).bit_count() <= 2]
+    assert len(close) >= 4 and all(find(a) == find(b) for a, b in close)
+
+
 def test_clashing_names_pass(table, spark):
     n = table.count()
     assert linededup.dedup_lines(table).count() == langid.identify(table).count() == n
