@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, hash_words, mix, slices, table
+from .common import blobs, hash_words, mix, pieces, slices, table, tidily
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, SLACK = 19, 8, 2
@@ -193,14 +193,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
         def run(it):
             own = Benchmark(sent.value)
-            for batch in it:
+            for batch in pieces(it):
                 ids = batch.column(0).to_pylist()
                 out = [(ids[row], *x) for row, found in own.search(lowered(batch.column(1)), least) for x in found]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"])
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidily(run), SCHEMA)
 
     found = reduce(DataFrame.union, [scan(rows) for rows in benchmark_blocks(benchmark)])
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("first_word")).alias("w"), "n_words")).alias("x"))
@@ -216,12 +216,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SI
 
         def run(it):
             own = Benchmark(sent.value)
-            for batch in it:
+            for batch in pieces(it):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in own.search(lowered(batch.column("text")), least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidily(run), schema)
 
     return reduce(without, benchmark_blocks(benchmark), docs)
 

@@ -220,4 +220,4 @@ def pack(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length:
     encoded = rows.mapInArrow(tidily(encode), "place long, row long, doc_id long, n long, crcs array<long>, tail binary")
     encoded = checkpoint(encoded)  # texts are encoded once; the ranges are found by a sample of what comes out
     dealt = encoded.repartitionByRange(ranges, "place", "row").sortWithinPartitions("place", "row", "n", "doc_id")
-    return dealt.mapInArrow(shards, ", ".join(f"`{n}` long" for n in names))
+    return dealt.mapInArrow(tidily(shards), ", ".join(f"`{n}` long" for n in names))

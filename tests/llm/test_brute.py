@@ -373,6 +373,25 @@ def test_pipeline_meets_fingerprints_in_balls(spark, tmp_path, monkeypatch):
     assert len(close) >= 4 and all(find(a) == find(b) for a, b in close)
 
 
+def test_pipeline_takes_small_batches(spark, table, tmp_path):
+    """The stages take batches of bounded rows, a smaller setting stays, and run() sets back what it found."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, stage = spark.conf.get(key), dict(corpus_pipeline.STAGES)["packing"]
+    try:
+        for now, then in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(key, now)
+            stage(spark, table.limit(1), "")
+            assert spark.conf.get(key) == then
+        spark.conf.set(key, "10000")
+        table.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0 and spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_clashing_names_pass(table, spark):
     n = table.count()
     assert linededup.dedup_lines(table).count() == langid.identify(table).count() == n
