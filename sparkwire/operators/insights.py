@@ -12,7 +12,7 @@ from sparkwire.functions.python import first_json_object
 from sparkwire.functions.scores import confidence, document_quality, is_new, is_overdue, is_validated, source_kind
 from sparkwire.functions.text import category, nz, text, title_tokens, trim
 from sparkwire.functions.urls import news_id
-from sparkwire.session import checkpoint
+from sparkwire.session import checkpoint, shuffles_dropped
 
 from .dedupe import similar_pairs
 from .windows import first_wins
@@ -189,38 +189,82 @@ def detail(ident: str, hypotheses: DataFrame, evidence: DataFrame, docs: DataFra
 #: Rows, and pairs of nodes, that one task takes; an item of more nodes is met in blocks of so many.
 TASK_ROWS, TASK_PAIRS, BLOCK = 1 << 21, 1 << 21, 1 << 11
 
+#: A node of at most so many items can take the others along to each of them; so many items' blocks are broadcast.
+LIGHT, BROADCAST = 1 << 5, 1 << 16
+
 
 def _tasks(df: DataFrame, n: float, most: int) -> int:
     """Tasks for n rows of `most` each, and one for each core at least."""
     return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / most))
 
 
-def _items(evidence: DataFrame, node: str, item: str) -> DataFrame:
-    """(n, i): the distinct items of each node, in tasks of bounded size."""
-    rows = evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).where(F.col("n").isNotNull() & F.col("i").isNotNull())
-    return rows.repartition(_tasks(rows, rows.count(), TASK_ROWS), "i", "n").distinct()
+def _rows(evidence: DataFrame, node: str, item: str) -> DataFrame:
+    return evidence.select(F.col(node).alias("n"), F.col(item).alias("i")).where(F.col("n").isNotNull() & F.col("i").isNotNull())
+
+
+def _items(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(n, i): the distinct items of each node, in tasks of bounded size; the number of rows."""
+    with shuffles_dropped(rows.sparkSession):
+        n_rows = rows.count()
+    return rows.repartition(_tasks(rows, n_rows, TASK_ROWS), "i", "n").distinct(), n_rows
 
 
-def _shared(own: DataFrame) -> DataFrame:
-    """(a, b, w), a < b, of distinct (n, i): pairs are counted before they are formed, and dealt to as many tasks.
+def _shared(rows: DataFrame, own: DataFrame, n_rows: int) -> DataFrame:
+    """(a, b, w), a < b, of own, distinct (n, i), which may repeat in rows; pairs are counted before they are formed.
 
-    Few pairs occur twice in a task, so they are shuffled as they are: a sum before the shuffle would hold
-    nearly all of a task's pairs. An item of more than BLOCK nodes is dealt into blocks, any two of which meet.
+    A pair's sum takes a row in a shuffle for each item that the two share. A light node's other items, taken
+    along to each of its items, give the sum where the pair first meets, and no pair is shuffled; light
+    nodes go that way if they then shuffle less. Pairs of a heavy node are summed, as are all pairs where
+    lists would tell items apart that a join takes for one (0.0 and -0.0).
     """
-    counts = own.groupBy("i").agg(F.count("*").alias("c"))
-    c = F.col("c").cast("double")
-    pairs, most = counts.agg(F.sum(c * (c - 1) / 2), F.max("c")).first()
-    n, on = _tasks(own, pairs or 0, TASK_PAIRS), ["i"]
-    left, right = own.select(F.col("n").alias("a"), "i"), own.select(F.col("n").alias("b"), "i")
-    if (most or 0) > BLOCK:
-        on = ["i", "x", "y"]
-        blocks = counts.where(F.col("c") > BLOCK).select("i", F.ceil(F.col("c") / BLOCK).alias("k"))
-        dealt = own.join(blocks, "i", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("n"), "k"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-        left = dealt.select(F.col("n").alias("a"), "i", F.col("block").alias("x"), every.alias("y"))
-        right = dealt.select(F.col("n").alias("b"), "i", every.alias("x"), F.col("block").alias("y"))
-    met = left.repartition(n, *on).join(right.repartition(n, *on), on).where("a < b").select("a", "b")
-    return met.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    d, light, c = F.col("d").cast("double"), F.col("d") <= LIGHT, F.col("c").cast("double")
+    degrees, counts = own.groupBy("n").agg(F.count("*").alias("d")), own.groupBy("i").agg(F.count("*").alias("c"))
+    heavy = degrees.where(~light).select("n", F.lit(1).alias("heavy"))
+    marked = own.join(heavy, "n", "left")
+    total = F.sum(c * (c - 1) / 2)
+    with shuffles_dropped(own.sparkSession):
+        sums = degrees.agg(F.sum(F.when(light, d * (d + 1))).alias("listed"), F.count_if(~light).alias("n_heavy"))
+        listed, n_heavy, pairs, n_crowds = sums.crossJoin(counts.agg(total.alias("pairs"), F.count_if(F.col("c") > BLOCK).alias("n_crowds"))).first()
+        pairs = once = pairs or 0
+        if listed and n_heavy:
+            once = marked.where("heavy is null").groupBy("i").agg(F.count("*").alias("c")).agg(total).first()[0]
+    crowds = counts.where(F.col("c") > BLOCK) if n_crowds else None
+    if crowds is not None and n_crowds <= BROADCAST:
+        crowds = F.broadcast(crowds)
+    if not listed or listed >= 2 * once or any(kind in dict(own.dtypes)["i"] for kind in ("float", "double", "collate")):
+        return _summed(_met(own, crowds, _tasks(own, pairs, TASK_PAIRS)).where("a < b"), pairs)
+    rows = rows.join(heavy, "n", "left_anti") if n_heavy else rows
+    sets = rows.repartition(_tasks(rows, n_rows, TASK_ROWS), "n").groupBy("n").agg(F.collect_set("i").alias("s"))
+    each = sets.select("n", F.explode("s").alias("i"), "s").withColumn("s", F.array_remove("s", F.col("i")))
+    met = _met(each, crowds, _tasks(own, once, TASK_PAIRS), "s")
+    again, others = F.arrays_overlap("a_s", "b_s"), F.array_intersect("a_s", "b_s")
+    out = met.where((F.col("a") < F.col("b")) & (~again | (F.col("i") < F.array_min(others))))
+    out = out.select("a", "b", F.when(again, F.size(others) + 1).otherwise(1).cast("long").alias("w"))
+    if not n_heavy:
+        return out
+    met = _met(marked, crowds, _tasks(own, pairs - once, TASK_PAIRS), "heavy").where("a_heavy = 1 and (b_heavy is null or a < b)")
+    return out.union(_summed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), pairs - once))
+
+
+def _met(own: DataFrame, crowds: DataFrame | None, n: int, carried: str | None = None) -> DataFrame:
+    """(a, b, i): any two nodes of own at each of their items, both ways and each with itself, in n tasks; a_ and b_ what is carried.
+
+    An item of crowds is dealt into blocks of BLOCK nodes, any two of which meet in a cell (x, y), x <= y.
+    """
+    on, more, apart = ["i"], [carried] if carried else [], F.lit(True)
+    if crowds is not None:
+        on, more, apart = ["i", "x", "y"], [*more, "block"], F.expr("x = y or a_block <> b_block")
+        own = own.join(crowds.select("i", F.ceil(F.col("c") / BLOCK).alias("k")), "i", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
+        own = own.withColumn("block", F.pmod(F.xxhash64("n"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        own = own.withColumn("x", F.least("block", "j")).withColumn("y", F.greatest("block", "j"))
+    dealt = own.select("n", *on, *more).repartition(n, *on)
+    left, right = (dealt.select(F.col("n").alias(side), *on, *[F.col(m).alias(f"{side}_{m}") for m in more]) for side in "ab")
+    return left.join(right, on).where(apart)
+
+
+def _summed(met: DataFrame, pairs: float) -> DataFrame:
+    """(a, b, w) of the pairs met, shuffled as they are: few occur twice in a task, and a sum before the shuffle would hold nearly all of a task's."""
+    return met.select("a", "b").repartition(_tasks(met, pairs, TASK_PAIRS), "a", "b").groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
 def graph(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:
@@ -230,7 +274,8 @@ def graph(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id"
     that very many nodes share is dealt over several. The relation itself has a row for each pair that
     shares an item; where only neighbours are asked for, neighbours() takes no pairs.
     """
-    return _shared(_items(evidence, node, item))
+    rows = _rows(evidence, node, item)
+    return _shared(rows, *_items(rows))
 
 
 def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -240,7 +285,7 @@ def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str =
     any two of linked classes w. So a crowd of like nodes makes a row each, and no pairs. Item sets are
     compared by their count and two sums of hashes that are added up in any order.
     """
-    own = _items(evidence, node, item)
+    own, n_rows = _items(_rows(evidence, node, item))
     h = [F.xxhash64(F.lit(k), "i") for k in (1, 2)]
     marks = own.groupBy("n").agg(F.count("*").alias("n_items"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(h)], *[F.sum(F.shiftright(x, 32)).alias(f"s{k}") for k, x in enumerate(h)])
     marks = checkpoint(marks)
@@ -248,7 +293,7 @@ def graph_classes(evidence: DataFrame, node: str = "hypothesis_id", item: str =
     sets = marks.groupBy(*key).agg(F.min("n").alias("class_id"), F.count("*").alias("n_nodes"))
     classes = checkpoint(marks.join(sets, key).select(F.col("n").alias("node"), "class_id", "n_nodes", "n_items"))
     first = own.join(classes.where("node = class_id").select(F.col("node").alias("n")), "n", "left_semi")
-    return classes, _shared(first)
+    return classes, _shared(first, first, n_rows)
 
 
 def strongest(evidence: DataFrame, shown: DataFrame, most: int = 20, node: str = "hypothesis_id", item: str = "doc_id") -> DataFrame:

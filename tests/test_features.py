@@ -348,6 +348,28 @@ def test_graph_tasks_grow_with_pairs(spark, monkeypatch, block):
     assert insights.graph(spark.createDataFrame([], "hypothesis_id long, doc_id long")).count() == 0
 
 
+@pytest.mark.parametrize(("light", "block"), [(32, 1 << 11), (32, 3), (2, 1 << 11), (2, 3), (0, 3)])
+def test_graph_shuffles_no_pairs_of_light_nodes(spark, monkeypatch, light, block):
+    """Light nodes take their other items along, only pairs of a heavy one are summed; what was counted leaves no files."""
+    for name, value in (("LIGHT", light), ("BLOCK", block), ("TASK_PAIRS", 40)):
+        monkeypatch.setattr(insights, name, value)
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rng = random.Random(5)
+    own = {(f"n{n}", i) for n in range(60) for i in rng.sample(range(5), rng.randint(1, 2))} | {(f"h{n}", i) for n in range(3) for i in range(5)}
+    want = {}
+    for a, i in own:
+        for b, j in own:
+            if a < b and i == j:
+                want[a, b] = want.get((a, b), 0) + 1
+    data = [*own, *list(own)[:30], (None, 0), ("n3", None)]
+    df = spark.createDataFrame(data, "hypothesis_id string, doc_id long")
+    left = files()
+    edges = insights.graph(df)
+    assert files() <= left
+    assert ("hashpartitioning(a#" in edges._jdf.queryExecution().toString()) == (light < 5) and 2 in want.values()
+    assert sorted(rows(edges, "a", "b", "w")) == sorted((a, b, w) for (a, b), w in want.items())
+
+
 def docx(*paragraphs):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f"<w:p>{p}</w:p>" for p in paragraphs)
